@@ -21,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each piece holds about ``limit`` bytes of ``text`` (one row at least)."""
+    """Cuts Arrow batches so that each piece holds about ``limit`` bytes of ``text`` (one row at least; without that column, of the
+    whole batch)."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        if text not in batch.schema.names:
+            step = max(1, limit * batch.num_rows // max(1, batch.nbytes))
+            yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+            continue
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         at, total = 0, 0
