@@ -23,7 +23,7 @@ CONTROLS = r"\||/?s>|/?INST\]|/?<SYS>>|<SYS>>|</SYS>>"
 ESCAPE = regex.compile(rf"([<\[])(\\*)(?={CONTROLS})")
 UNESCAPE = regex.compile(rf"([<\[])\\(\\*)(?={CONTROLS})")
 TURN = regex.compile(r"<\|role\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", regex.DOTALL)
-INSIDE = regex.compile(r"<\|(part|(image|audio|document):(\d+))\|>")
+ATTACHED = regex.compile(r"<\|(image|audio|document):(\d+)\|>")
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 FORMATTED = (
     "conv_id long, formatted string, loss array<struct<start:long,end:long>>, "
@@ -129,18 +129,8 @@ def parse(formatted: str) -> list[tuple[str, list[tuple[str, str | int]]]]:
     for m in TURN.finditer(formatted):
         if m.start() != at:
             raise ValueError(f"no turn begins at {at}")
-        parts, cut = [], 0
-        for piece in (*INSIDE.finditer(m[2]), None):
-            text = m[2][cut : piece.start() if piece else len(m[2])]
-            attachment = bool(parts) and parts[-1] == ("gap", 0)
-            if text or not attachment:
-                parts.append(("text", unescape(text)))
-            if piece and piece[2]:
-                if parts[-1] == ("text", ""):
-                    parts.pop()
-                parts += [(piece[2], int(piece[3])), ("gap", 0)]
-            cut = piece.end() if piece else cut
-        turns.append((unescape(m[1]), [p for p in parts if p[0] != "gap"]))
+        inside = [(p, ATTACHED.fullmatch(p)) for p in m[2].split("<|part|>")]
+        turns.append((unescape(m[1]), [(a[1], int(a[2])) if a else ("text", unescape(p)) for p, a in inside]))
         at = m.end()
     if at != len(formatted):
         raise ValueError(f"no turn begins at {at}")

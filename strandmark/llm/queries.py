@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmark.llm import chat, decontaminate, language, licenses, packing, quality, substrings, suffixes, token_counts
+from strandmark.llm import chat, decontaminate, language, licenses, near_dups, packing, quality, substrings, suffixes, token_counts
 from strandmark.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         op5_quality_rules,
         op6_decontamination,
         op7_best_fit_packing,
+        op8_near_duplicates,
         op9_substring_dedup,
         op10_suffix_dedup,
     )

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from strandmark.llm import chat, licenses, queries
 from strandmark.llm.frames import table
 
-CONTROL_TEXT = st.text(alphabet=st.sampled_from(list("<|>[]/\\sINTSYé \n") + ["</s>", "[INST]", "<|end|>\n", "<<SYS>>", "<|image:0|>"]), max_size=20)
+CONTROL_TEXT = st.lists(st.sampled_from([*"<|>[]/\\sINTSYé \n", "</s>", "[INST]", "<|end|>\n", "<<SYS>>", "<|image:0|>"]), max_size=15).map("".join)
 
 
 @settings(max_examples=500, deadline=None)
