@@ -13,7 +13,7 @@ MONTHS = {
     "fr": ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"],
 }
 BADGES = {"pensum": "⏱ ", "location": "📍 ", "languages": "🌐 ", "salary_hint": "💰 ", "deadline": "📅 bis "}
-FRENCH_PLACES = r"(?i)westschweiz|lausanne|gen[eè]ve|fribourg|neuch[aâ]tel|sion|valais|vaud"
+FRENCH_PLACES = r"(?iu)westschweiz|lausanne|gen[eè]ve|fribourg|neuch[aâ]tel|sion|valais|vaud"
 
 
 def count_label(n: Column) -> Column:
