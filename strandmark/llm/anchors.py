@@ -125,6 +125,24 @@ def unpacked(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.repeat(np.arange(len(keys)), np.frombuffer(row["counts"], np.uint32))
 
 
+class Rows:
+    """Numbers of a group's rows by (doc_id, hash); equal rows share a number."""
+
+    def __init__(self, doc_ids: list, hashes: list):
+        self.index: dict[tuple, int] = {}
+        self.of_row = [self.index.setdefault(key, len(self.index)) for key in zip(doc_ids, hashes)]
+
+    def values(self, packets: list[dict], kind: type, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and values of packets for this group."""
+        rows, values = [np.empty(0, np.int64)], [np.empty((0, width), kind)]
+        for r in packets:
+            keys, owner = unpacked(r, 2)
+            numbers = np.array([*map(self.index.__getitem__, map(tuple, keys.tolist()))], np.int64)
+            rows.append(numbers[owner])
+            values.append(np.frombuffer(r["values"], kind).reshape(-1, width))
+        return np.concatenate(rows), np.concatenate(values)
+
+
 def packets_by_group(keys: np.ndarray, owner: np.ndarray, values: np.ndarray) -> Iterator[dict]:
     """Packets for each group; keys are (group, doc_id, hash)."""
     if len(owner):
@@ -244,12 +262,11 @@ def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
             return pa.Table.from_pylist([], schema=arrow(RUNS))
-        wanted: dict[tuple, list[np.ndarray]] = {}
-        for r in right.to_pylist():
-            k, o = unpacked(r, 2)
-            values = np.split(np.frombuffer(r["values"], np.uint64), np.cumsum(np.frombuffer(r["counts"], np.uint32))[:-1])
-            for key, v in zip(map(tuple, k.tolist()), values):
-                wanted.setdefault(key, []).append(v)
+        numbers = Rows(left.column("doc_id").to_pylist(), left.column("_h").to_pylist())
+        row, value = numbers.values(right.to_pylist(), np.uint64)
+        some = np.zeros(len(numbers.index), bool)
+        some[row] = True
+        wanted = np.unique(value[:, 0] ^ mixed(row.astype(np.uint64)))
         g = right.column("g")[0].as_py()
         keys: list[tuple] = []
         first_of: dict[bytes, list] = {}
@@ -257,14 +274,15 @@ def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards:
         for piece in slices(left.select(["doc_id", "_h", "text"]).to_batches(), limit=1 << 20):
             rows = {}
             for d, h, t in zip(*(piece.column(i).to_pylist() for i in range(3))):
-                if t is not None and (d, h) in wanted:
+                if t is not None and d is not None and some[numbers.index[d, h]]:
                     rows[d, h] = t.encode()  # a repeated row once
             first, windows, a, text, starts, cut = runs(units, [*rows.values()])
             composite = ((a % np.uint64(buckets)) << np.uint64(32)) | (a >> np.uint64(32))
-            cuts = np.searchsorted(text, np.arange(len(rows) + 1))
+            who = np.array([numbers.index[key] for key in rows], np.uint64)
+            told_hits = np.flatnonzero(np.isin(composite ^ mixed(who)[text], wanted)) if len(first) else first
+            cuts = np.searchsorted(text[told_hits], np.arange(len(rows) + 1))
             for i, key in enumerate(rows):
-                lo, hi = cuts[i], cuts[i + 1]
-                hits = lo + np.flatnonzero(np.isin(composite[lo:hi], np.concatenate(wanted[key])))
+                hits = told_hits[cuts[i] : cuts[i + 1]]
                 me = len(keys)
                 keys.append((g, *key))
                 base = int(starts[i])
@@ -372,25 +390,22 @@ def resolve(collected: DataFrame, resolver: Resolver, length: int) -> DataFrame:
     return collected.groupBy("shard").applyInArrow(run, PACKET)
 
 
-def finish(docs: DataFrame, spans: DataFrame, make: Callable[[dict, list], dict], columns: list[str], schema: str) -> DataFrame:
+def finish(docs: DataFrame, spans: DataFrame, make: Callable[[dict, list], dict], schema: str) -> DataFrame:
     """Step 4: ``make(columns, spans of each row)`` in each group of documents; all rows come through."""
 
     result = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        covered: dict[tuple, list] = {}
-        for r in right.to_pylist():
-            keys, owner = unpacked(r, 2)
-            values = np.frombuffer(r["values"], np.uint32).reshape(-1, 2)
-            for key, part in zip(map(tuple, keys.tolist()), np.split(values, np.cumsum(np.frombuffer(r["counts"], np.uint32))[:-1])):
-                covered.setdefault(key, []).append(part)
+        numbers = Rows(left.column("doc_id").to_pylist(), left.column("_h").to_pylist())
+        row, span = merged_spans(*numbers.values(right.to_pylist(), np.uint32, 2))
+        cuts = np.searchsorted(row, np.arange(len(numbers.index) + 1)).tolist()
+        spans, at = span.tolist(), 0
         done = []
         for piece in slices(left.to_batches()):
             rows = {n: piece.column(i).to_pylist() for i, n in enumerate(piece.schema.names)}
-            found = []
-            for key in zip(rows["doc_id"], rows["_h"]):
-                parts = covered.get(key)
-                found.append([] if parts is None else merged_spans(np.zeros(sum(map(len, parts)), np.int64), np.concatenate(parts))[1].tolist())
+            own = numbers.of_row[at : at + piece.num_rows]
+            found = [spans[cuts[i] : cuts[i + 1]] for i in own]
+            at += piece.num_rows
             made = make(rows, found)
             done.append(pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in result], schema=result))
         return pa.Table.from_batches(done, schema=result)
@@ -405,4 +420,4 @@ def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Callable[[dic
     docs = keyed(docs.select(*dict.fromkeys(["doc_id", "text", *columns])), groups)
     told = tell_shared(find_anchors(docs, units, groups))
     spans = resolve(collect_runs(docs, told, units, groups, shards), resolver, units.length)
-    return finish(docs, spans, make, columns, schema)
+    return finish(docs, spans, make, schema)
