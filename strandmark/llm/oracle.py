@@ -1,0 +1,49 @@
+"""SQL that gives the rows of those corpus queries which SQL can express in reasonable time.
+
+Byte windows (operator 10) take SQL minutes on small tables already; tests hold them against brute force instead.
+"""
+
+from __future__ import annotations
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: Marks around a turn: <|role|>, <|text|>, <|end|> and a line feed.
+OP2 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, len(regexp_extract_all(text, '[<\[]\\*(?:\||/?s>|/?INST\]|/?<SYS>>|</SYS>>)')) + len(regexp_extract_all(role, '[<\[]\\*(?:\||/?s>|/?INST\]|/?<SYS>>|</SYS>>)')) AS escapes FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + escapes + length('<|role|><|text|><|end|>') + 1) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments
+FROM e GROUP BY conv_id
+"""
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+q AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM d, (SELECT DISTINCT m FROM p) AS ms, unnest(range(1, len(w) - m + 2)) AS u(i)),
+f AS (SELECT doc_id, item_id, i, q.m FROM q JOIN p ON q.s = p.s AND q.m = p.m),
+h AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM f, unnest(range(0, f.m)) AS u(k) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM f) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM s) WHERE least < doc_id),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM m, unnest(range(0, 13)) AS u(k)),
+k AS (SELECT d.doc_id, string_agg(d.w[p.i], ' ' ORDER BY p.i) AS kept FROM d, unnest(range(1, len(w) + 1)) AS p(i) LEFT JOIN g ON g.doc_id = d.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) AS c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+SQL = {"op2_chat_format": OP2, "op6_decontamination": OP6, "op9_substring_dedup": OP9}

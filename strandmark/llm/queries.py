@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmark.llm import chat, decontaminate, language, licenses, near_dups, packing, quality, substrings, suffixes, token_counts
+from strandmark.llm import chat, decontaminate, language, licenses, near_dups, oracle, packing, quality, substrings, suffixes, token_counts
 from strandmark.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
