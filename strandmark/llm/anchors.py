@@ -28,7 +28,8 @@ from pyspark.sql.types import _parse_datatype_string
 from strandmark.llm.frames import WordIds, grams, mixed, slices
 
 #: Text in one group of documents, and in one shard of runs (about a quarter of all text, five times over).
-GROUP_BYTES, SHARD_BYTES, LEAST_PARTS = 8 << 20, 2 << 20, 256
+GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 2 << 20
+LEAST_GROUPS, LEAST_BUCKETS, LEAST_SHARDS = 256, 64, 256
 PACKET = "g int, owners binary, counts binary, values binary"
 ANCHORS = "bucket int, told boolean, g int, owners binary, counts binary, values binary, common binary"
 RUNS = "shard int, done boolean, g int, owners binary, counts binary, values binary, starts binary, sizes binary, anchors binary, data binary"
@@ -119,9 +120,9 @@ def by_owner(owner: np.ndarray, keys: np.ndarray, values: np.ndarray) -> dict:
     return {"owners": keys[which].tobytes(), "counts": counts.astype(np.uint32).tobytes(), "values": np.ascontiguousarray(values[order]).tobytes()}
 
 
-def unpacked(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the owners, and the owner's number for each value."""
-    keys = np.frombuffer(row["owners"], np.int64).reshape(-1, width)
+    keys = np.frombuffer(row["owners"], np.int64).reshape(-1, 2)
     return keys, np.repeat(np.arange(len(keys)), np.frombuffer(row["counts"], np.uint32))
 
 
@@ -136,30 +137,33 @@ class Rows:
         """Row numbers and values of packets for this group."""
         rows, values = [np.empty(0, np.int64)], [np.empty((0, width), kind)]
         for r in packets:
-            keys, owner = unpacked(r, 2)
+            keys, owner = unpacked(r)
             numbers = np.array([*map(self.index.__getitem__, map(tuple, keys.tolist()))], np.int64)
             rows.append(numbers[owner])
             values.append(np.frombuffer(r["values"], kind).reshape(-1, width))
         return np.concatenate(rows), np.concatenate(values)
 
 
-def packets_by_group(keys: np.ndarray, owner: np.ndarray, values: np.ndarray) -> Iterator[dict]:
-    """Packets for each group; keys are (group, doc_id, hash)."""
+def packets_by_group(keys: np.ndarray, owner: np.ndarray, values: np.ndarray, groups: int) -> Iterator[dict]:
+    """Packets for each group; keys are (doc_id, hash)."""
     if len(owner):
-        g = keys[owner, 0]
+        g = ((keys[:, 0] ^ keys[:, 1]) % groups)[owner]
         order = np.argsort(g, kind="stable")
         cuts = np.flatnonzero(np.diff(g[order])) + 1
         for part in np.split(order, cuts):
-            yield {"g": int(g[part[0]])} | by_owner(owner[part], keys[:, 1:], values[part])
+            yield {"g": int(g[part[0]])} | by_owner(owner[part], keys, values[part])
 
 
 def keyed(docs: DataFrame, groups: int) -> DataFrame:
-    """Adds the hash of the text and the group; rows without an id have one too, but share nothing."""
-    h = F.xxhash64("text")
-    return docs.withColumns({"_h": h, "_g": F.pmod(F.xxhash64("doc_id", h), F.lit(groups)).cast("int")})
+    """Adds 32 bits of the text's hash, and the group; rows without an id have one too, but share nothing.
+
+    The hash only tells rows with the same id apart. ``packets_by_group`` has the same rule for the group.
+    """
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 32))
+    return docs.withColumns({"_h": h, "_g": F.pmod(h.bitwiseXOR(F.coalesce("doc_id", F.lit(0))), F.lit(groups)).cast("int")})
 
 
-def find_anchors(docs: DataFrame, units, buckets: int, flush: int = 1_500_000) -> DataFrame:
+def find_anchors(docs: DataFrame, units, buckets: int, groups: int, flush: int = 1_500_000) -> DataFrame:
     """Step 1: anchors by bucket. Those that two documents of a task share are told at once, and sent as ``common``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def find_anchors(docs: DataFrame, units, buckets: int, flush: int = 1_500_000) -
         held = 0
 
         def out():
-            a, o, k = np.concatenate(anchors), np.concatenate(owners), np.array(keys, np.int64).reshape(-1, 3)
+            a, o, k = np.concatenate(anchors), np.concatenate(owners), np.array(keys, np.int64).reshape(-1, 2)
             keys.clear(), anchors.clear(), owners.clear()
             order = np.argsort(a, kind="stable")
             a, o = a[order], o[order]
@@ -179,7 +183,7 @@ def find_anchors(docs: DataFrame, units, buckets: int, flush: int = 1_500_000) -
             bucket = a % np.uint64(buckets)
             short = (a >> np.uint64(32)).astype(np.uint32)
             told = (bucket << np.uint64(32)) | short
-            rows = [{"bucket": p["g"] % buckets, "told": True} | p for p in packets_by_group(k, o[inside], told[inside])]
+            rows = [{"bucket": p["g"] % buckets, "told": True} | p for p in packets_by_group(k, o[inside], told[inside], groups)]
             b_all = bucket.astype(np.int64)
             single = np.flatnonzero(~inside)
             many = at[common]
@@ -201,7 +205,7 @@ def find_anchors(docs: DataFrame, units, buckets: int, flush: int = 1_500_000) -
             once = np.r_[True, (a[1:] != a[:-1]) | (text[1:] != text[:-1])] if len(a) else np.empty(0, bool)
             anchors.append(a[once])
             owners.append(text[once] + len(keys))
-            keys += zip(cols["_g"], cols["doc_id"], cols["_h"])
+            keys += zip(cols["doc_id"], cols["_h"])
             held += int(once.sum())
             if held >= flush:
                 yield out()
@@ -209,11 +213,11 @@ def find_anchors(docs: DataFrame, units, buckets: int, flush: int = 1_500_000) -
         if held:
             yield out()
 
-    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "_h", "_g")
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "_h")
     return rows.mapInArrow(run, ANCHORS)
 
 
-def tell_shared(found: DataFrame) -> DataFrame:
+def tell_shared(found: DataFrame, groups: int) -> DataFrame:
     """Within a bucket: anchors that come from two owners, or are common within a task, are told to the owners' groups."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -223,7 +227,7 @@ def tell_shared(found: DataFrame) -> DataFrame:
         if rest:
             keys, owners, values, at = [], [], [], 0
             for r in rest:
-                k, o = unpacked(r, 3)
+                k, o = unpacked(r)
                 keys.append(k)
                 owners.append(o + at)
                 values.append(np.frombuffer(r["values"], np.uint32))
@@ -236,7 +240,7 @@ def tell_shared(found: DataFrame) -> DataFrame:
             shared = (np.r_[False, same] | np.r_[same, False]) if len(v) else np.empty(0, bool)
             shared |= np.isin(v, common)
             told = (np.uint64(rest[0]["bucket"]) << np.uint64(32)) | v.astype(np.uint64)
-            out += packets_by_group(k, o[shared], told[shared])
+            out += packets_by_group(k, o[shared], told[shared], groups)
         return pa.Table.from_pylist(out, schema=arrow(PACKET))
 
     return found.groupBy("bucket").applyInArrow(run, PACKET)
@@ -256,7 +260,7 @@ def merged_spans(owner: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.n
     return owner[at], np.stack([spans[at, 0], ends], 1).astype(np.uint32)
 
 
-def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards: int) -> DataFrame:
+def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards: int, groups: int) -> DataFrame:
     """Step 2: the runs of shared anchors, by shard. Of equal runs in a group only the least document's goes on."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -284,7 +288,7 @@ def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards:
             for i, key in enumerate(rows):
                 hits = told_hits[cuts[i] : cuts[i + 1]]
                 me = len(keys)
-                keys.append((g, *key))
+                keys.append(key)
                 base = int(starts[i])
                 for j in hits.tolist():
                     at, n = int(first[j]), int(windows[j])
@@ -304,10 +308,10 @@ def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards:
                             done_span.append((s, s + n + units.length - 1))
                         known[2] = [here]
         out = []
-        k = np.array(keys, np.int64).reshape(-1, 3)
+        k = np.array(keys, np.int64).reshape(-1, 2)
         if done_owner:
             o, s = merged_spans(np.array(done_owner), np.array(done_span))
-            for p in packets_by_group(k, o, s):
+            for p in packets_by_group(k, o, s, groups):
                 out.append({"shard": g % shards, "done": True} | p)
         by_shard: dict[int, list] = {}
         for data, (anchor, n, places) in first_of.items():
@@ -330,7 +334,7 @@ def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards:
 Resolver = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def resolve(collected: DataFrame, resolver: Resolver, length: int) -> DataFrame:
+def resolve(collected: DataFrame, resolver: Resolver, length: int, groups: int) -> DataFrame:
     """Step 3, within a shard: which windows also start in a smaller document.
 
     Equal runs become one, with the least document's id; those of other documents are covered as a whole. Where an
@@ -344,8 +348,8 @@ def resolve(collected: DataFrame, resolver: Resolver, length: int) -> DataFrame:
         keys, places_of, at = [], {}, 0
         owners, starts, ends = [], [], []
         for r in (r for r in rows if not r["done"]):
-            k = np.frombuffer(r["owners"], np.int64).reshape(-1, 3)
-            ids = k[:, 1].tolist()
+            k = np.frombuffer(r["owners"], np.int64).reshape(-1, 2)
+            ids = k[:, 0].tolist()
             cuts = np.r_[0, np.cumsum(np.frombuffer(r["sizes"], np.uint32), dtype=np.int64)].tolist()
             anchors = np.frombuffer(r["anchors"], np.uint64).tolist()
             columns = (np.frombuffer(r[n], np.uint32).tolist() for n in ("values", "counts", "starts"))
@@ -383,7 +387,7 @@ def resolve(collected: DataFrame, resolver: Resolver, length: int) -> DataFrame:
                     ends.append(s + b)
         if owners:
             o, s = merged_spans(np.array(owners), np.stack([starts, ends], 1))
-            out += packets_by_group(np.concatenate(keys), o, s)
+            out += packets_by_group(np.concatenate(keys), o, s, groups)
         return pa.Table.from_pylist(out, schema=arrow(PACKET))
 
     symbols = resolver.symbols
@@ -416,8 +420,8 @@ def finish(docs: DataFrame, spans: DataFrame, make: Callable[[dict, list], dict]
 def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Callable[[dict, list], dict], columns: list[str], schema: str) -> DataFrame:
     """The whole course: ``make`` gets every row with the spans (in symbols) that windows of smaller documents cover."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups, shards = max(LEAST_PARTS, size // GROUP_BYTES), max(LEAST_PARTS, size // SHARD_BYTES)
+    groups, buckets, shards = max(LEAST_GROUPS, size // GROUP_BYTES), max(LEAST_BUCKETS, size // BUCKET_BYTES), max(LEAST_SHARDS, size // SHARD_BYTES)
     docs = keyed(docs.select(*dict.fromkeys(["doc_id", "text", *columns])), groups)
-    told = tell_shared(find_anchors(docs, units, groups))
-    spans = resolve(collect_runs(docs, told, units, groups, shards), resolver, units.length)
+    told = tell_shared(find_anchors(docs, units, buckets, groups), groups)
+    spans = resolve(collect_runs(docs, told, units, buckets, shards, groups), resolver, units.length, groups)
     return finish(docs, spans, make, schema)
