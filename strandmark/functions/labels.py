@@ -91,3 +91,13 @@ def some_names(names: Column, most: int = 5) -> Column:
 def export_name(organization: Column, now: Column) -> Column:
     """File name of an exported letter."""
     return F.concat(F.lit("Bewerbung_"), F.coalesce(F.nullif(organization, F.lit("")), F.lit("Job")), F.lit("_"), F.date_format(now, "yyyy-MM-dd"))
+
+
+def profile_hint(logged_in: Column, has_profile: Column, has_favourites: Column) -> Column:
+    """What a user is asked to do before matching; nothing once there is a profile."""
+    return (
+        F.when(~logged_in, "Melde dich an, um das KI-Matching zu nutzen.")
+        .when(~has_profile & ~has_favourites, "Erstelle ein Profil und markiere Organisationen mit ⭐ für bessere Ergebnisse.")
+        .when(~has_profile, "Profil erstellen für genauere Matches.")
+        .otherwise("")
+    )

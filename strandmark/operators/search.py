@@ -52,7 +52,7 @@ def visible_sections(sections: DataFrame, cards: DataFrame, key: str) -> DataFra
 def near_locations(orgs: DataFrame, locations: DataFrame, location: str = "loc", name: str = "name") -> DataFrame:
     """Rows of ``orgs`` whose location contains a name of ``locations``, a list that a user has picked.
 
-    The list is limited by contract to what a person selects; it is checked and becomes a conjunction-free filter.
+    Such a list is short; its length is checked, and it becomes a plain filter, so that no join by substring is needed.
     """
     picked = [r[0] for r in locations.select(name).distinct().limit(1001).collect()]
     if len(picked) > 1000:

@@ -92,3 +92,11 @@ def first_k(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataF
     """The first rows of each key, numbered from 1; the window keeps ``k`` rows a key before the shuffle."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("n", n).filter(F.col("n") <= k)
+
+
+def reset(profiles: DataFrame, users: DataFrame, key: str = "id") -> DataFrame:
+    """Profiles of these users lose all entries and get the default workload; the others stay."""
+    marked = profiles.join(users.select(F.col(key), F.lit(True).alias("_reset")).distinct(), key, "left")
+    defaults = {"workload_min": F.lit(50), "workload_max": F.lit(100)}
+    kept = lambda f: F.when(F.col("_reset"), defaults.get(f.name, F.lit(None)).cast(f.dataType)).otherwise(F.col(f.name))
+    return marked.select(*(F.col(key) if f.name == key else kept(f).alias(f.name) for f in profiles.schema))

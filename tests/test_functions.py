@@ -79,6 +79,11 @@ def test_labels(spark):
     assert hint(False, True, 1) == "" and hint(True, True, 2).startswith("CV + 2 Arbeitszeugnisse") and hint(True, True, 0).startswith("CV wird")
 
 
+def test_profile_hint(spark):
+    hint = lambda *x: value(spark, labels.profile_hint(*map(F.lit, x)))
+    assert hint(False, True, True).startswith("Melde dich an") and hint(True, False, False).startswith("Erstelle") and hint(True, False, True).startswith("Profil erstellen") and hint(True, True, False) == ""
+
+
 def test_time_ago(spark):
     now = datetime(2024, 5, 1, 12)
     ages = [timedelta(seconds=59), timedelta(seconds=60), timedelta(minutes=59), timedelta(minutes=60), timedelta(hours=24)]

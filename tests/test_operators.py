@@ -32,6 +32,11 @@ def test_newer_profile(spark):
     assert local.select(sync.is_filled(F.col("education"), F.col("field_of_study"), F.col("experience"), F.col("desired_regions"))).filter("NOT (1=0)").collect()[3][0] is True
 
 
+def test_reset(spark):
+    df = spark.createDataFrame([("a", "x", 70), ("b", "y", 80)], "id string, education string, workload_min int")
+    assert rows(sync.reset(df, df.filter("id = 'a'"))) == [("a", None, 50), ("b", "y", 80)]
+
+
 def test_merged_sets(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), (None, ["x"])], "l array<string>, r array<string>")
     m = sync.merged_set(F.col("l"), F.col("r"))
