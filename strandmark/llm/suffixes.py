@@ -124,7 +124,7 @@ def digests(rows: dict, spans: list) -> dict:
     return out
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, anchor: int = 28) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, anchor: int = 24) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, without the bytes of repeats.
 
     A byte goes if a ``length``-byte string over it also starts in a row with a smaller doc_id. Null texts are empty; empty
