@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmark.llm.frames import WordIds, grams, map_rows, mixed, slices, written
 
-#: Buckets up to this size are compared in full, larger ones from leaders.
-SMALL = 3
+#: Buckets up to this size are compared in full where their members aren't in one component yet, larger ones from a few
+#: leaders at a time.
+SMALL, LEADERS = 32, 6
 IDS = WordIds()
 
 
@@ -131,9 +132,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
     of ``similarity`` or more. ``n_links`` counts the verified links of the row's text. Candidates are texts with an equal band of
     ProbMinHash registers over shingles weighted by their counts; 16 bands of 4 find a pair at 0.8 with probability 0.9998.
 
-    Exact copies meet as one class before anything is compared. Large buckets aren't expanded into pairs: their members are
-    compared with a leader; only what isn't in the leader's component goes on, with whom the triangle inequality
-    leaves open, then with a next leader, until nothing is left. So no link that would join two components is lost.
+    Exact copies meet as one class before anything is compared. Every text is compared with the least of its leaders first.
+    Then small buckets with several components are compared across those. Large buckets aren't expanded into pairs: a few
+    members at a time that aren't in the main component lead, that is, are compared with all members of other components,
+    until all are in the main component or have led. So no link that would join two components is lost.
     Null texts are classes of their own; empty texts, and texts of white space, have no shingles and are duplicates only of exact
     copies; rows with a null doc_id take part through their texts, a class that has no id at all has a null class_id; repeated rows
     stay rows; an empty table gives no rows; other columns aren't read.
@@ -150,32 +152,25 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
     first = members.filter("cls <> lead").groupBy("cls").agg(F.min(F.struct("lead_rep", "lead")).alias("l")).select(F.col("l.lead").alias("a"), F.col("cls").alias("b"))
     checked = verified(first, sets, "verified")
     labels = components(checked.filter(F.col("j") >= similarity))
-    pending = members.select("key", "cls", "rep")
+    pending = members.select("key", "cls", "rep", F.lit(False).alias("led"))
     while True:
         known = pending.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        mixed_keys = known.groupBy("key").agg(F.min(F.struct("rep", "cls", "comp")).alias("lead"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).filter("c1 <> c2")
-        open_ = written(known.join(mixed_keys.select("key", "n", F.col("lead.cls").alias("lead"), F.col("lead.comp").alias("lead_comp")), "key"), "open")
-        if not open_.limit(1).count():
+        main = known.groupBy("key").agg(F.min(F.struct("rep", "cls", "comp"))["comp"].alias("main"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).filter("c1 <> c2")
+        known = written(known.join(main.select("key", "main", "n"), "key"), "known")
+        outside = known.filter("comp <> main AND NOT led")
+        open_ = known.join(outside.select("key").distinct(), "key", "left_semi")
+        if not outside.limit(1).count():
             break
-        away = open_.filter("comp <> lead_comp")
-        stars = away.select(F.col("lead").alias("a"), F.col("cls").alias("b"))
-        small = open_.filter(F.col("n") <= SMALL)
-        full = small.alias("l").join(small.alias("r"), "key").filter("l.rep < r.rep and l.comp <> r.comp").select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-        checked = checked.unionByName(verified(fresh(stars.union(full), checked), sets, "verified"))
-        # in large buckets: who isn't linked to the leader, but close enough to have a link to someone who is
-        large = open_.filter(F.col("n") > SMALL)
-        both = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "j"))
-        to_lead = large.join(both.select(F.col("a").alias("lead"), F.col("b").alias("cls"), "j"), ["lead", "cls"], "left")
-        outside = to_lead.filter((F.col("comp") != F.col("lead_comp")) & (F.col("j") < similarity) & (F.col("j") >= 2 * similarity - 1))
-        inside = to_lead.filter((F.col("comp") == F.col("lead_comp")) & (F.col("cls") != F.col("lead")))
-        reach = F.col("i.j").isNull() | (F.abs(F.col("i.j") - F.col("o.j")) <= 1 - similarity + 1e-9)
-        across = outside.alias("o").join(inside.alias("i"), "key").filter(reach).select(F.col("i.cls").alias("a"), F.col("o.cls").alias("b"))
-        checked = checked.unionByName(verified(fresh(across, checked), sets, "verified"))
+        small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
+        full = small.alias("l").join(small.alias("r"), "key").filter("l.cls < r.cls AND l.comp <> r.comp").select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+        order = F.row_number().over(Window.partitionBy("key").orderBy("rep", "cls"))
+        leaders = outside.filter(F.col("n") > SMALL).withColumn("i", order).filter(F.col("i") <= LEADERS).select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"))
+        stars = leaders.join(large, "key").filter("comp <> a_comp").select("a", F.col("cls").alias("b"))
+        checked = written(checked.unionByName(verified(fresh(full.union(stars), checked), sets, "verified")), "checked")
         labels = components(checked.filter(F.col("j") >= similarity))
-        # the leader's component is done with; small buckets are done with altogether
-        again = large.drop("comp").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        lead_now = labels.select(F.col("cls").alias("lead"), F.col("comp").alias("lead_now"))
-        pending = again.join(lead_now, "lead", "left").filter(F.col("comp") != F.coalesce("lead_now", "lead")).select("key", "cls", "rep")
+        # who has led has been compared with all others; small buckets are done with altogether
+        now = leaders.select("key", F.col("a").alias("cls"), F.lit(True).alias("now"))
+        pending = written(large.join(now, ["key", "cls"], "left").select("key", "cls", "rep", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "pending")
 
     links = checked.filter(F.col("j") >= similarity)
     counts = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("n_links"))

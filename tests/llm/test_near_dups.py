@@ -73,6 +73,23 @@ def test_awkward(spark):
     assert near_dups.near_duplicates(df.filter("false")).collect() == []
 
 
+def test_large_buckets(spark, monkeypatch):
+    """Leaders find what all pairs would: with limits so low that nearly every bucket is large."""
+    monkeypatch.setattr(near_dups, "SMALL", 2)
+    monkeypatch.setattr(near_dups, "LEADERS", 1)
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    base = rnd.choices(words, k=150)
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rnd.choice([1, 2, 4, 8])):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
+
+
 def test_estimates_probability_jaccard():
     rnd = np.random.default_rng(5)
     for _ in range(3):
