@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmark.llm.frames import map_rows
+from strandmark.llm.frames import map_rows, written
 
 #: Short statements by which files declare a licence.
 TEMPLATES = {
@@ -58,6 +58,15 @@ class Cosine:
             for t, w in weights.items():
                 self.index.setdefault(t, []).append((k, w / norm))
 
+    def telling(self, least: float) -> set[str]:
+        """Terms of which a line needs one to reach ``least``: the rare ones, if all others together are too light."""
+        rare = {t for t in self.index if self.idf.get(t, self.unseen) >= 3}
+        rest: dict[int, float] = {}
+        for t in self.index.keys() - rare:
+            for k, v in self.index[t]:
+                rest[k] = rest.get(k, 0.0) + v * v
+        return rare if max(rest.values(), default=0.0) < least**2 else set(self.index)
+
     def best(self, terms: Counter) -> tuple[str | None, float]:
         """The closest template and its cosine; ties to the first in alphabetical order."""
         dots: dict[int, float] = {}
@@ -91,22 +100,23 @@ def template_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
     return found, found.pop("", 0)
 
 
-def declared(files: DataFrame, cosine: Cosine) -> DataFrame:
-    """The closest template of any line of a file, and of the file as a whole."""
+def declared(files: DataFrame, cosine: Cosine, least: float) -> DataFrame:
+    """The closest template of any line of a file that can reach ``least``, and of the file as a whole."""
     shared = files.sparkSession.sparkContext.broadcast(cosine)
 
     def make():
         c = shared.value
-        vocabulary = c.index.keys()
+        telling = c.telling(least)
 
         def one(text: str | None) -> tuple:
-            best, total = (None, 0.0), Counter()
-            for line in (text or "").lower().split("\n"):
-                terms = TERM.findall(line)
-                total.update(terms)
-                # a statement has at least three terms in common with its template, or it's no statement
-                if len(vocabulary & set(terms)) >= 3:
-                    best = max(best, c.best(Counter(terms)), key=lambda x: x[1])
+            low = (text or "").lower()
+            best, total = (None, 0.0), Counter(TERM.findall(low))
+            hits = telling & total.keys()
+            if not hits:
+                return *best, *c.best(total)
+            for line in low.split("\n"):
+                if any(t in line for t in hits):
+                    best = max(best, c.best(Counter(TERM.findall(line))), key=lambda x: x[1])
             return *best, *c.best(total)
 
         def work(rows: dict) -> dict:
@@ -135,7 +145,7 @@ def scan_licenses(files: DataFrame, least: float = 0.6, least_whole: float = 0.5
     directory; repeated rows stay rows; an empty table gives no rows; other columns aren't read.
     """
     files = files.select("path", "text")
-    own = declared(files, Cosine(*template_frequencies(files)))
+    own = declared(files, Cosine(*template_frequencies(files)), least)
     by_whole = F.col("whole_score") >= least_whole
     named = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)) & (F.greatest("score", "whole_score") >= least_whole)
     sure = F.col("score") >= least
@@ -147,6 +157,7 @@ def scan_licenses(files: DataFrame, least: float = 0.6, least_whole: float = 0.5
         F.when(by_whole, F.col("whole_license")).when(named, F.col("license")).alias("_given"),
         F.greatest("score", "whole_score").alias("_strength"),
     )
+    own = written(own, "licenses")
     given = own.filter("_given is not null and directory is not null").groupBy("directory").agg(F.min(F.struct((-F.col("_strength")).alias("s"), "_given")).alias("g")).select("directory", F.col("g._given").alias("_given"))
     above = own.filter("directory is not null").select("directory").distinct().withColumn("_up", F.explode(F.concat(F.array("directory"), F.when(F.col("directory") == "", F.array().cast("array<string>")).otherwise(parents(F.col("directory"))))))
     above = above.withColumn("_depth", F.length("_up"))
