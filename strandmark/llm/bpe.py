@@ -8,16 +8,17 @@ pieces on first sight and remembers a bounded number of them.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 
 #: The splitter of the vocabulary file.
 SPLITTER = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters for which NFC is the identity and lower-casing is the same in every library.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xffĀ-įı-ſ]*")
-MOST = 300_000
+#: Pieces, and words in them, that a worker remembers.
+MOST = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -28,7 +29,7 @@ def byte_letters() -> list[str]:
 
 
 class PieceIds(dict):
-    """piece (bytes) -> its token ids as little-endian unsigned 32-bit bytes."""
+    """piece (bytes) -> its token ids as unsigned 32-bit bytes, little-endian on every machine that Spark supports."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,19 +48,25 @@ class PieceIds(dict):
         return value
 
     def compiled(self, piece: str) -> bytes:
-        if PLAIN.fullmatch(piece) is None or "<|" in piece:  # special strings, rare scripts: the library's whole path
-            ids = self.whole.encode(piece, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        known, out = self.tokens, []
-        for word in SPLITTER.findall(piece.lower()):
+        if "<|" in piece or not (piece.isascii() and piece.isprintable()) and PLAIN.fullmatch(piece) is None:  # special strings, rare scripts: the library's whole path
+            return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+        known, low = self.tokens, piece.lower()
+        if low.isalpha():  # what the splitter finds, for the commonest shapes
+            words = (low,)
+        elif low[:-1].isalpha():
+            words = (low[:-1], low[-1])
+        else:
+            words = SPLITTER.findall(low)
+        out = b""
+        for word in words:
             ids = known.get(word)
             if ids is None:
                 if len(known) >= MOST:
                     known.clear()
-                spelled = word.encode().decode("latin-1").translate(self.letters)
-                ids = known[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = known[word] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            out += ids
+        return out
 
     def text(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
