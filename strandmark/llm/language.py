@@ -21,34 +21,34 @@ LONGEST_GRAM = 4
 
 
 class Model:
-    """Log frequencies: known words, and n-grams of 1 to 4 characters for the rest."""
+    """Log frequencies by language: known words, and n-grams of 1 to 4 characters for the rest."""
 
     def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]], totals: list[int]):
         self.langs = langs
-        self.words, self.grams = words, grams
-        self.word_total = np.array(totals, float)
         sums = np.zeros((LONGEST_GRAM + 1, len(langs)))
         for g, c in grams.items():
             sums[len(g)] += c
-        self.gram_total = sums
+        logs = lambda counts, total: tuple(np.log((np.array(counts, float) + 0.5) / (total + 1)).tolist())
+        self.words = {w: logs(c, np.array(totals, float)) for w, c in words.items()}
+        self.grams = {g: logs(c, sums[len(g)]) for g, c in grams.items()}
 
-    def score(self, word: str) -> np.ndarray:
+    def score(self, word: str) -> tuple[float, ...]:
         """Log frequency by language. An unknown word is read left to right, each time by the longest known n-gram."""
-        counts = self.words.get(word)
-        if counts is not None:
-            return np.log((np.array(counts) + 0.5) / (self.word_total + 1))
-        padded, at, total, read = f" {word} ", 0, np.zeros(len(self.langs)), 0
-        while at < len(padded):
-            for n in range(min(LONGEST_GRAM, len(padded) - at), 0, -1):
-                counts = self.grams.get(padded[at : at + n])
-                if counts is not None:
-                    total += np.log((np.array(counts) + 0.5) / (self.gram_total[n] + 1))
-                    read += 1
+        known = self.words.get(word)
+        if known is not None:
+            return known
+        padded, at, read, get = f" {word} ", 0, [], self.grams.get
+        end = len(padded)
+        while at < end:
+            for n in range(min(LONGEST_GRAM, end - at), 0, -1):
+                logs = get(padded[at : at + n])
+                if logs is not None:
+                    read.append(logs)
                     break
             else:
                 n = 1
             at += n
-        return total / max(1, read) if read else total
+        return tuple(sum(column) / len(read) for column in zip(*read)) if read else (0.0,) * len(self.langs)
 
 
 class Scores(dict):
