@@ -6,14 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmark.llm.frames import WordIds, grams, map_rows, mixed, slices, written
 
-#: Buckets up to this size are compared in full where their members aren't in one component yet, larger ones from a few
-#: leaders at a time.
-SMALL, LEADERS = 32, 6
+#: Members of a bucket that one block holds, on average.
+BLOCK = 64
 IDS = WordIds()
 
 
@@ -105,6 +104,38 @@ def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return written(map_rows(joined.select("a", "b", "x", "y"), make, "a binary, b binary, j double"), label)
 
 
+def linked(blocks: DataFrame, least: float) -> DataFrame:
+    """a, b and their Jaccard similarity where it is ``least`` or more, for members of a block x with those of y (or, if y
+    is null, among themselves) that are in different components. Only links come out."""
+
+    def counts(x: list, y: list) -> np.ndarray:
+        every = np.unique(np.concatenate([*x, *y]))
+        if len(every) <= 20_000:
+            rows = lambda z: np.stack([np.isin(every, s, assume_unique=True) for s in z]).astype(np.float32)
+            return np.rint(rows(x) @ rows(y).T).astype(np.int64)
+        return np.array([[len(np.intersect1d(s, t, assume_unique=True)) for t in y] for s in x])
+
+    def make():
+        def work(rows: dict) -> dict:
+            out = {"a": [], "b": [], "j": []}
+            for x, y in zip(rows["x"], rows["y"]):
+                other = x if y is None else y
+                sx, sy = ([np.frombuffer(m["shingles"], np.uint64) for m in z] for z in (x, other))
+                both = counts(sx, sy)
+                j = both / (np.array([*map(len, sx)])[:, None] + np.array([*map(len, sy)])[None] - both)
+                for i, k in zip(*np.nonzero(j >= least)):
+                    a, b = sorted((x[i]["cls"], other[k]["cls"]))
+                    if x[i]["comp"] != other[k]["comp"] and (y is not None or i < k):
+                        out["a"].append(a)
+                        out["b"].append(b)
+                        out["j"].append(float(j[i, k]))
+            return out
+
+        return work
+
+    return map_rows(blocks, make, "a binary, b binary, j double")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """cls, comp: the least member of each connected component; only for nodes with an edge.
 
@@ -133,9 +164,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
     ProbMinHash registers over shingles weighted by their counts; 16 bands of 4 find a pair at 0.8 with probability 0.9998.
 
     Exact copies meet as one class before anything is compared. Every text is compared with the least of its leaders first.
-    Then small buckets with several components are compared across those. Large buckets aren't expanded into pairs: a few
-    members at a time that aren't in the main component lead, that is, are compared with all members of other components,
-    until all are in the main component or have led. So no link that would join two components is lost.
+    Buckets aren't expanded into pairs: those whose members aren't in one component then are cut into blocks of
+    bounded size, blocks meet, and only links between components come out. So no link that would join two is lost.
     Null texts are classes of their own; empty texts, and texts of white space, have no shingles and are duplicates only of exact
     copies; rows with a null doc_id take part through their texts, a class that has no id at all has a null class_id; repeated rows
     stay rows; an empty table gives no rows; other columns aren't read.
@@ -152,25 +182,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
     first = members.filter("cls <> lead").groupBy("cls").agg(F.min(F.struct("lead_rep", "lead")).alias("l")).select(F.col("l.lead").alias("a"), F.col("cls").alias("b"))
     checked = verified(first, sets, "verified")
     labels = components(checked.filter(F.col("j") >= similarity))
-    pending = members.select("key", "cls", "rep", F.lit(False).alias("led"))
-    while True:
-        known = pending.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        main = known.groupBy("key").agg(F.min(F.struct("rep", "cls", "comp"))["comp"].alias("main"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).filter("c1 <> c2")
-        known = written(known.join(main.select("key", "main", "n"), "key"), "known")
-        outside = known.filter("comp <> main AND NOT led")
-        open_ = known.join(outside.select("key").distinct(), "key", "left_semi")
-        if not outside.limit(1).count():
-            break
-        small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
-        full = small.alias("l").join(small.alias("r"), "key").filter("l.cls < r.cls AND l.comp <> r.comp").select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-        order = F.row_number().over(Window.partitionBy("key").orderBy("rep", "cls"))
-        leaders = outside.filter(F.col("n") > SMALL).withColumn("i", order).filter(F.col("i") <= LEADERS).select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"))
-        stars = leaders.join(large, "key").filter("comp <> a_comp").select("a", F.col("cls").alias("b"))
-        checked = written(checked.unionByName(verified(fresh(full.union(stars), checked), sets, "verified")), "checked")
-        labels = components(checked.filter(F.col("j") >= similarity))
-        # who has led has been compared with all others; small buckets are done with altogether
-        now = leaders.select("key", F.col("a").alias("cls"), F.lit(True).alias("now"))
-        pending = written(large.join(now, ["key", "cls"], "left").select("key", "cls", "rep", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "pending")
+    # then, in buckets of several components, blocks of members with each other
+    known = members.select("key", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    several = known.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).filter("c1 <> c2").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    placed = known.join(several, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    blocks = written(placed.join(sets, "cls").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("cls", "comp", "shingles")).alias("x")), "blocks")
+    many = blocks.filter("blocks > 1").drop("blocks")
+    across = many.join(many.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key").filter("block < other").select("x", "y")
+    own = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+    found = linked(own.unionByName(across), similarity)
+    checked = written(checked.unionByName(found.groupBy("a", "b").agg(F.max("j").alias("j")).join(checked.select("a", "b"), ["a", "b"], "left_anti")), "checked")
+    labels = components(checked.filter(F.col("j") >= similarity))
 
     links = checked.filter(F.col("j") >= similarity)
     counts = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("n_links"))
@@ -182,12 +204,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
     return found.unionByName(alone)
 
 
-def fresh(pairs: DataFrame, checked: DataFrame) -> DataFrame:
-    """Distinct pairs, either way round, that haven't been checked."""
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return ordered(pairs).distinct().join(ordered(checked), ["a", "b"], "left_anti")
-
-
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, that aren't near-duplicates of a smaller doc_id; rows with a null id stay."""
     gone = near_duplicates(docs, similarity).filter("doc_id <> class_id").select("doc_id").distinct()

@@ -74,9 +74,8 @@ def test_awkward(spark):
 
 
 def test_large_buckets(spark, monkeypatch):
-    """Leaders find what all pairs would: with limits so low that nearly every bucket is large."""
-    monkeypatch.setattr(near_dups, "SMALL", 2)
-    monkeypatch.setattr(near_dups, "LEADERS", 1)
+    """Blocks find what all pairs would."""
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
     rnd = random.Random(9)
     words = [f"w{i}" for i in range(400)]
     base = rnd.choices(words, k=150)
