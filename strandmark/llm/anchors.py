@@ -15,6 +15,7 @@ the text), so repeated ids do no harm.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 2 << 20
 LEAST_GROUPS, LEAST_BUCKETS, LEAST_SHARDS = 256, 64, 256
 PACKET = "g int, owners binary, counts binary, values binary"
 ANCHORS = "bucket int, told boolean, g int, owners binary, counts binary, values binary, common binary"
-RUNS = "shard int, done boolean, g int, owners binary, counts binary, values binary, starts binary, sizes binary, anchors binary, data binary"
+RUNS = "shard int, done boolean, g int, owners binary, counts binary, values binary, places binary, runs binary, data binary"
 
 
 def arrow(schema: str) -> pa.Schema:
@@ -42,12 +43,12 @@ def arrow(schema: str) -> pa.Schema:
 
 
 def packed(data: bytes) -> bytes:
-    """Runs overlap and repeat: packed well they take much less than what the shuffle's own compression leaves."""
-    return pa.compress(data, codec="zstd", asbytes=True)
+    """Runs overlap and repeat, and numbers are small: packed well they take much less than what the shuffle leaves."""
+    return struct.pack("<I", len(data)) + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def expanded(data: bytes, size: int) -> bytes:
-    return pa.decompress(data, size, codec="zstd", asbytes=True)
+def expanded(data: bytes) -> bytes:
+    return pa.decompress(data[4:], struct.unpack("<I", data[:4])[0], codec="zstd", asbytes=True)
 
 
 def batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
@@ -330,11 +331,9 @@ def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards:
             which = np.array([x[0] for x in flat], np.uint32)
             owner = np.array([x[1] for x in flat])
             used, owner = np.unique(owner, return_inverse=True)
-            out.append({
-                "shard": shard, "done": False, "owners": k[used].tobytes(), "counts": owner.astype(np.uint32).tobytes(), "values": which.tobytes(),
-                "starts": np.array([x[2] for x in flat], np.uint32).tobytes(), "sizes": np.array([len(x[0]) for x in items], np.uint32).tobytes(),
-                "anchors": np.array([x[1] for x in items], np.uint64).tobytes(), "data": packed(b"".join(x[0] for x in items)),
-            })
+            places = np.array([which, owner, [x[2] for x in flat]], np.uint32)
+            about = np.array([[len(x[0]) for x in items], [x[1] >> 32 for x in items]], np.uint32)
+            out.append({"shard": shard, "done": False, "owners": k[used].tobytes(), "places": packed(places.tobytes()), "runs": packed(about.tobytes()), "data": packed(b"".join(x[0] for x in items))})
         return pa.Table.from_pylist(out, schema=arrow(RUNS))
 
     return docs.groupBy("_g").cogroup(told.groupBy("g")).applyInArrow(run, RUNS)
@@ -359,10 +358,10 @@ def resolve(collected: DataFrame, resolver: Resolver, length: int, groups: int)
         for r in (r for r in rows if not r["done"]):
             k = np.frombuffer(r["owners"], np.int64).reshape(-1, 2)
             ids = k[:, 0].tolist()
-            cuts = np.r_[0, np.cumsum(np.frombuffer(r["sizes"], np.uint32), dtype=np.int64)].tolist()
-            text = expanded(r["data"], cuts[-1])
-            anchors = np.frombuffer(r["anchors"], np.uint64).tolist()
-            columns = (np.frombuffer(r[n], np.uint32).tolist() for n in ("values", "counts", "starts"))
+            sizes, anchors = np.frombuffer(expanded(r["runs"]), np.uint32).reshape(2, -1)
+            cuts, anchors = np.r_[0, np.cumsum(sizes, dtype=np.int64)].tolist(), anchors.tolist()
+            text = expanded(r["data"])
+            columns = np.frombuffer(expanded(r["places"]), np.uint32).reshape(3, -1).tolist()
             for which, owner, start in zip(*columns):
                 data = text[cuts[which] : cuts[which + 1]]
                 here = (ids[owner], owner + at, start)
