@@ -9,7 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmark.llm.frames import map_rows, written
@@ -18,6 +18,8 @@ LETTER = regex.compile(r"\p{L}")
 #: Bytes that separate words: ASCII but its letters; bytes of non-ASCII characters stay in words.
 SPLIT = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LONGEST_GRAM = 4
+#: What additive smoothing adds to the count of every outcome.
+ADDED = 0.5
 
 
 class Model:
@@ -25,12 +27,13 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]], totals: list[int]):
         self.langs = langs
-        sums = np.zeros((LONGEST_GRAM + 1, len(langs)))
+        sums, kinds = np.zeros((LONGEST_GRAM + 1, len(langs))), Counter(map(len, grams))
         for g, c in grams.items():
             sums[len(g)] += c
-        logs = lambda counts, total: tuple(np.log((np.array(counts, float) + 0.5) / (total + 1)).tolist())
-        self.words = {w: logs(c, np.array(totals, float)) for w, c in words.items()}
-        self.grams = {g: logs(c, sums[len(g)]) for g, c in grams.items()}
+        # additive smoothing over all outcomes: the known words and one for the rest; the known n-grams of one length
+        logs = lambda counts, total, outcomes: tuple(np.log((np.array(counts, float) + ADDED) / (total + ADDED * outcomes)).tolist())
+        self.words = {w: logs(c, np.array(totals, float), len(words) + 1) for w, c in words.items()}
+        self.grams = {g: logs(c, sums[len(g)], kinds[len(g)]) for g, c in grams.items()}
 
     def score(self, word: str) -> tuple[float, ...]:
         """Log frequency by language. An unknown word is read left to right, each time by the longest known n-gram."""
@@ -88,7 +91,8 @@ def train(docs: DataFrame, sample_rows: int = 20_000, top_words: int = 30_000, t
     """Learns from rows with a language outside the held-out fifth.
 
     ``sample_rows`` bounds the training rows (those with the least hash of doc_id); ``top_words`` and ``top_grams`` bound
-    the model. Whole texts of the sample are counted in Spark; the bounded tables come to the driver.
+    the model. Words and n-grams enter it by their best rank within a language, so that each language has its share whatever
+    its part of the sample. Whole texts of the sample are counted in Spark; the bounded tables come to the driver.
     """
     spark = docs.sparkSession
     sample = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
@@ -119,10 +123,15 @@ def train(docs: DataFrame, sample_rows: int = 20_000, top_words: int = 30_000, t
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     starts = lambda n: F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     grams = counts.select("lang", "n", F.explode(F.concat(*(starts(n) for n in range(1, LONGEST_GRAM + 1)))).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    grams = written(grams, "language-grams")
 
     def most(df: DataFrame, top: int) -> dict[str, list[int]]:
-        per = df.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).filter(F.col("all") > 1)
-        return {r["word"]: [r["by"].get(x, 0) for x in langs] for r in per.orderBy(F.desc("all"), "word").limit(top).collect()}
+        # rank: how many of the language are as frequent or more; from the few distinct counts, no language is sorted in one task
+        as_frequent = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+        ranks = df.groupBy("lang", "n").agg(F.count("*").alias("same")).withColumn("rank", F.sum("same").over(as_frequent)).drop("same")
+        ranked = df.join(F.broadcast(ranks), ["lang", "n"])
+        per = ranked.groupBy("word").agg(F.min("rank").alias("rank"), F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        return {r["word"]: [r["by"].get(x, 0) for x in langs] for r in per.orderBy("rank", F.desc("all"), "word").limit(top).collect()}
 
     return Model(langs, most(counts, top_words), most(grams, top_grams), [totals[x] for x in langs])
 

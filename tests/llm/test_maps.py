@@ -201,3 +201,18 @@ def test_language(spark, sf_dir, odd, empty):
     assert language.identify(empty, model).collect() == []
     assert {r["lang_pred"] for r in language.identify(odd, language.train(empty)).collect()} == {"und"}
     assert len(model.score("zzqqx")) == 4
+
+
+def test_language_with_one_short_document(spark, sf_dir):
+    """A language of a single short document takes nothing from the others, and keeps its own words under a small bound."""
+    docs = table(spark, sf_dir, "documents")
+    own = "zorblat quimby xanthu wobble frindle okkapo zuzu blent marv grool"
+    rare = next(d for d in range(10**9, 10**9 + 99) if zlib.crc32(str(d).encode()) % 5)
+    all_docs = docs.unionByName(spark.createDataFrame([(rare, own, "qq", "s", len(own))], docs.schema))
+    lang = dict(docs.select("doc_id", "lang").collect())
+    model = language.train(all_docs)
+    rows = language.identify(all_docs, model).collect()
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["doc_id"] != rare) >= 0.95 * len(lang)
+    assert [r["lang_pred"] for r in rows if r["doc_id"] == rare] == ["qq"]
+    few = language.train(all_docs, top_words=100)
+    assert len(few.words) == 100 and set(own.split()) <= few.words.keys()
