@@ -22,6 +22,8 @@ from strandmark.llm.frames import map_rows, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one ranking window sorts; the number of windows follows the corpus.
 RANK_ROWS = 20_000
+#: Ranks of a length that meet the runs of places under one key; bounds the runs that a piece is compared with.
+RUN_RANKS = 256
 
 
 class Stock:
@@ -91,14 +93,12 @@ def reduce_by_dominance(stock: Stock, capacity: int) -> tuple[list[tuple[tuple[i
                 n = stock.count[x] + 1
                 stock.take(x, n - 1)
                 fixed.append(((x,), n))
-            elif y == room:  # an exact fill doesn't depend on the others, so all such pairs at once
+            elif y == room or sum(low[:2]) > room or len(low) < 2 or (sum(low) > room or len(low) < 3) and best_pair(stock, room) <= y:
+                # each of these stays true as items go, so all such pairs at once
                 n = (stock.count[x] + 1) // 2 if x == y else min(stock.count[x] + 1, stock.count[y])
                 stock.take(x, 2 * n - 1 if x == y else n - 1)
                 stock.take(y, 0 if x == y else n)
                 fixed.append(((x, y), n))
-            elif sum(low[:2]) > room or len(low) < 2 or (sum(low) > room or len(low) < 3) and best_pair(stock, room) <= y:
-                stock.take(y, 1)
-                fixed.append(((x, y), 1))
             else:
                 stock.put(x)
                 break
@@ -152,6 +152,12 @@ def places(plans: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
     return sorted(out)
 
 
+def run_ends(found: list[tuple[int, int, int, int]], counts: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, end of ranks, first sequence, offset): a run ends where the next of its length starts."""
+    after = [*found[1:], (0, 0, 0, 0)]
+    return [(x, rank, rank_after if x == y else counts[x], sequence, offset) for (x, rank, sequence, offset), (y, rank_after, _, _) in zip(found, after)]
+
+
 def tokenized(docs: DataFrame, capacity: int, end_id: int, path: str | None = None) -> DataFrame:
     """The pieces of every row: ids, then ``end_id``, cut only where a document exceeds ``capacity``."""
     end = end_id.to_bytes(4, "little")
@@ -180,26 +186,22 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | Non
     Null and empty texts are the end token alone. Equal lengths are ranked by doc_id, piece and checksum; repeated rows
     and null ids get places of their own, in any order. An empty table gives no rows. Other columns aren't read.
     Texts are tokenised once: the small pieces are written to the shared store. To the driver goes the histogram of
-    lengths (at most ``capacity`` rows); the table of places that is broadcast has a bound of its own, checked below.
+    lengths (at most ``capacity`` rows); the runs of places that follow from it are joined by length and range of ranks.
     """
     spark = docs.sparkSession
     pieces = written(tokenized(docs, capacity, end_id, path), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     found = places(plan_packing(counts, capacity))
-    by_length: dict[int, list] = {}
-    for length, rank, sequence, offset in found:
-        by_length.setdefault(length, []).append((rank, sequence, offset))
     groups = max(16, sum(counts.values()) // RANK_ROWS)
     dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     before = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "_g").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy("_g", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["length", "_g"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    # one row a length with the ordered starts of its runs: at most 2 * capacity plans of dominance and best fit's splits
-    if len(found) > 64 * capacity:
-        raise ValueError(f"{len(found)} runs of places for capacity {capacity}: too many to broadcast")
-    runs = spark.createDataFrame([(k, v) for k, v in by_length.items()], "length long, _runs array<struct<rank:long,sequence:long,offset:long>>")
-    # the last run that starts at or before the rank
-    run = F.element_at(F.filter("_runs", lambda r: r["rank"] <= F.col("_rank")), -1)
-    placed = ranked.join(F.broadcast(runs), "length").withColumn("_run", run)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_run.sequence") + F.col("_rank") - F.col("_run.rank")).alias("sequence_id"), F.col("_run.offset").alias("offset"))
+    # a run of places is cut at multiples of RUN_RANKS, so that it meets its pieces by an equal key, in any number
+    runs = spark.createDataFrame(run_ends(found, counts), "length long, _start long, _end long, _sequence long, _offset long")
+    blocks = F.sequence(F.floor(F.col("_start") / RUN_RANKS), F.floor((F.col("_end") - 1) / RUN_RANKS))
+    cut = runs.withColumn("_block", F.explode(blocks))
+    pieces_in = ranked.withColumn("_block", F.floor(F.col("_rank") / RUN_RANKS))
+    placed = pieces_in.join(cut, ["length", "_block"]).filter("_start <= _rank and _rank < _end")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_sequence") + F.col("_rank") - F.col("_start")).alias("sequence_id"), F.col("_offset").alias("offset"))

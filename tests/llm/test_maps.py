@@ -132,6 +132,22 @@ def test_reduction_keeps_an_optimum(items):
     assert sum(n for _, n in fixed) + least_bins(left, 12) == least_bins(items, 12)
 
 
+def test_equal_pairs_are_one_plan():
+    assert packing.plan_packing({3000: 1000, 1000: 1000}, 4096) == [((3000, 1000), 1000)]
+    assert packing.plan_packing({3000: 7, 1000: 9}, 4096)[0] == ((3000, 1000), 7)
+
+
+def test_any_number_of_runs(spark, monkeypatch):
+    """As many runs as pieces, and ranges of ranks that many runs share."""
+    monkeypatch.setattr(packing, "RUN_RANKS", 4)
+    monkeypatch.setattr(packing, "plan_packing", lambda counts, capacity: [((x,), 1) for x, n in counts.items() for _ in range(n)])
+    rows = [(k, "a " * (k % 3)) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = packing.pack(docs, 7).collect()
+    check_packing(placed, rows, 7)
+    assert len({r["sequence_id"] for r in placed}) == len(placed) > 64 * 7
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
