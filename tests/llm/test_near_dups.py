@@ -89,6 +89,17 @@ def test_large_buckets(spark, monkeypatch):
     assert got(df) == brute(rows)
 
 
+def test_repeated_lines(spark):
+    """Near copies in one of which a line stands 50 times are found like any others."""
+    rows = []
+    for i in range(20):
+        base, line = " ".join(f"w{i}x{k}" for k in range(200)), " ".join(f"l{i}x{k}" for k in range(10))
+        rows += [(2 * i, f"{base} {line}"), (2 * i + 1, f"{base} " + f"{line} " * 50)]
+    want = brute(rows)
+    assert {c for _, c, _ in want} == {*range(0, 40, 2)}
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_estimates_probability_jaccard():
     rnd = np.random.default_rng(5)
     for _ in range(3):
