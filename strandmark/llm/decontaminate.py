@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from strandmark.llm.frames import map_rows
 
@@ -80,6 +81,16 @@ def blocks_of(benchmark: DataFrame, max_bytes: int):
         yield part
 
 
+def with_last(parts: Iterable[list]) -> Iterator[tuple[list, bool]]:
+    """Each part, and whether it is the last; an empty one if there are none. Two parts are held at a time."""
+    held = None
+    for part in parts:
+        if held is not None:
+            yield held, False
+        held = part
+    yield held or [], True
+
+
 def covered_words(spans: list[int]) -> int:
     """Words under at least one of the spans, given as start, end, start, end, ..."""
     hit = reach = 0
@@ -119,12 +130,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_byte
     searched part after part, each pass handing its spans and items to the next.
     """
     context = docs.sparkSession.sparkContext
-    parts = list(blocks_of(benchmark, max_bytes)) or [[]]
     df = docs.select("doc_id", "text", F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for k, part in enumerate(parts):
+    for part, last in with_last(blocks_of(benchmark, max_bytes)):
         shared = context.broadcast(part)
 
-        def make(shared=shared, last=k == len(parts) - 1):
+        def make(shared=shared, last=last):
             search = Search(shared.value, window)
 
             def work(rows: dict) -> dict:
@@ -140,27 +150,34 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_byte
 
             return work
 
-        df = map_rows(df, make, RESULT if k == len(parts) - 1 else "doc_id long, text string, spans array<long>, items array<string>")
+        df = map_rows(df, make, RESULT if last else "doc_id long, text string, spans array<long>, items array<string>")
     return df
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, without the contaminated ones.
 
-    Verdict and filter are one narrow pass: the text itself is judged, so repeated or null ids do no harm.
-    A benchmark over ``max_bytes`` is judged by ``find_items`` and joined back by id.
+    Verdict and filter are narrow passes: the text itself is judged, so repeated or null ids do no harm. A benchmark over
+    ``max_bytes`` is searched part after part; rows go along whole with the spans found so far, and the last pass judges.
     """
-    parts = list(blocks_of(benchmark, max_bytes)) or [[]]
-    if len(parts) > 1:
-        bad = find_items(docs, benchmark, window, max_bytes).filter("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(parts[0])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(shared.value, window)
-        for batch in batches:
-            split = [*map(words, batch.column(batch.schema.get_field_index("text")).to_pylist())]
-            keep = [not is_contaminated(covered_words(search(w)[0]), len(w)) for w in split]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    context = docs.sparkSession.sparkContext
+    row = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields])
+    carried = StructType([StructField("row", row), StructField("spans", ArrayType(LongType()))])
+    df = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), F.array().cast("array<long>").alias("spans"))
+    for part, last in with_last(blocks_of(benchmark, max_bytes)):
+        shared = context.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            search = Search(shared.value, window)
+            for batch in batches:
+                rows = batch.column(0)
+                split = [*map(words, rows.field("text").to_pylist())]
+                spans = [a + search(w)[0] for a, w in zip(batch.column(1).to_pylist(), split)]
+                if last:
+                    keep = [not is_contaminated(covered_words(s), len(w)) for s, w in zip(spans, split)]
+                    yield pa.RecordBatch.from_struct_array(rows).filter(pa.array(keep, pa.bool_()))
+                else:
+                    yield pa.RecordBatch.from_arrays([rows, pa.array(spans, pa.list_(pa.int64()))], ["row", "spans"])
+
+        df = df.mapInArrow(run, docs.schema if last else carried)
+    return df

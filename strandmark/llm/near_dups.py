@@ -160,7 +160,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links of every row.
+    """doc_id, class_id, copy_id, n_links of every row, as ``near_classes`` finds them."""
+    return near_classes(docs, similarity, bands, rows).drop("cls")
+
+
+def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
+    """doc_id, cls (digest of the text), class_id, copy_id, n_links of every row.
 
     ``copy_id`` is the least doc_id with the very same text; ``class_id`` the least doc_id of the near-duplicate class, a
     connected component of links: pairs of different texts whose sets of five-word shingles have a Jaccard similarity
@@ -203,12 +208,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
     named = labels.join(classes.select("cls", "rep"), "cls").groupBy("comp").agg(F.min("rep").alias("class_id"))
     of_class = classes.select("cls", F.col("rep").alias("copy_id")).join(labels, "cls", "left").join(named, "comp", "left").join(counts, "cls", "left")
     of_class = of_class.select("cls", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = signed.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "class_id", "copy_id", "n_links")
-    alone = docs.filter("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    found = signed.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "cls", "class_id", "copy_id", "n_links")
+    alone = docs.filter("text is null").select("doc_id", F.lit(None).cast("binary").alias("cls"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(alone)
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't near-duplicates of a smaller doc_id; rows with a null id stay."""
-    gone = near_duplicates(docs, similarity).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, that aren't near-duplicates of a smaller doc_id; rows with a null id stay.
+
+    A row goes by its id and its text: another text under the same id stays.
+    """
+    gone = near_classes(docs, similarity).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_cls")).distinct()
+    same = (docs["doc_id"] == gone["gone_id"]) & (F.unhex(F.md5(docs["text"])) == gone["gone_cls"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)

@@ -5,6 +5,7 @@ from test_maps import brute_items, check_packing
 from test_near_dups import brute as brute_classes
 from test_repeats import brute_words
 
+from strandmark.llm import decontaminate, near_dups
 from strandmark.llm.frames import table, written
 
 
@@ -42,3 +43,20 @@ def test_empty(spark, tmp_path, sf_dir):
     for name in ("documents", "benchmark"):
         table(spark, sf_dir, name).filter("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_with_one_id_are_judged_apart(spark):
+    """Neither a contaminated row nor a near copy takes other texts of its id along, in however many parts the benchmark comes."""
+    item = " ".join(f"b{i}" for i in range(20))
+    bench = spark.createDataFrame([(k, item.replace("b", "bcdefg"[k])) for k in range(6)], "item_id long, text string")
+    rows = [(1, item, "x"), (1, "clean one", "y"), (None, item.replace("b", "g"), "x"), (None, "clean two", "y"), (2, None, "y"), (1, item.replace("b", "e"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `spans` string")
+    for most in (1 << 20, 100):
+        left = decontaminate.drop_contaminated(docs, bench, max_bytes=most)
+        assert left.schema == docs.schema
+        assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(r) for r in rows if r[2] == "y")
+
+    long = " ".join(f"w{i}" for i in range(200))
+    texts = [(1, long), (2, long + " end"), (2, "another text"), (2, None), (None, long)]
+    left = near_dups.keep_one_of_each(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [texts[0], *texts[2:]]))
