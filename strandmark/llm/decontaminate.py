@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from strandmark.llm.frames import map_rows
+from strandmark.llm.frames import map_rows, slices
 
 #: A-Z become a-z; other ASCII characters but digits and letters separate words; bytes of non-ASCII characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -169,10 +169,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, m
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             search = Search(shared.value, window)
-            for batch in batches:
-                rows = batch.column(0)
+            for piece in slices(batches):
+                rows = piece.column(0)
                 split = [*map(words, rows.field("text").to_pylist())]
-                spans = [a + search(w)[0] for a, w in zip(batch.column(1).to_pylist(), split)]
+                spans = [a + search(w)[0] for a, w in zip(piece.column(1).to_pylist(), split)]
                 if last:
                     keep = [not is_contaminated(covered_words(s), len(w)) for s, w in zip(spans, split)]
                     yield pa.RecordBatch.from_struct_array(rows).filter(pa.array(keep, pa.bool_()))

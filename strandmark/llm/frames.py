@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,67 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Text whose words are hashed at once; the arrays of a chunk take about 60 bytes a byte.
+CHUNK_BYTES = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the bytes, powers of the base and of its inverse modulo 2 ** 64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)), np.cumprod(up), np.cumprod(down)
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without ASCII white space."""
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = SPACE[raw]
+    return np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable 64-bit hash of each word, with the words' starts and ends; chunk after chunk, without a table of words.
+
+    The hash is a polynomial in the bytes: differences of a running sum, moved to the power 0. Words of a chunk or more
+    have a hash of their own kind.
+    """
+    values, up, down = _powers(CHUNK_BYTES)
+    found = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = 0
+    while at < len(data):
+        raw = np.frombuffer(data, np.uint8, min(CHUNK_BYTES, len(data) - at), at)
+        gaps = np.flatnonzero(SPACE[raw])
+        if len(raw) == CHUNK_BYTES and not len(gaps):
+            after = _WHITE.search(data, at + CHUNK_BYTES)
+            end = after.start() if after else len(data)
+            more = [xxhash.xxh3_64_intdigest(memoryview(data)[at:end])], [at], [end]
+        else:
+            if at + len(raw) < len(data):
+                raw = raw[: gaps[-1] + 1]
+            end = at + len(raw)
+            starts, ends = word_spans(raw)
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
+            more = mixed((sums[ends] - sums[starts]) * down[starts]), starts + at, ends + at
+        for kind, x in zip(found, more):
+            kind.append(np.asarray(x, kind[0].dtype))
+        at = end
+    hashes, starts, ends = map(np.concatenate, found)
+    return hashes, starts, ends
+
+
+def hashed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts in a row, and each text's number of words."""
+    hashes, starts, _ = word_hashes(b"\n".join(texts))
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return hashes, np.diff(np.searchsorted(starts, begins))
+
+
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` symbols; empty when there are fewer."""
     count = len(ids) - n + 1
@@ -91,17 +154,31 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+#: Bytes of rows that go to a Python worker at once where a table is written.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder below spark.checkpoint.dir, the store that driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) a folder below /tmp serves.
+    Only on a single machine a folder below /tmp serves where that setting is absent.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandmark-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/strandmark-checkpoints"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes a table to the shared store and reads it back."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage: writes a table to the shared store and reads it back. Rows reach Python in small batches meanwhile, since
+    a row can be large here; the session's setting comes back afterwards."""
+    spark = df.sparkSession
+    path, before = scratch(spark, label), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,17 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmark.llm.frames import WordIds, grams, map_rows, mixed, slices, written
+from strandmark.llm.frames import grams, hashed_texts, map_rows, mixed, slices, written
 
-#: Members of a bucket that one block holds, on average.
-BLOCK = 64
-IDS = WordIds()
+#: Members of a bucket that one block holds, and bytes of their shingles; either bounds it. Blocks are compared in tiles.
+BLOCK, BLOCK_BYTES, TILE = 256, 1 << 20, 64
+#: Shingles of which the arrivals are drawn at once.
+ARRIVALS = 1 << 18
 
 
-def shingles(text: str, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``n``-word shingles (sorted hashes) and their counts; a text with fewer words is one shingle."""
-    ids = IDS.of(text.encode().split())
-    return np.unique(grams(ids, min(n, len(ids))), return_counts=True) if len(ids) else (ids, np.empty(0, np.int64))
+def shingles(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    """Distinct ``n``-word shingles of each text (sorted hashes); a text with fewer words is one shingle, one without words has none."""
+    hashes, counts = hashed_texts(texts)
+    whole, out, at = grams(hashes, n), [], 0
+    for count in counts.tolist():
+        found = whole[at : at + count - n + 1] if count >= n else grams(hashes[at : at + count], max(1, count))
+        found.sort()  # texts have no gram of ``whole`` in common
+        out.append(found[np.r_[True, found[1:] != found[:-1]]] if count > n else found)
+        at += count
+    return out
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs: int, registers: int) -> np.ndarray:
@@ -29,24 +36,25 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, doc
     keeps the element that came first. All randomness is a function of element and arrival number. An element stops once it
     is later than the last register of its document: none of its later arrivals could matter.
     """
-    best = np.full((docs, registers), np.inf)
-    signature = np.zeros((docs, registers), np.uint64)
+    best = np.full(docs * registers, np.inf)
+    signature = np.zeros(docs * registers, np.uint64)
     last = np.full(docs, np.inf)
-    time, active, arrival = np.zeros(len(elements)), np.arange(len(elements)), 0
-    while len(active):
-        arrival += 1
-        seed = mixed(elements[active] + np.uint64(arrival * 0x9E3779B97F4A7C15 % 2**64))
-        uniform = ((seed >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
-        time[active] -= np.log(uniform) / weights[active]
-        keep = time[active] < last[doc[active]]
-        active, seed = active[keep], seed[keep]
-        at = (doc[active], (mixed(seed ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(registers)).astype(np.int64))
-        np.minimum.at(best, at, time[active])
-        first = best[at] == time[active]
-        signature[at[0][first], at[1][first]] = elements[active[first]]
-        touched = np.unique(at[0])
-        last[touched] = best[touched].max(axis=1)
-    return signature
+    for begin in range(0, len(elements), ARRIVALS):
+        element, weight, owner = (x[begin : begin + ARRIVALS] for x in (elements, weights, doc))
+        time, arrival = np.zeros(len(element)), 0
+        while len(element):
+            arrival += 1
+            seed = mixed(element + np.uint64(arrival * 0x9E3779B97F4A7C15 % 2**64))
+            time = time - np.log(((seed >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / weight
+            keep = time < last[owner]
+            element, weight, owner, time, seed = (x[keep] for x in (element, weight, owner, time, seed))
+            at = owner * registers + (mixed(seed ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(registers)).astype(np.int64)
+            np.minimum.at(best, at, time)
+            first = best[at] == time
+            signature[at[first]] = element[first]
+            touched = np.unique(owner)
+            last[touched] = best.reshape(docs, registers)[touched].max(axis=1)
+    return signature.reshape(docs, registers)
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -56,13 +64,12 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, limit=2 << 20):
-            sets = [shingles(t) for t in piece.column(2).to_pylist()]
-            sizes = [len(s) for s, _ in sets]
+        for piece in slices(batches, limit=1 << 20):
+            sets = shingles(piece.column(2).cast(pa.binary()).to_pylist())
+            sizes = [*map(len, sets)]
             doc = np.repeat(np.arange(len(sets)), sizes)
-            elements = np.concatenate([s for s, _ in sets])
-            found = prob_minhash(elements, np.ones(len(elements)), doc, len(sets), bands * rows)
-            hashes = found.reshape(len(sets), bands, rows)
+            elements = np.concatenate(sets)
+            hashes = prob_minhash(elements, np.ones(len(elements)), doc, len(sets), bands * rows).reshape(len(sets), bands, rows)
             key = np.zeros((len(sets), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
             for k in range(rows):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + hashes[:, :, k])
@@ -72,22 +79,16 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5("text")).alias("cls"), "text").mapInArrow(run, "doc_id long, cls binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and shingles (sorted hashes as bytes) for the classes in ``wanted`` (cls, rep)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """cls and shingles (sorted hashes as bytes) for the classes in ``wanted`` (cls, rep); ``repeated``: rows may be equal."""
 
-    def make():
-        def work(rows: dict) -> dict:
-            return {"cls": rows["cls"], "shingles": [shingles(t)[0].tobytes() for t in rows["text"]]}
-
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, limit=1 << 20):
+            sets = [x.tobytes() for x in shingles(piece.column(1).cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.binary())], ["cls", "shingles"])
 
     of = docs.select(F.col("doc_id").alias("rep"), F.unhex(F.md5("text")).alias("cls"), "text").join(wanted, ["rep", "cls"])
-    return map_rows(of.dropDuplicates(["rep", "cls"]) if docs_repeat(docs) else of, make, "cls binary, shingles binary")
-
-
-def docs_repeat(docs: DataFrame) -> bool:
-    """Whether an id occurs twice; only then do equal rows need dropping."""
-    return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    return (of.dropDuplicates(["rep", "cls"]) if repeated else of).select("cls", "text").mapInArrow(run, "cls binary, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
@@ -108,31 +109,51 @@ def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return written(map_rows(joined.select("a", "b", "x", "y"), make, "a binary, b binary, j double"), label)
 
 
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each member of ``x`` has in common with each of ``y``, by matrix products over ranges of shingles."""
+    every = np.unique(np.concatenate([*x, *y]))
+    total = np.zeros((len(x), len(y)), np.int64)
+    for begin in range(0, len(every), 1 << 14):
+        part = every[begin : begin + (1 << 14)]
+
+        def rows(z: list[np.ndarray]) -> np.ndarray:
+            has = np.zeros((len(z), len(part)), np.float32)
+            for i, s in enumerate(z):
+                inside = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                has[i, np.searchsorted(part, inside)] = 1
+            return has
+
+        total += np.rint(rows(x) @ rows(y).T).astype(np.int64)
+    return total
+
+
 def linked(blocks: DataFrame, least: float) -> DataFrame:
     """a, b and their Jaccard similarity where it is ``least`` or more, for members of a block x with those of y (or, if y
     is null, among themselves) that are in different components. Only links come out."""
 
-    def counts(x: list, y: list) -> np.ndarray:
-        every = np.unique(np.concatenate([*x, *y]))
-        if len(every) <= 20_000:
-            rows = lambda z: np.stack([np.isin(every, s, assume_unique=True) for s in z]).astype(np.float32)
-            return np.rint(rows(x) @ rows(y).T).astype(np.int64)
-        return np.array([[len(np.intersect1d(s, t, assume_unique=True)) for t in y] for s in x])
+    def tiles(members: list) -> Iterator[tuple[list, list]]:
+        members = sorted(members, key=lambda m: len(m["shingles"]))  # then tiles whose sizes differ too much are passed over
+        for i in range(0, len(members), TILE):
+            yield members[i : i + TILE], [np.frombuffer(m["shingles"], np.uint64) for m in members[i : i + TILE]]
 
     def make():
         def work(rows: dict) -> dict:
             out = {"a": [], "b": [], "j": []}
             for x, y in zip(rows["x"], rows["y"]):
-                other = x if y is None else y
-                sx, sy = ([np.frombuffer(m["shingles"], np.uint64) for m in z] for z in (x, other))
-                both = counts(sx, sy)
-                j = both / (np.array([*map(len, sx)])[:, None] + np.array([*map(len, sy)])[None] - both)
-                for i, k in zip(*np.nonzero(j >= least)):
-                    a, b = sorted((x[i]["cls"], other[k]["cls"]))
-                    if x[i]["comp"] != other[k]["comp"] and (y is not None or i < k):
-                        out["a"].append(a)
-                        out["b"].append(b)
-                        out["j"].append(float(j[i, k]))
+                left = [*tiles(x)]
+                right = left if y is None else [*tiles(y)]
+                for p, (mx, sx) in enumerate(left):
+                    for my, sy in right[p:] if y is None else right:
+                        if len(sx[-1]) < least * len(sy[0]) or len(sy[-1]) < least * len(sx[0]):
+                            continue
+                        both = common(sx, sy)
+                        j = both / (np.array([*map(len, sx)])[:, None] + np.array([*map(len, sy)])[None] - both)
+                        for i, k in zip(*np.nonzero(j >= least)):
+                            if mx[i]["comp"] != my[k]["comp"] and (mx is not my or i < k):
+                                a, b = sorted((mx[i]["cls"], my[k]["cls"]))
+                                out["a"].append(a)
+                                out["b"].append(b)
+                                out["j"].append(float(j[i, k]))
             return out
 
         return work
@@ -160,21 +181,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links of every row, as ``near_classes`` finds them."""
+    """doc_id, class_id, copy_id, n_spanning_links of every row, as ``near_classes`` finds them."""
     return near_classes(docs, similarity, bands, rows).drop("cls")
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
-    """doc_id, cls (digest of the text), class_id, copy_id, n_links of every row.
+    """doc_id, cls (digest of the text), class_id, copy_id, n_spanning_links of every row.
 
     ``copy_id`` is the least doc_id with the very same text; ``class_id`` the least doc_id of the near-duplicate class, a
     connected component of links: pairs of different texts whose sets of five-word shingles have a Jaccard similarity
-    of ``similarity`` or more. ``n_links`` counts the verified links of the row's text. Candidates are texts with an equal band of
+    of ``similarity`` or more. ``n_spanning_links`` counts the links of the row's text that were verified, enough of them
+    to span each class, not all. Candidates are texts with an equal band of
     ProbMinHash registers over their sets of shingles, however often these occur; 16 bands of 4 find a pair at 0.8 with probability 0.9998.
 
     Exact copies meet as one class before anything is compared. Every text is compared with the least of its leaders first.
     Buckets aren't expanded into pairs: those whose members aren't in one component then are cut into blocks of
-    bounded size, blocks meet, and only links between components come out. So no link that would join two is lost.
+    bounded size in members and bytes, blocks meet, and only links between components come out. So no link that would join two is lost.
     Null texts are classes of their own; empty texts, and texts of white space, have no shingles and are duplicates only of exact
     copies; rows with a null doc_id take part through their texts, a class that has no id at all has a null class_id; repeated rows
     stay rows; an empty table gives no rows; other columns aren't read.
@@ -185,7 +207,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 16, rows
     filed = classes.filter("rep is not null").select("cls", "rep", F.explode("bands").alias("key"))
     buckets = filed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "cls")).alias("lead")).filter("n > 1")
     members = written(filed.join(buckets, "key").select("key", "cls", "rep", "n", F.col("lead.rep").alias("lead_rep"), F.col("lead.cls").alias("lead")), "members")
-    sets = written(shingle_sets(docs, members.select("cls", "rep").distinct()), "shingles")
+    repeated = bool(signed.groupBy("doc_id", "cls").count().filter("count > 1").limit(1).count())
+    sets = written(shingle_sets(docs, members.select("cls", "rep").distinct(), repeated), "shingles")
 
     # first everyone with the least of its leaders
     first = members.filter("cls <> lead").groupBy("cls").agg(F.min(F.struct("lead_rep", "lead")).alias("l")).select(F.col("l.lead").alias("a"), F.col("cls").alias("b"))
@@ -193,23 +216,27 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 16, rows
     labels = components(checked.filter(F.col("j") >= similarity))
     # then, in buckets of several components, blocks of members with each other
     known = members.select("key", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    several = known.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).filter("c1 <> c2").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    placed = known.join(several, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    several = known.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
+    sized = written(known.join(several, "key").join(sets.select("cls", F.octet_length("shingles").alias("size")), "cls"), "sized")
+    needed = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    placed = sized.drop("size").join(needed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     blocks = written(placed.join(sets, "cls").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("cls", "comp", "shingles")).alias("x")), "blocks")
-    many = blocks.filter("blocks > 1").drop("blocks")
-    across = many.join(many.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key").filter("block < other").select("x", "y")
+    # every two blocks of a bucket meet under a key of their own
+    later = blocks.filter("block < blocks - 1").select("key", "block", F.explode(F.expr("sequence(block + 1, blocks - 1)")).alias("other"), "x")
+    earlier = blocks.filter("block > 0").select("key", F.explode(F.expr("sequence(0L, block - 1)")).alias("block"), F.col("block").alias("other"), F.col("x").alias("y"))
+    across = later.join(earlier, ["key", "block", "other"]).select("x", "y")
     own = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
     found = linked(own.unionByName(across), similarity)
     checked = written(checked.unionByName(found.groupBy("a", "b").agg(F.max("j").alias("j")).join(checked.select("a", "b"), ["a", "b"], "left_anti")), "checked")
     labels = components(checked.filter(F.col("j") >= similarity))
 
     links = checked.filter(F.col("j") >= similarity)
-    counts = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    counts = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("n_spanning_links"))
     named = labels.join(classes.select("cls", "rep"), "cls").groupBy("comp").agg(F.min("rep").alias("class_id"))
     of_class = classes.select("cls", F.col("rep").alias("copy_id")).join(labels, "cls", "left").join(named, "comp", "left").join(counts, "cls", "left")
-    of_class = of_class.select("cls", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = signed.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "cls", "class_id", "copy_id", "n_links")
-    alone = docs.filter("text is null").select("doc_id", F.lit(None).cast("binary").alias("cls"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    of_class = of_class.select("cls", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
+    found = signed.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "cls", "class_id", "copy_id", "n_spanning_links")
+    alone = docs.filter("text is null").select("doc_id", F.lit(None).cast("binary").alias("cls"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_spanning_links"))
     return found.unionByName(alone)
 
 
