@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,10 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmark.llm.frames import map_rows, written
+from strandmark.llm.frames import map_rows, slices, written
 
 LETTER = regex.compile(r"\p{L}")
-#: Bytes that separate words: ASCII but its letters; bytes of non-ASCII characters stay in words.
+#: Bytes that separate words: ASCII but its letters. Of other characters letters and their marks stay, see ``lower_words``.
 SPLIT = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LONGEST_GRAM = 4
 #: What additive smoothing adds to the count of every outcome.
@@ -33,14 +35,17 @@ class Model:
         # additive smoothing over all outcomes: the known words and one for the rest; the known n-grams of one length
         logs = lambda counts, total, outcomes: tuple(np.log((np.array(counts, float) + ADDED) / (total + ADDED * outcomes)).tolist())
         self.words = {w: logs(c, np.array(totals, float), len(words) + 1) for w, c in words.items()}
+        self.unknown = logs([0] * len(langs), np.array(totals, float), len(words) + 1)
         self.grams = {g: logs(c, sums[len(g)], kinds[len(g)]) for g, c in grams.items()}
 
     def score(self, word: str) -> tuple[float, ...]:
-        """Log frequency by language. An unknown word is read left to right, each time by the longest known n-gram."""
+        """Log probability by language: of a known word its own; of an unknown one that of any unknown word, times those of
+        the n-grams that spell it, read left to right, each time the longest known. So all words are on one scale. Characters in no
+        known n-gram tell nothing."""
         known = self.words.get(word)
         if known is not None:
             return known
-        padded, at, read, get = f" {word} ", 0, [], self.grams.get
+        padded, at, read, get = f" {word} ", 0, [self.unknown], self.grams.get
         end = len(padded)
         while at < end:
             for n in range(min(LONGEST_GRAM, end - at), 0, -1):
@@ -51,13 +56,13 @@ class Model:
             else:
                 n = 1
             at += n
-        return tuple(sum(column) / len(read) for column in zip(*read)) if read else (0.0,) * len(self.langs)
+        return tuple(map(sum, zip(*read)))
 
 
 class Scores(dict):
     """word (bytes) -> row in a matrix of scores; bounded."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self, model: Model):
         super().__init__()
@@ -79,8 +84,20 @@ class Scores(dict):
         return total
 
 
+@lru_cache(maxsize=1 << 14)
+def separates(character: str) -> bool:
+    """Whether a character outside ASCII is neither a letter nor a mark on one."""
+    return unicodedata.category(character)[0] not in "LM"
+
+
 def lower_words(text: str) -> list[bytes]:
-    return text.lower().encode().translate(SPLIT).split()
+    """Runs of letters, in lower case."""
+    text = text.lower()
+    if not text.isascii():
+        for c in {*text}:
+            if c > "\x7f" and separates(c):
+                text = text.replace(c, " ")
+    return text.encode().translate(SPLIT).split()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -107,10 +124,10 @@ def train(docs: DataFrame, sample_rows: int = 20_000, top_words: int = 30_000, t
             tally.clear()
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        for piece in slices(batches):
+            for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist()):
                 tally.update((lang, w) for w in lower_words(text or ""))
-                if len(tally) > 300_000:
+                if len(tally) > 100_000:
                     yield flush()
         if tally:
             yield flush()
@@ -157,7 +174,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its whole text alone; one narrow pass.
 
     Null texts, texts without a letter and any text under a model without languages are ``und`` with score 0. Ties go to
-    the language first in order. Repeated rows stay rows; other columns aren't read; a null doc_id isn't held out.
+    the language first in order. Repeated rows stay rows; other columns, also of clashing names, aren't read; a null doc_id isn't
+    held out; a very long text is held by its own task alone; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,13 +192,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least ``least_score``."""
+    """The rows of ``docs``, all columns, whose text has a language with at least ``least_score``.
+
+    Null texts, texts without letters and, under a model without languages, all texts go. The text alone is judged: null or
+    repeated ids, repeated rows and columns of any name come through as they are. Ties are decided as in ``identify``. A very long
+    text is held by its own task alone; an empty table gives no rows. One narrow pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         predict = predictor(shared.value)
-        for batch in batches:
-            found = map(predict, batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
+        for piece in slices(batches):
+            found = map(predict, piece.column(piece.schema.get_field_index("text")).to_pylist())
+            yield piece.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

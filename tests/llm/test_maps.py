@@ -219,6 +219,73 @@ def test_language(spark, sf_dir, odd, empty):
     assert len(model.score("zzqqx")) == 4
 
 
+def brute_languages(rows, top_words, top_grams, added=0.5):
+    """text -> (language, score) from (doc_id, lang, text) rows: the method in plain loops."""
+    import math
+    import unicodedata
+
+    def split(text):
+        return "".join(c if (c.isascii() and c.isalpha()) or (not c.isascii() and unicodedata.category(c)[0] in "LM") else " " for c in (text or "").lower()).split(" ")
+
+    words, grams = {}, {}
+    for d, lang, text in rows:
+        if lang is not None and text is not None and (d is None or zlib.crc32(str(d).encode()) % 5):
+            for w in filter(None, split(text)):
+                words.setdefault(w, Counter())[lang] += 1
+                for n in range(1, 5):
+                    for i in range(len(w) + 3 - n):
+                        grams.setdefault(f" {w} "[i : i + n], Counter())[lang] += 1
+    langs = sorted({x for c in words.values() for x in c})
+    totals = {x: sum(c[x] for c in words.values()) for x in langs}
+
+    def most(found, top):
+        # the best place that a string has among those of a language, equal counts sharing the last one
+        ordered = {x: sorted(c[x] for c in found.values() if c[x]) for x in langs}
+        from bisect import bisect_left
+
+        rank = lambda c: min(len(ordered[x]) - bisect_left(ordered[x], n) for x, n in c.items())
+        return {s: found[s] for s in sorted(found, key=lambda s: (rank(found[s]), -found[s].total(), s))[:top]}
+
+    words, grams = most(words, top_words), most(grams, top_grams)
+    sums = {(n, x): sum(c[x] for g, c in grams.items() if len(g) == n) for n in range(1, 5) for x in langs}
+    kinds = Counter(map(len, grams))
+
+    def log(word, x):
+        unseen = added / (totals[x] + added * (len(words) + 1))
+        if word in words:
+            return math.log((words[word][x] + added) / (totals[x] + added * (len(words) + 1)))
+        padded, out = f" {word} ", math.log(unseen)
+        while padded:
+            n = next((n for n in range(4, 0, -1) if len(padded) >= n and padded[:n] in grams), 0)
+            if n:
+                out += math.log((grams[padded[:n]][x] + added) / (sums[n, x] + added * kinds[n]))
+            padded = padded[max(n, 1) :]
+        return out
+
+    def predict(text):
+        found = [w for w in split(text) if w]
+        if not found:
+            return "und", 0.0
+        counts = Counter(found)
+        by = {x: sum(n * log(w, x) for w, n in counts.items()) / math.sqrt(len(found)) for x in langs}
+        best = max(langs, key=by.get)
+        return best, 1 / sum(math.exp(v - by[best]) for v in by.values())
+
+    return predict
+
+
+def test_language_brute_force(spark, sf_dir, odd):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    extra = spark.createDataFrame([(9001, None, "«bonjour» — l’été… zzqx ñandú 東京"), (9002, "xx", "qzq qzq «qzq» wwv"), (9003, None, None), (9004, None, "123 ...")], docs.schema)
+    every = docs.unionByName(extra)
+    rows = [tuple(r) for r in every.collect()]
+    model = language.train(every, top_words=400, top_grams=900)
+    predict = brute_languages(rows, 400, 900)
+    for r in language.identify(every, model).collect():
+        lang, score = predict(next(t for d, _, t in rows if d == r["doc_id"]))
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-6, r
+
+
 def test_language_with_one_short_document(spark, sf_dir):
     """A language of a single short document takes nothing from the others, and keeps its own words under a small bound."""
     docs = table(spark, sf_dir, "documents")
