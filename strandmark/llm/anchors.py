@@ -5,12 +5,14 @@ That anchor depends on the window alone, so equal windows of any documents meet.
 a *run*; what goes over the wire is one anchor a run, then the texts of runs whose anchor other documents have too:
 
 1. anchors of each document, combined in the task -> buckets of anchors; shared ones are told to the documents' groups
-2. runs of shared anchors, equal ones combined in the task -> shards; a *resolver* compares the runs of a shard
+2. runs of shared anchors, equal ones combined in the task -> shards; a *resolver* compares all runs of a shard
 3. covered spans -> back to the documents' groups, where the result is made
 
 An anchor, a passage or a copy, however frequent, sends one entry a task: entries of one task are merged before each shuffle.
-Groups, buckets and shards are hashes whose number follows the amount of text. Rows are keyed by (doc_id, hash of
-the text), so repeated ids do no harm.
+An anchor with ``HOT_OWNERS`` owners or more may stand in as many different contexts; the groups that have it are told so too,
+and file each of its windows under a digest of the whole window instead, so that only equal windows meet under one key.
+Groups, buckets and shards are hashes whose number follows the amount of text. Rows go by doc_id and a hash of doc_id and
+text, so repeated ids do no harm.
 """
 
 from __future__ import annotations
@@ -24,24 +26,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from strandmark.llm.frames import WordIds, grams, mixed, slices
+from strandmark.llm.frames import grams, mixed, slices, word_hashes
 
-#: Text in one group of documents, and in one shard of runs (about a quarter of all text, five times over).
-GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 2 << 20
-LEAST_GROUPS, LEAST_BUCKETS, LEAST_SHARDS = 256, 64, 256
-PACKET = "g int, owners binary, counts binary, values binary"
-ANCHORS = "bucket int, told boolean, g int, owners binary, counts binary, values binary, common binary"
-RUNS = "shard int, done boolean, g int, owners binary, counts binary, values binary, places binary, runs binary, data binary"
+#: Text in one group of documents, in one bucket of anchors, and in one shard of runs (about a quarter of all text, five times over).
+GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 8 << 20
+LEAST_GROUPS, LEAST_BUCKETS, LEAST_SHARDS = 256, 64, 128
+#: Runs of a shard that a resolver has at once are those of so many bytes.
+PART_BYTES = 1_500_000
+#: Rows with one anchor, from which its windows are dealt one by one.
+HOT_OWNERS = 4096
+#: What moves: a place to go, and arrays packed into one value. Kinds of the packets for shards:
+PACKET, ANCHORS, RUNS = "g int, data binary", "bucket int, g int, data binary", "shard int, kind int, g int, data binary"
+DONE, RUN, WINDOW = 0, 1, 2
 
 
 def arrow(schema: str) -> pa.Schema:
     """The Arrow form of the flat schemas above; needs no session, so tasks can call it."""
-    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
+def joined(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays as one value; ``parted`` takes them apart."""
+    parts = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+
+
+def parted(data: bytes, *kinds: type) -> list:
+    sizes = struct.unpack_from(f"<{len(kinds)}I", data)
+    cuts = np.cumsum([4 * len(kinds), *sizes]).tolist()
+    return [data[a:b] if kind is bytes else np.frombuffer(data[a:b], kind) for kind, a, b in zip(kinds, cuts, cuts[1:])]
+
+
 def packed(data: bytes) -> bytes:
     """Runs overlap and repeat, and numbers are small: packed well they take much less than what the shuffle leaves."""
     return struct.pack("<I", len(data)) + pa.compress(data, codec="zstd", asbytes=True)
@@ -51,8 +69,9 @@ def expanded(data: bytes) -> bytes:
     return pa.decompress(data[4:], struct.unpack("<I", data[:4])[0], codec="zstd", asbytes=True)
 
 
-def batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=arrow(schema))
+def table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(arrow(schema))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow(schema))], schema=arrow(schema))
 
 
 class Bytes:
@@ -61,13 +80,14 @@ class Bytes:
     def __init__(self, length: int, anchor: int):
         self.length, self.anchor = length, anchor
 
-    def load(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
+    def load(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable]:
         """Ends of the texts in symbols, hash of each anchor-long string, and a way to cut out symbols."""
         data = b"".join(texts)
         raw, n = np.frombuffer(data, np.uint8), len(data) - self.anchor + 1
         ends = np.cumsum([*map(len, texts)])
+        cut = lambda first, stop: [data[a:b] for a, b in zip(first.tolist(), stop.tolist())]
         if n <= 0:
-            return ends, np.empty(0, np.uint64), lambda a, b: data[a:b]
+            return ends, np.empty(0, np.uint64), cut
         total = np.zeros(n, np.uint64)
         for k, at in enumerate((*range(0, self.anchor - 8, 8), self.anchor - 8)):
             view = np.lib.stride_tricks.as_strided(raw[at:].view(np.uint8), (n, 8), (1, 1))
@@ -75,21 +95,21 @@ class Bytes:
             part *= np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & (2**64 - 1) | 1)
             total ^= part >> np.uint64(29)
             total += part
-        return ends, mixed(total), lambda a, b: data[a:b]
+        return ends, mixed(total), cut
 
 
 class Words:
     """Texts as runs without ASCII white space; a piece of them is those words joined by single spaces."""
 
-    ids = WordIds()
-
     def __init__(self, length: int, anchor: int):
         self.length, self.anchor = length, anchor
 
-    def load(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
-        split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
-        return np.cumsum([*map(len, split)]), grams(self.ids.of(words), self.anchor), lambda a, b: b" ".join(words[a:b])
+    def load(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable]:
+        data = b"\n".join(texts)
+        hashes, starts, ends = word_hashes(data)
+        counts = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+        cut = lambda first, stop: [b" ".join(data[a:b].split()) for a, b in zip(starts[first].tolist(), ends[stop - 1].tolist())]
+        return np.cumsum(counts), grams(hashes, self.anchor), cut
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -123,314 +143,353 @@ def runs(units, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return first, windows, least[first], np.searchsorted(ends, first, side="right"), starts, cut
 
 
-def by_owner(owner: np.ndarray, keys: np.ndarray, values: np.ndarray) -> dict:
-    """A packet: the owners' keys once each, how many values each has, the values in that order."""
-    order = np.argsort(owner, kind="stable")
-    which, counts = np.unique(owner, return_counts=True)
-    return {"owners": keys[which].tobytes(), "counts": counts.astype(np.uint32).tobytes(), "values": np.ascontiguousarray(values[order]).tobytes()}
-
-
-def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the owners, and the owner's number for each value."""
-    keys = np.frombuffer(row["owners"], np.int64).reshape(-1, 2)
-    return keys, np.repeat(np.arange(len(keys)), np.frombuffer(row["counts"], np.uint32))
-
-
-class Rows:
-    """Numbers of a group's rows by (doc_id, hash); equal rows share a number."""
+def by_value(kinds: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
+    """Each value of ``kinds`` that occurs, with the parts of the arrays that belong to it."""
+    if len(kinds):
+        order = np.argsort(kinds, kind="stable")
+        cuts = np.flatnonzero(np.diff(kinds[order])) + 1
+        for part in np.split(order, cuts):
+            yield int(kinds[part[0]]), *(x[part] for x in arrays)
 
-    def __init__(self, doc_ids: list, hashes: list):
-        self.index: dict[tuple, int] = {}
-        self.of_row = [self.index.setdefault(key, len(self.index)) for key in zip(doc_ids, hashes)]
 
-    def values(self, packets: list[dict], kind: type, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and values of packets for this group."""
-        rows, values = [np.empty(0, np.int64)], [np.empty((0, width), kind)]
-        for r in packets:
-            keys, owner = unpacked(r)
-            numbers = np.array([*map(self.index.__getitem__, map(tuple, keys.tolist()))], np.int64)
-            rows.append(numbers[owner])
-            values.append(np.frombuffer(r["values"], kind).reshape(-1, width))
-        return np.concatenate(rows), np.concatenate(values)
+def merged_spans(owner: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping and touching spans of an owner become one; ``spans`` has start and end columns."""
+    if not len(owner):
+        return owner, spans
+    order = np.lexsort((spans[:, 0], owner))
+    owner, spans = owner[order], spans[order].astype(np.int64)
+    far = owner.astype(np.int64) << 33  # one line for all owners; a text has fewer than 2 ** 32 symbols
+    reach = np.maximum.accumulate(far + spans[:, 1])
+    new = np.r_[True, far[1:] + spans[1:, 0] > reach[:-1]]
+    at = np.flatnonzero(new)
+    ends = reach[np.r_[at[1:] - 1, len(owner) - 1]] - far[at]
+    return owner[at], np.stack([spans[at, 0], ends], 1).astype(np.uint32)
 
 
-def packets_by_group(keys: np.ndarray, owner: np.ndarray, values: np.ndarray, groups: int) -> Iterator[dict]:
-    """Packets for each group; keys are (doc_id, hash)."""
-    if len(owner):
-        g = ((keys[:, 0] ^ keys[:, 1]) % groups)[owner]
-        order = np.argsort(g, kind="stable")
-        cuts = np.flatnonzero(np.diff(g[order])) + 1
-        for part in np.split(order, cuts):
-            yield {"g": int(g[part[0]])} | by_owner(owner[part], keys, values[part])
+def spans_by_group(keys: np.ndarray, owner: np.ndarray, spans: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """Packets for the groups of the owners, whose ``keys`` are (doc_id, hash): spans (start, end) merged by owner."""
+    owner, spans = merged_spans(owner, spans)
+    for g, o, s in by_value(keys[owner, 1] % groups if len(owner) else owner, owner, spans):
+        which, counts = np.unique(o, return_counts=True)  # merged spans come in the order of their owners
+        yield g, joined(keys[which], counts.astype(np.uint32), s)
 
 
 def keyed(docs: DataFrame, groups: int) -> DataFrame:
-    """Adds 32 bits of the text's hash, and the group; rows without an id have one too, but share nothing.
-
-    The hash only tells rows with the same id apart. ``packets_by_group`` has the same rule for the group.
-    """
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 32))
-    return docs.withColumns({"_h": h, "_g": F.pmod(h.bitwiseXOR(F.coalesce("doc_id", F.lit(0))), F.lit(groups)).cast("int")})
+    """doc_id, text, row (the other columns, under any names), and what moves by: k, a hash of doc_id and text, and the group g."""
+    others = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in ("doc_id", "text")]
+    k = F.xxhash64("doc_id", "text")
+    return docs.select("doc_id", "text", *([F.struct(*others).alias("row")] if others else []), k.alias("k"), F.pmod(k, F.lit(groups)).cast("int").alias("g"))
 
 
-def find_anchors(docs: DataFrame, units, buckets: int, groups: int, flush: int = 1_500_000) -> DataFrame:
-    """Step 1: anchors by bucket. Those that two documents of a task share are told at once, and sent as ``common``."""
+def find_anchors(docs: DataFrame, units, buckets: int, groups: int, flush: int = 1_000_000) -> DataFrame:
+    """Step 1: anchors by bucket. Those that two documents of a task share are told at once; their counts and groups follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple] = []
+        keys: list[np.ndarray] = []
         anchors: list[np.ndarray] = []
         owners: list[np.ndarray] = []
-        held = 0
+        held = rows = 0
 
         def out():
-            a, o, k = np.concatenate(anchors), np.concatenate(owners), np.array(keys, np.int64).reshape(-1, 2)
+            a, o, k = map(np.concatenate, (anchors, owners, keys))
             keys.clear(), anchors.clear(), owners.clear()
             order = np.argsort(a, kind="stable")
             a, o = a[order], o[order]
             at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            sizes = np.diff(np.r_[at, len(a)])
             common = np.minimum.reduceat(o, at) != np.maximum.reduceat(o, at)
-            inside = np.repeat(common, np.diff(np.r_[at, len(a)]))
-            bucket = a % np.uint64(buckets)
+            inside = np.repeat(common, sizes)
+            bucket = (a % np.uint64(buckets)).astype(np.int64)
             short = (a >> np.uint64(32)).astype(np.uint32)
-            told = (bucket << np.uint64(32)) | short
-            rows = [{"bucket": p["g"] % buckets, "told": True} | p for p in packets_by_group(k, o[inside], told[inside], groups)]
-            b_all = bucket.astype(np.int64)
+            told = (bucket[inside].astype(np.uint64) << np.uint64(32)) | short[inside]
+            owned = k[o[inside]]
+            found = [(g % buckets, g, joined(x, v)) for g, x, v in by_value(owned % groups, owned, told)]
             single = np.flatnonzero(~inside)
-            many = at[common]
-            single = single[np.argsort(b_all[single], kind="stable")]
-            many = many[np.argsort(b_all[many], kind="stable")]
-            edges = np.arange(buckets + 1)
-            s_at, m_at = np.searchsorted(b_all[single], edges), np.searchsorted(b_all[many], edges)
-            for b in range(buckets):
-                s, m = single[s_at[b] : s_at[b + 1]], many[m_at[b] : m_at[b + 1]]
-                if len(s) or len(m):
-                    rows.append({"bucket": b, "told": False, "common": short[m].tobytes()} | by_owner(o[s], k, short[s]))
-            return batch(ANCHORS, rows)
+            single = single[np.argsort(o[single], kind="stable")]
+            alone = {b: (v, x) for b, v, x in by_value(bucket[single], short[single], k[o[single]])}
+            many, g_cuts, g_all = at[common], np.cumsum(sizes[common]), (owned % groups).astype(np.int32)
+            several = {}
+            for b, v, n, stop in by_value(bucket[many], short[many], sizes[common], g_cuts):
+                several[b] = v, n.astype(np.uint32), np.concatenate([g_all[e - m : e] for e, m in zip(stop.tolist(), n.tolist())])
+            none = np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.int32)
+            for b in alone.keys() | several.keys():
+                found.append((b, -1, joined(*alone.get(b, none[:2]), *several.get(b, none))))
+            return table(ANCHORS, found)
 
         for piece in slices(batches, limit=1 << 20):
-            cols = {n: piece.column(i).to_pylist() for i, n in enumerate(piece.schema.names)}
-            _, _, a, text, _, _ = runs(units, [t.encode() for t in cols["text"]])
+            _, _, a, text, _, _ = runs(units, piece.column(0).cast(pa.binary()).to_pylist())
             order = np.lexsort((a, text))
             a, text = a[order], text[order]
             once = np.r_[True, (a[1:] != a[:-1]) | (text[1:] != text[:-1])] if len(a) else np.empty(0, bool)
             anchors.append(a[once])
-            owners.append(text[once] + len(keys))
-            keys += zip(cols["doc_id"], cols["_h"])
+            owners.append(text[once] + rows)
+            keys.append(piece.column(1).to_numpy())
             held += int(once.sum())
+            rows += piece.num_rows
             if held >= flush:
                 yield out()
-                held = 0
+                held = rows = 0
         if held:
             yield out()
 
-    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "_h")
-    return rows.mapInArrow(run, ANCHORS)
+    return docs.filter("text is not null").select("text", "k").mapInArrow(run, ANCHORS)
 
 
-def tell_shared(found: DataFrame, groups: int) -> DataFrame:
-    """Within a bucket: anchors that come from two owners, or are common within a task, are told to the owners' groups."""
+def tell_shared(found: DataFrame, groups: int, hot_owners: int) -> DataFrame:
+    """Within a bucket: anchors that come from two owners, or are common within a task, are told to the owners' groups, and the hot
+    ones once more as such. A packet has keys, their anchors, hot anchors."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [{n: r[n] for n in ("g", "owners", "counts", "values")} for r in rows if r["told"]]
-        rest = [r for r in rows if not r["told"]]
+    def run(rows: pa.Table) -> pa.Table:
+        at_once = [(g, joined(*parted(d, np.int64, np.uint64), b"")) for g, d in zip(rows.column("g").to_pylist(), rows.column("data").to_pylist()) if g >= 0]
+        rest = [parted(d, np.uint32, np.int64, np.uint32, np.uint32, np.int32) for g, d in zip(rows.column("g").to_pylist(), rows.column("data").to_pylist()) if g < 0]
         if rest:
-            keys, owners, values, at = [], [], [], 0
-            for r in rest:
-                k, o = unpacked(r)
-                keys.append(k)
-                owners.append(o + at)
-                values.append(np.frombuffer(r["values"], np.uint32))
-                at += len(k)
-            k, o, v = np.concatenate(keys), np.concatenate(owners), np.concatenate(values)
-            common = np.unique(np.concatenate([np.frombuffer(r["common"], np.uint32) for r in rest]))
+            v, k, common, counts, where = map(np.concatenate, zip(*rest))
             order = np.argsort(v, kind="stable")
-            v, o = v[order], o[order]
+            v, k = v[order], k[order]
             same = v[1:] == v[:-1]
             shared = (np.r_[False, same] | np.r_[same, False]) if len(v) else np.empty(0, bool)
             shared |= np.isin(v, common)
-            told = (np.uint64(rest[0]["bucket"]) << np.uint64(32)) | v.astype(np.uint64)
-            out += packets_by_group(k, o[shared], told[shared], groups)
-        return pa.Table.from_pylist(out, schema=arrow(PACKET))
+            v, k = v[shared], k[shared]
+            every, n = np.unique(np.concatenate([v, np.repeat(common, counts)]), return_counts=True)
+            hot = every[n >= hot_owners]
+            base = np.uint64(rows.column("bucket")[0].as_py()) << np.uint64(32)
+            told = {g: (x, y) for g, x, y in by_value(k % groups, k, v)}
+            flags: dict[int, np.ndarray] = {}
+            if len(hot):
+                of, at = np.concatenate([v, np.repeat(common, counts)]), np.concatenate([k % groups, where])
+                some = np.isin(of, hot)
+                flags = {g: np.unique(x) for g, x in by_value(at[some], of[some])}
+            none = np.empty(0, np.int64), np.empty(0, np.uint32)
+            for g in told.keys() | flags.keys():
+                x, y = told.get(g, none)
+                at_once.append((g, joined(x, base | y.astype(np.uint64), base | flags.get(g, none[1]).astype(np.uint64))))
+        return pa.Table.from_batches([table(PACKET, at_once)])
 
     return found.groupBy("bucket").applyInArrow(run, PACKET)
 
 
-def merged_spans(owner: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping and touching spans of an owner become one; ``spans`` has start and end columns."""
-    if not len(owner):
-        return owner, spans
-    order = np.lexsort((spans[:, 0], owner))
-    owner, spans = owner[order], spans[order].astype(np.int64)
-    far = owner.astype(np.int64) << 33  # one line for all owners; a text has fewer than 2 ** 32 symbols
-    reach = np.maximum.accumulate(far + spans[:, 1])
-    new = np.r_[True, far[1:] + spans[1:, 0] > reach[:-1]]
-    at = np.flatnonzero(new)
-    ends = reach[np.r_[at[1:] - 1, len(owner) - 1]] - far[at]
-    return owner[at], np.stack([spans[at, 0], ends], 1).astype(np.uint32)
+class Collected:
+    """What the documents of a group have under shared anchors: of equal strings only the least document's go on, others are covered."""
+
+    def __init__(self):
+        self.first_of: dict[bytes, list] = {}
+        self.done: list[tuple[int, int, int]] = []
+
+    def add(self, data: bytes, anchor: int, doc: int, owner: int, start: int, size: int) -> None:
+        known = self.first_of.get(data)
+        if known is None:
+            self.first_of[data] = [anchor, size, [(doc, owner, start)]]
+            return
+        places = known[2]
+        least = places[0][0]
+        if least == doc:
+            places.append((doc, owner, start))
+        elif least < doc:
+            self.done.append((owner, start, start + size))
+        else:
+            self.done += [(o, s, s + size) for _, o, s in places]
+            known[2] = [(doc, owner, start)]
 
 
 def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards: int, groups: int) -> DataFrame:
-    """Step 2: the runs of shared anchors, by shard. Of equal runs in a group only the least document's goes on."""
+    """Step 2: the runs of shared anchors by shard, and the windows of hot ones by their digest."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
-            return pa.Table.from_pylist([], schema=arrow(RUNS))
-        numbers = Rows(left.column("doc_id").to_pylist(), left.column("_h").to_pylist())
-        row, value = numbers.values(right.to_pylist(), np.uint64)
-        some = np.zeros(len(numbers.index), bool)
-        some[row] = True
-        wanted = np.unique(value[:, 0] ^ mixed(row.astype(np.uint64)))
+            return pa.Table.from_batches([], schema=arrow(RUNS))
+        owner_key, value, hot = map(np.concatenate, zip(*(parted(d, np.int64, np.uint64, np.uint64) for d in right.column("data").to_pylist())))
+        wanted, hot, with_some = np.unique(value ^ mixed(owner_key.view(np.uint64))), np.unique(hot), np.unique(owner_key)
         g = right.column("g")[0].as_py()
         keys: list[tuple] = []
-        first_of: dict[bytes, list] = {}
-        done_owner, done_span = [], []
-        for piece in slices(left.select(["doc_id", "_h", "text"]).to_batches(), limit=1 << 20):
-            rows = {}
-            for d, h, t in zip(*(piece.column(i).to_pylist() for i in range(3))):
-                if t is not None and d is not None and some[numbers.index[d, h]]:
-                    rows[d, h] = t.encode()  # a repeated row once
+        whole, single = Collected(), Collected()
+        for piece in slices(left.select(["text", "doc_id", "k"]).to_batches(), limit=1 << 20):
+            piece = piece.filter(pa.array(np.isin(piece.column(2).to_numpy(), with_some)))
+            rows = {(d, k): t for t, d, k in zip(piece.column(0).cast(pa.binary()).to_pylist(), *(piece.column(i).to_pylist() for i in (1, 2))) if t is not None}  # a repeated row once
+            if not rows:
+                continue
             first, windows, a, text, starts, cut = runs(units, [*rows.values()])
             composite = ((a % np.uint64(buckets)) << np.uint64(32)) | (a >> np.uint64(32))
-            who = np.array([numbers.index[key] for key in rows], np.uint64)
-            told_hits = np.flatnonzero(np.isin(composite ^ mixed(who)[text], wanted)) if len(first) else first
-            cuts = np.searchsorted(text[told_hits], np.arange(len(rows) + 1))
-            for i, key in enumerate(rows):
-                hits = told_hits[cuts[i] : cuts[i + 1]]
-                me = len(keys)
-                keys.append(key)
-                base = int(starts[i])
-                for j in hits.tolist():
-                    at, n = int(first[j]), int(windows[j])
-                    data = cut(at, at + n + units.length - 1)
-                    here = (key[0], me, at - base)
-                    known = first_of.get(data)
-                    if known is None:
-                        first_of[data] = [int(a[j]), n, [here]]
-                    elif known[2][0][0] == key[0]:
-                        known[2].append(here)
-                    elif known[2][0][0] < key[0]:
-                        done_owner.append(me)
-                        done_span.append((at - base, at - base + n + units.length - 1))
-                    else:
-                        for _, o, s in known[2]:
-                            done_owner.append(o)
-                            done_span.append((s, s + n + units.length - 1))
-                        known[2] = [here]
+            k = np.array([k for _, k in rows], np.int64).view(np.uint64)
+            hits = np.flatnonzero(np.isin(composite ^ mixed(k)[text], wanted))
+            is_hot = np.isin(composite[hits], hot)
+            me, ids, base = len(keys), [d for d, _ in rows], starts[text]
+            keys += rows
+            for store, part in ((whole, hits[~is_hot]), (single, hits[is_hot])):
+                at, n = first[part], windows[part]
+                if store is single:  # each window by itself
+                    at = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+                    part, n = np.repeat(part, n), np.ones(len(at), np.int64)
+                sizes = n + units.length - 1
+                data = cut(at, at + sizes)
+                if store is single:
+                    data = map(xxhash.xxh3_128_digest, data)
+                which = text[part]
+                for args in zip(data, a[part].tolist(), map(ids.__getitem__, which.tolist()), (which + me).tolist(), (at - base[part]).tolist(), sizes.tolist()):
+                    store.add(*args)
         out = []
         k = np.array(keys, np.int64).reshape(-1, 2)
-        if done_owner:
-            o, s = merged_spans(np.array(done_owner), np.array(done_span))
-            for p in packets_by_group(k, o, s, groups):
-                out.append({"shard": g % shards, "done": True} | p)
-        by_shard: dict[int, list] = {}
-        for data, (anchor, n, places) in first_of.items():
-            by_shard.setdefault(anchor % 0xFFFFFFFB % shards, []).append((data, anchor, places))
-        for shard, items in by_shard.items():
-            flat = [(i, o, s) for i, (_, _, places) in enumerate(items) for _, o, s in places]
-            which = np.array([x[0] for x in flat], np.uint32)
-            owner = np.array([x[1] for x in flat])
+        done = np.array(whole.done + single.done, np.int64).reshape(-1, 3)
+        out += [(g % shards, DONE, to, data) for to, data in spans_by_group(k, done[:, 0], done[:, 1:], groups)]
+        by_shard: dict[tuple, list] = {}
+        for data, (anchor, _, places) in whole.first_of.items():
+            by_shard.setdefault((anchor % 0xFFFFFFFB % shards, RUN), []).append((data, anchor >> 32, places))
+        for data, (_, _, places) in single.first_of.items():
+            by_shard.setdefault((int.from_bytes(data[:4], "little") % shards, WINDOW), []).append((data, 0, places))
+        for (shard, kind), items in by_shard.items():
+            which = np.repeat(np.arange(len(items)), [len(x[2]) for x in items])
+            owner, start = np.array([p[1:] for x in items for p in x[2]]).T
             used, owner = np.unique(owner, return_inverse=True)
-            places = np.array([which, owner, [x[2] for x in flat]], np.uint32)
-            about = np.array([[len(x[0]) for x in items], [x[1] >> 32 for x in items]], np.uint32)
-            out.append({"shard": shard, "done": False, "owners": k[used].tobytes(), "places": packed(places.tobytes()), "runs": packed(about.tobytes()), "data": packed(b"".join(x[0] for x in items))})
-        return pa.Table.from_pylist(out, schema=arrow(RUNS))
-
-    return docs.groupBy("_g").cogroup(told.groupBy("g")).applyInArrow(run, RUNS)
-
-
-Resolver = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+            about = np.array([[len(x[0]) for x in items], [x[1] for x in items]], np.uint32)
+            out.append((shard, kind, g, joined(k[used], packed(np.array([which, owner, start], np.uint32).tobytes()), packed(about.tobytes()), packed(b"".join(x[0] for x in items)))))
+        return pa.Table.from_batches([table(RUNS, out)])
+
+    return docs.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(run, RUNS)
+
+
+class Packets:
+    """Strings of the packets of a shard, and the places that they have: string, document, owner, start."""
+
+    def __init__(self, data: list[bytes]):
+        keys, which, owners, starts, sizes, anchors, self.text = [], [], [], [], [], [], []
+        strings = rows = 0
+        for k, places, about, text in (parted(d, np.int64, bytes, bytes, bytes) for d in data):
+            w, o, s = np.frombuffer(expanded(places), np.uint32).astype(np.int64).reshape(3, -1)
+            n, a = np.frombuffer(expanded(about), np.uint32).reshape(2, -1)
+            for x, y in ((keys, k.reshape(-1, 2)), (which, w + strings), (owners, o + rows), (starts, s), (sizes, n), (anchors, a), (self.text, expanded(text))):
+                x.append(y)
+            strings += len(n)
+            rows += len(k) // 2
+        self.keys, self.which, self.owner, self.start, self.size, self.anchor = map(np.concatenate, (keys, which, owners, starts, sizes, anchors))
+        self.text = b"".join(self.text)
+        self.doc = self.keys[self.owner, 0]
+        self.end = np.cumsum(self.size, dtype=np.int64)
+
+    def parts(self, limit: int) -> Iterator[np.ndarray]:
+        """Numbers of strings, whole anchors together, in parts of about ``limit`` bytes."""
+        order = np.argsort(self.anchor, kind="stable")
+        reach = np.cumsum(self.size[order], dtype=np.int64)
+        new = np.r_[True, np.diff(self.anchor[order]) != 0]
+        block = np.maximum.accumulate(np.where(new, (reach - self.size[order]) // limit, 0))
+        yield from np.split(order, np.flatnonzero(np.diff(block)) + 1)
+
+
+#: runs, anchors, greatest document by run, least document by run -> number of run, window, least document that has it
+Resolver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def covered_runs(p: Packets, part: np.ndarray, resolver: Resolver, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and spans that windows of smaller documents cover, among the strings of ``part``."""
+    number: dict[bytes, int] = {}
+    of = np.full(len(p.size), -1)
+    for i in part.tolist():
+        of[i] = number.setdefault(p.text[p.end[i] - p.size[i] : p.end[i]], len(number))
+    mine = np.flatnonzero(of[p.which] >= 0)
+    run, doc = of[p.which[mine]], p.doc[mine]
+    most, least = np.full(len(number), np.iinfo(np.int64).min), np.full(len(number), np.iinfo(np.int64).max)
+    np.maximum.at(most, run, doc)
+    np.minimum.at(least, run, doc)
+    anchor = np.zeros(len(number), np.uint32)
+    anchor[of[part]] = p.anchor[part]
+    several = np.zeros(len(number), bool)  # an anchor that one document has needs no comparison
+    _, group = np.unique(anchor, return_inverse=True)
+    low, high = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+    np.minimum.at(low, group, least)
+    np.maximum.at(high, group, most)
+    several = (low != high)[group]
+    texts = [t for t, i in number.items() if several[i]]
+    which, window, by = resolver(texts, anchor[several], most[several], least[several])
+    which = np.flatnonzero(several)[which]
+    # every place of a run with the windows found in it
+    order = np.argsort(which, kind="stable")
+    which, window, by = which[order], window[order], by[order]
+    begin, n = np.searchsorted(which, run), np.bincount(which, minlength=len(number))[run]
+    at = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum())) if len(run) else run
+    place = np.repeat(np.arange(len(run)), n)
+    hit = by[at] < doc[place]
+    start = p.start[mine[place[hit]]] + window[at[hit]]
+    return p.owner[mine[place[hit]]], np.stack([start, start + length], 1)
+
+
+def covered_windows(p: Packets, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for windows by their digest, 16 bytes each."""
+    digest = np.frombuffer(p.text, np.uint64).reshape(-1, 2)[p.which]
+    order = np.lexsort((p.doc, digest[:, 0], digest[:, 1]))
+    sorted_digest = digest[order]
+    new = np.r_[True, (sorted_digest[1:] != sorted_digest[:-1]).any(axis=1)]
+    least = p.doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    hit = order[p.doc[order] > least]
+    return p.owner[hit], np.stack([p.start[hit], p.start[hit] + length], 1)
 
 
 def resolve(collected: DataFrame, resolver: Resolver, length: int, groups: int) -> DataFrame:
     """Step 3, within a shard: which windows also start in a smaller document.
 
-    Equal runs become one, with the least document's id; those of other documents are covered as a whole. Where an
-    anchor still has several runs, ``resolver(runs, anchors, ids)`` compares them: it returns the numbers of runs and
-    the first symbols of their windows that some run with a smaller id has too.
+    All runs go through ``resolver`` with the ids of their documents, equal ones once, in parts of bounded size that keep anchors whole.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [{n: r[n] for n in ("g", "owners", "counts", "values")} for r in rows if r["done"]]
-        keys, places_of, at = [], {}, 0
-        owners, starts, ends = [], [], []
-        for r in (r for r in rows if not r["done"]):
-            k = np.frombuffer(r["owners"], np.int64).reshape(-1, 2)
-            ids = k[:, 0].tolist()
-            sizes, anchors = np.frombuffer(expanded(r["runs"]), np.uint32).reshape(2, -1)
-            cuts, anchors = np.r_[0, np.cumsum(sizes, dtype=np.int64)].tolist(), anchors.tolist()
-            text = expanded(r["data"])
-            columns = np.frombuffer(expanded(r["places"]), np.uint32).reshape(3, -1).tolist()
-            for which, owner, start in zip(*columns):
-                data = text[cuts[which] : cuts[which + 1]]
-                here = (ids[owner], owner + at, start)
-                known = places_of.get(data)
-                if known is None:
-                    places_of[data] = [anchors[which], [here]]
-                elif known[1][0][0] == here[0]:
-                    known[1].append(here)
-                else:
-                    gone = [here] if known[1][0][0] < here[0] else known[1]
-                    if gone is known[1]:
-                        known[1] = [here]
-                    size = symbols(data)
-                    for _, o, s in gone:
-                        owners.append(o)
-                        starts.append(s)
-                        ends.append(s + size)
-            keys.append(k)
-            at += len(k)
-        several: dict[int, int] = {}
-        for anchor, _ in places_of.values():
-            several[anchor] = several.get(anchor, 0) + 1
-        texts = [data for data, (anchor, _) in places_of.items() if several[anchor] > 1]
-        if texts:
-            found = [places_of[t] for t in texts]
-            which, window = resolver(texts, np.array([f[0] for f in found], np.uint64), np.array([f[1][0][0] for f in found], np.int64))
-            which, span = merged_spans(which, np.stack([window, window + length], 1))
-            for i, (a, b) in zip(which.tolist(), span.tolist()):
-                for _, o, s in found[i][1]:
-                    owners.append(o)
-                    starts.append(s + a)
-                    ends.append(s + b)
-        if owners:
-            o, s = merged_spans(np.array(owners), np.stack([starts, ends], 1))
-            out += packets_by_group(np.concatenate(keys), o, s, groups)
-        return pa.Table.from_pylist(out, schema=arrow(PACKET))
-
-    symbols = resolver.symbols
+    def run(rows: pa.Table) -> pa.Table:
+        by_kind: dict[int, list] = {DONE: [], RUN: [], WINDOW: []}
+        for kind, g, data in zip(*(rows.column(n).to_pylist() for n in ("kind", "g", "data"))):
+            by_kind[kind].append((g, data))
+        out = by_kind[DONE]
+        for kind in (RUN, WINDOW):
+            if by_kind[kind]:
+                p = Packets([d for _, d in by_kind[kind]])
+                found = [covered_windows(p, length)] if kind == WINDOW else [covered_runs(p, part, resolver, length) for part in p.parts(PART_BYTES)]
+                out += spans_by_group(p.keys, *map(np.concatenate, zip(*found)), groups)
+        return pa.Table.from_batches([table(PACKET, out)])
+
     return collected.groupBy("shard").applyInArrow(run, PACKET)
 
 
-def finish(docs: DataFrame, spans: DataFrame, make: Callable[[dict, list], dict], schema: str) -> DataFrame:
-    """Step 4: ``make(columns, spans of each row)`` in each group of documents; all rows come through."""
+#: piece of a table, spans of each row -> the result's columns
+Maker = Callable[[pa.RecordBatch, list], list]
+
 
-    result = to_arrow_schema(_parse_datatype_string(schema))
+def made(make: Maker, schema: pa.Schema, piece: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+    columns = make(piece, spans)
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema)], names=schema.names)
+
+
+def finish(docs: DataFrame, spans: DataFrame, make: Maker, schema: StructType) -> DataFrame:
+    """Step 4: ``make(piece, spans of each row)`` in each group of documents; all rows come through."""
+    result = to_arrow_schema(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers = Rows(left.column("doc_id").to_pylist(), left.column("_h").to_pylist())
-        row, span = merged_spans(*numbers.values(right.to_pylist(), np.uint32, 2))
-        cuts = np.searchsorted(row, np.arange(len(numbers.index) + 1)).tolist()
-        spans, at = span.tolist(), 0
-        done = []
+        index: dict[tuple, int] = {}
+        of_row = [index.setdefault(key, len(index)) for key in zip(left.column("doc_id").to_pylist(), left.column("k").to_pylist())]
+        row, span = [np.empty(0, np.int64)], [np.empty((0, 2), np.uint32)]
+        for keys, counts, s in (parted(d, np.int64, np.uint32, np.uint32) for d in right.column("data").to_pylist()):
+            row.append(np.repeat([index[d, k] for d, k in keys.reshape(-1, 2).tolist()], counts))
+            span.append(s.reshape(-1, 2))
+        row, span = merged_spans(np.concatenate(row), np.concatenate(span))
+        cuts = np.searchsorted(row, np.arange(len(index) + 1)).tolist()
+        found, at, done = span.tolist(), 0, []
         for piece in slices(left.to_batches()):
-            rows = {n: piece.column(i).to_pylist() for i, n in enumerate(piece.schema.names)}
-            own = numbers.of_row[at : at + piece.num_rows]
-            found = [spans[cuts[i] : cuts[i + 1]] for i in own]
+            own = of_row[at : at + piece.num_rows]
             at += piece.num_rows
-            made = make(rows, found)
-            done.append(pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in result], schema=result))
-        return pa.Table.from_batches(done, schema=result)
+            done.append(made(make, result, piece, [found[cuts[i] : cuts[i + 1]] for i in own]))
+        return pa.Table.from_batches(done) if done else result.empty_table()
+
+    return docs.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(run, schema)
 
-    return docs.groupBy("_g").cogroup(spans.groupBy("g")).applyInArrow(run, schema)
 
+def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Maker, schema: StructType | str) -> DataFrame:
+    """The whole course: ``make`` gets every row with the spans (in symbols) that windows of smaller documents cover.
 
-def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Callable[[dict, list], dict], columns: list[str], schema: str) -> DataFrame:
-    """The whole course: ``make`` gets every row with the spans (in symbols) that windows of smaller documents cover."""
+    Rows without an id take no part: they come through with no spans, in a narrow pass of their own.
+    """
+    schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups, buckets, shards = max(LEAST_GROUPS, size // GROUP_BYTES), max(LEAST_BUCKETS, size // BUCKET_BYTES), max(LEAST_SHARDS, size // SHARD_BYTES)
-    docs = keyed(docs.select(*dict.fromkeys(["doc_id", "text", *columns])), groups)
-    told = tell_shared(find_anchors(docs, units, buckets, groups), groups)
-    spans = resolve(collect_runs(docs, told, units, buckets, shards, groups), resolver, units.length, groups)
-    return finish(docs, spans, make, schema)
+    rows = keyed(docs, groups)
+    named = rows.filter("doc_id is not null")
+    told = tell_shared(find_anchors(named, units, buckets, groups), groups, HOT_OWNERS)
+    spans = resolve(collect_runs(named, told, units, buckets, shards, groups), resolver, units.length, groups)
+    result = to_arrow_schema(schema)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            yield made(make, result, piece, [[]] * piece.num_rows)
+
+    return finish(named, spans, make, schema).unionByName(rows.filter("doc_id is null").mapInArrow(untouched, schema))

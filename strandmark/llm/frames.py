@@ -59,21 +59,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     return df.mapInArrow(run, schema)
 
 
-class WordIds(dict):
-    """Word (bytes) -> stable 64-bit hash, remembered up to a fixed number of words."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that sums of products become usable hashes."""
     x = x ^ (x >> np.uint64(32))

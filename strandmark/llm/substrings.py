@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -90,30 +91,41 @@ class SuffixAutomaton:
 
 
 class AutomatonResolver:
-    """Builds the automaton of a shard's runs and streams the runs through it for their matching statistics."""
+    """Suffix automata of reference shards; all runs with the shard's anchor stream through for their matching statistics.
 
-    def __init__(self, length: int):
-        self.length = length
-
-    def symbols(self, run: bytes) -> int:
-        return run.count(b" ") + 1
+    Runs with other anchors share no window. The runs of one anchor are one shard, or several of ``shard_words`` words: then
+    each shard's automaton is built in turn, and the least document of a window is the least that any of them gives.
+    """
 
-    def __call__(self, texts: list[bytes], anchors: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        which, window = [], []
+    def __init__(self, length: int, shard_words: int = 50_000):
+        self.length, self.shard_words = length, shard_words
+
+    def shards(self, split: list[list[bytes]], ids: list[int]):
+        """Closed automata over the runs, each of about ``shard_words`` words."""
+        automaton, held = SuffixAutomaton(), 0
+        for words, doc in zip(split, ids):
+            if held >= self.shard_words:
+                automaton.close()
+                yield automaton
+                automaton, held = SuffixAutomaton(), 0
+            automaton.add(words, doc)
+            held += len(words)
+        automaton.close()
+        yield automaton
+
+    def __call__(self, texts: list[bytes], anchors: np.ndarray, most: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found: list[tuple[int, int, int]] = []
         order = np.argsort(anchors, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(anchors[order])) + 1):  # runs with other anchors share no window
-            automaton = SuffixAutomaton()
+        for part in np.split(order, np.flatnonzero(np.diff(anchors[order])) + 1):
             split = [texts[i].split(b" ") for i in part.tolist()]
-            ids = docs[part].tolist()
-            for words, doc in zip(split, ids):
-                automaton.add(words, doc)
-            automaton.close()
-            for i, words, doc in zip(part.tolist(), split, ids):
-                for end, least in automaton.matched(words, self.length):
-                    if least < doc:
-                        which.append(i)
-                        window.append(end - self.length)
-        return np.array(which, np.int64), np.array(window, np.int64)
+            for automaton in self.shards(split, least[part].tolist()):
+                for i, words, high in zip(part.tolist(), split, most[part].tolist()):
+                    found += [(i, end - self.length, doc) for end, doc in automaton.matched(words, self.length) if doc < high]
+        which, window, by = np.array(found, np.int64).reshape(-1, 3).T
+        order = np.lexsort((by, window, which))
+        which, window, by = which[order], window[order], by[order]
+        first = np.r_[True, (which[1:] != which[:-1]) | (window[1:] != window[:-1])] if len(which) else np.empty(0, bool)
+        return which[first], window[first], by[first]
 
 
 def cut_words(text: str, spans: list) -> str:
@@ -126,42 +138,44 @@ def cut_words(text: str, spans: list) -> str:
     return b"".join([*out, *words[at:]]).strip().decode() if spans else text
 
 
-def digests(rows: dict, spans: list) -> dict:
-    out: dict = {"doc_id": rows["doc_id"], "n_words": [], "n_removed": [], "kept_sha256": []}
-    for text, gone in zip(rows["text"], spans):
+def digests(piece: pa.RecordBatch, spans: list) -> list:
+    n_words, n_removed, kept = [], [], []
+    for text, gone in zip(piece.column("text").to_pylist(), spans):
         words = (text or "").encode().split()
         removed = sum(b - a for a, b in gone)
         for a, b in reversed(gone):
             del words[a:b]
-        out["n_words"].append(len(words) + removed)
-        out["n_removed"].append(removed)
-        out["kept_sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
-    return out
+        n_words.append(len(words) + removed)
+        n_removed.append(removed)
+        kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
+    return [piece.column("doc_id"), n_words, n_removed, kept]
 
 
 def repeated_spans(docs: DataFrame, length: int = 13, anchor: int = 5) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row: see ``remove_repeats``."""
-    return with_repeats(docs, Words(length, anchor), AutomatonResolver(length), digests, ["doc_id", "text"], DIGEST)
+    """doc_id, n_words, n_removed, kept_sha256 of every row: see ``remove_repeats``. Other columns aren't read."""
+    return with_repeats(docs.select("doc_id", "text"), Words(length, anchor), AutomatonResolver(length), digests, DIGEST)
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, anchor: int = 5) -> DataFrame:
     """``docs``, all columns, their texts without the words of any ``length``-word window of a smaller doc_id.
 
     Words are runs without ASCII white space; kept words keep the white space before them, and texts without a repeat
-    stay as they are. An n_chars column is counted anew. Null and empty texts, texts shorter than a window and rows with a null
-    doc_id lose nothing and take nothing from others; rows that share an id take nothing from each other; an empty table
-    gives no rows; columns named _h or _g would clash and are refused by Spark.
+    stay as they are. An n_chars column is counted anew; other columns, whatever their names, come through as they are. Null and
+    empty texts, texts shorter than a window and rows with a null doc_id lose nothing and take nothing from others; rows that
+    share an id take nothing from each other; repeated rows stay rows; an empty table gives no rows. A very long text is
+    held by its own task alone, in the end with about 100 bytes a word.
     """
     names = docs.columns
 
-    def make(rows: dict, spans: list) -> dict:
-        rows["text"] = [t if t is None else cut_words(t, s) for t, s in zip(rows["text"], spans)]
-        if "n_chars" in rows:
-            rows["n_chars"] = [n if not s else len(t) for n, t, s in zip(rows["n_chars"], rows["text"], spans)]
-        return {n: rows[n] for n in names}
+    def make(piece: pa.RecordBatch, spans: list) -> list:
+        row = piece.column("row").flatten() if "row" in piece.schema.names else []
+        own = dict(zip((n for n in names if n not in ("doc_id", "text")), row)) | {"doc_id": piece.column("doc_id")}
+        own["text"] = [t if t is None else cut_words(t, s) for t, s in zip(piece.column("text").to_pylist(), spans)]
+        if "n_chars" in own:
+            own["n_chars"] = pa.array([n if not s else len(t) for n, t, s in zip(own["n_chars"].to_pylist(), own["text"], spans)], own["n_chars"].type)
+        return [own[n] for n in names]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return with_repeats(docs, Words(length, anchor), AutomatonResolver(length), make, names, schema)
+    return with_repeats(docs, Words(length, anchor), AutomatonResolver(length), make, docs.schema)
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, length: int = 13, shard_bytes: int = 8 << 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strandmark.llm.anchors import Bytes, with_repeats
@@ -14,17 +15,29 @@ END = 0xFF
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def sorted_keys(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``key``, and the keys in it. Where key and position fit into one number, sorting values does both, and faster."""
+    n = len(key)
+    if bits + n.bit_length() > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    shift = np.uint64(n.bit_length())
+    both = np.sort((key << shift) | np.arange(n, dtype=np.uint64))
+    return (both & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64), both >> shift
+
+
 def bounded_suffix_order(text: np.ndarray, bound: int) -> np.ndarray:
-    """Suffixes in the order of their first ``bound`` bytes (at least 8), by doubling the length that is ranked."""
+    """Suffixes in the order of their first ``bound`` bytes (at least 5), by doubling the length that is ranked."""
     n = len(text)
     padded = np.concatenate([text, np.full(bound, END, np.uint8)])
-    view = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1))
-    key, have = np.ascontiguousarray(view).view(">u8")[:, 0].astype(np.uint64), 8
+    key, have = np.zeros(n, np.uint64), 5
+    for k in range(have):
+        key = (key << np.uint64(8)) | padded[k : k + n]
+    bits, one = 8 * have, n.bit_length()
     while True:
-        order = np.argsort(key, kind="stable")
+        order, ranked = sorted_keys(key, bits)
         if have >= bound:
             return order
-        ranked = key[order]
         rank = np.empty(n + bound, np.uint64)
         steps = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]])
         rank[order] = steps
@@ -32,40 +45,42 @@ def bounded_suffix_order(text: np.ndarray, bound: int) -> np.ndarray:
         if int(steps[-1]) == n - 1:
             return order
         ahead = min(have, bound - have)
-        key = (rank[:n] << np.uint64(32)) | rank[ahead : ahead + n]
-        have += ahead
+        key = (rank[:n] << np.uint64(one)) | rank[ahead : ahead + n]
+        have, bits = have + ahead, 2 * one
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarray:
-    """Common prefix with the suffix before, in sorted order: values below ``bound`` as they are, ``bound`` for more.
+def common_prefixes(bwt: np.ndarray, bound: int) -> np.ndarray:
+    """Common prefix of each suffix with the one before, in sorted order, from the transform alone: values below ``bound`` as they
+    are, ``bound`` for more.
 
     Breadth-first over the intervals of all strings w, by length: the interval of cw follows from that of w by counting the
     c among the transform's symbols before its ends. An end that no shorter string has marked lies where the common
     prefix is |w|. Only intervals with a new end go on, so that every position is expanded once; after strings
     of length ``bound`` - 1 the positions still unmarked have common prefixes of ``bound`` or more.
     """
-    n = len(text)
-    bwt = text[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")
-    to_front = np.empty(n, np.int64)
-    to_front[by_symbol] = np.arange(n)
-    before, after = np.full(n, -1, np.int64), np.full(n, n, np.int64)  # the nearest equal symbols
+    n = len(bwt)
+    small = np.int32 if n < 1 << 31 else np.int64
+    by_symbol = np.argsort(bwt, kind="stable").astype(small)
+    to_front = np.empty(n, small)
+    to_front[by_symbol] = np.arange(n, dtype=small)
+    before, after = np.full(n, -1, small), np.full(n, n, small)  # the nearest equal symbols
     same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
     before[by_symbol[1:][same]] = by_symbol[:-1][same]
     after[by_symbol[:-1][same]] = by_symbol[1:][same]
-    inner = bwt != END
-    common = np.full(n + 1, bound, np.int64)
+    ends_run = bwt == END
+    before[ends_run], after[ends_run] = n, -1  # such a symbol begins or ends no interval
+    common = np.full(n + 1, bound, np.int16)
     common[0] = common[n] = 0
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], small), np.array([n], small)
     for depth in range(bound):
         width = high - low
-        at = np.repeat(low - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(int(width.sum()))
-        if not len(at):
+        total = int(width.sum(dtype=np.int64))
+        if not total:
             break
-        at_low, at_high = np.repeat(low, width), np.repeat(high, width)
-        use = inner[at]
-        starts = np.sort(to_front[at[use & (before[at] < at_low)]])
-        ends = np.sort(to_front[at[use & (after[at] >= at_high)]]) + 1
+        begin = np.cumsum(width, dtype=small) - width
+        at = np.arange(total, dtype=small) + np.repeat(low - begin, width)
+        starts = np.sort(to_front[at[before[at] < np.repeat(low, width)]])
+        ends = np.sort(to_front[at[after[at] >= np.repeat(high, width)]]) + small(1)
         new = common[ends] == bound
         common[ends[new]] = depth
         low, high = starts[new], ends[new]
@@ -73,55 +88,39 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarr
 
 
 class TransformResolver:
-    """Groups the windows of a shard's runs by the intervals of their first ``length`` bytes."""
+    """Groups the windows of runs by the intervals of their first ``length`` bytes, as the expansion over their transform bounds them."""
 
     def __init__(self, length: int):
         self.length = length
 
-    def symbols(self, run: bytes) -> int:
-        return len(run)
-
-    def __call__(self, texts: list[bytes], anchors: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        which, window = [], []
-        part, size = [], 0
-        order = np.argsort(anchors, kind="stable").tolist()
-        for k, i in enumerate(order):  # whole anchors, in parts that bound the arrays
-            part.append(i)
-            size += len(texts[i]) + 1
-            if k + 1 == len(order) or size > 1_500_000 and anchors[i] != anchors[order[k + 1]]:
-                a, b = self.windows([texts[j] for j in part], docs[part])
-                which.append(np.array(part)[a])
-                window.append(b)
-                part, size = [], 0
-        return np.concatenate(which), np.concatenate(window)
-
-    def windows(self, texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[bytes], anchors: np.ndarray, most: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not texts:
+            return (np.empty(0, np.int64),) * 3
         sep = bytes([END])
         text = np.frombuffer(sep.join(texts) + sep, np.uint8)
         sizes = np.array([len(t) + 1 for t in texts])
         owner = np.repeat(np.arange(len(texts)), sizes)
-        begins = np.cumsum(sizes) - sizes
-        offset = np.arange(len(text)) - begins[owner]
+        offset = np.arange(len(text)) - (np.cumsum(sizes) - sizes)[owner]
         order = bounded_suffix_order(text, self.length)
-        at = np.flatnonzero(common_prefixes(text, order, self.length) < self.length)
+        at = np.flatnonzero(common_prefixes(text[order - 1], self.length) < self.length)
         whole = (offset + self.length < sizes[owner])[order]  # a window, not the end of a run
-        doc = np.where(whole, docs[owner[order]], np.iinfo(np.int64).max)
-        least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.r_[at, len(doc)]))
-        hit = order[whole & (doc > least)]
-        return owner[hit], offset[hit]
+        doc = np.where(whole, least[owner[order]], np.iinfo(np.int64).max)
+        by = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.r_[at, len(doc)]))
+        some = whole & (by < most[owner[order]])
+        hit = order[some]
+        return owner[hit], offset[hit], by[some]
 
 
-def digests(rows: dict, spans: list) -> dict:
-    out: dict = {"doc_id": rows["doc_id"], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-    for text, gone in zip(rows["text"], spans):
+def digests(piece: pa.RecordBatch, spans: list) -> list:
+    out: list[tuple] = []
+    for text, gone in zip(piece.column("text").to_pylist(), spans):
         data, at, digest = (text or "").encode(), 0, hashlib.sha256()
         for a, b in gone:
             digest.update(data[at:a])
             at = b
         digest.update(data[at:])
-        for name, value in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), (len(data), sum(b - a for a, b in gone), len(gone), digest.hexdigest())):
-            out[name].append(value)
-    return out
+        out.append((len(data), sum(b - a for a, b in gone), len(gone), digest.hexdigest()))
+    return [piece.column("doc_id"), *map(list, zip(*out))]
 
 
 def repeated_bytes(docs: DataFrame, length: int = 50, anchor: int = 24) -> DataFrame:
@@ -132,4 +131,4 @@ def repeated_bytes(docs: DataFrame, length: int = 50, anchor: int = 24) -> DataF
     each other; an empty table gives no rows. Spans may cut a character, so kept bytes aren't always UTF-8.
     ``anchor`` is at least 8.
     """
-    return with_repeats(docs, Bytes(length, anchor), TransformResolver(length), digests, ["doc_id", "text"], DIGEST)
+    return with_repeats(docs.select("doc_id", "text"), Bytes(length, anchor), TransformResolver(length), digests, DIGEST)

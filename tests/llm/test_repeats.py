@@ -75,6 +75,35 @@ def test_bytes(spark, sf_dir, awkward):
     assert suffixes.repeated_bytes(awkward.filter("false")).collect() == []
 
 
+def test_hot_anchors(spark, monkeypatch):
+    """A phrase in very many different contexts: its windows are dealt by digest, and the result is the same."""
+    monkeypatch.setattr(anchors, "HOT_OWNERS", 50)
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [" ".join(rnd.choices(words, k=20)) for _ in range(40)]
+    phrase = "all of these five words"
+    rows = []
+    for i in range(8000):
+        before, after = (" ".join(rnd.choices(words, k=rnd.randrange(3, 16))) for _ in range(2))
+        shared = rnd.choice(passages) if i % 5 == 0 else ""
+        rows.append((i, f"{before} {phrase} {after} {shared} {phrase} {after[:40]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, substrings.repeated_spans(docs).collect())) == Counter(brute_words(rows))
+    assert Counter(map(tuple, suffixes.repeated_bytes(docs).collect())) == Counter(brute_bytes(rows))
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like the helpers' own come through, with rows of their own kind."""
+    base = " ".join(f"w{i}" for i in range(20))
+    names = ["_h", "_g", "k", "g", "row", "bucket", "data", "shard", "kind"]
+    rows = [(1, base, 2, *range(9)), (2, f"x {base}", 3, *range(10, 19)), (None, base, None, *range(9)), (2, None, 4, *range(9)), (2, f"x {base}", 3, *range(10, 19))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{n} long" for n in names)).select("g", "n_chars", "text", "_h", "doc_id", *(n for n in names if n not in ("g", "_h")))
+    left = substrings.remove_repeats(docs)
+    assert left.schema == docs.schema
+    want = Counter(str((r["doc_id"], "x" if r["doc_id"] == 2 and r["text"] else r["text"], 1 if r["doc_id"] == 2 and r["text"] else r["n_chars"], *(r[n] for n in names))) for r in docs.collect())
+    assert Counter(str((r["doc_id"], r["text"], r["n_chars"], *(r[n] for n in names))) for r in left.collect()) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="abc", min_size=6, max_size=40), min_size=1, max_size=6), st.integers(0, 3))
 def test_resolvers(texts, seed):
@@ -84,10 +113,13 @@ def test_resolvers(texts, seed):
     for d, t in zip(docs.tolist(), texts):
         for i in range(len(t) - 5):
             least[t[i : i + 6]] = min(d, least.get(t[i : i + 6], d))
-    want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 5) if least[t[i : i + 6]] < docs[k]}
-    same = np.zeros(len(texts), np.uint64)
-    for resolver, data in ((substrings.AutomatonResolver(6), [" ".join(t).encode() for t in texts]), (suffixes.TransformResolver(6), [t.encode() for t in texts])):
-        assert set(zip(*(x.tolist() for x in resolver(data, same, docs)))) == want
+    most = docs + 2  # the run's greatest document may be another than its least
+    want = {(k, i, least[t[i : i + 6]]) for k, t in enumerate(texts) for i in range(len(t) - 5) if least[t[i : i + 6]] < most[k]}
+    same = np.zeros(len(texts), np.uint32)
+    spaced, plain = [" ".join(t).encode() for t in texts], [t.encode() for t in texts]
+    for resolver, data in ((substrings.AutomatonResolver(6), spaced), (substrings.AutomatonResolver(6, 20), spaced), (suffixes.TransformResolver(6), plain)):
+        got = [*zip(*(x.tolist() for x in resolver(data, same, most, docs)))]
+        assert len(got) == len(want) and {*got} == want
 
 
 @settings(max_examples=200, deadline=None)
@@ -95,7 +127,7 @@ def test_resolvers(texts, seed):
 def test_common_prefixes(text, bound):
     data = np.frombuffer(text.encode() + b"\xff", np.uint8)
     order = suffixes.bounded_suffix_order(data, max(8, bound))
-    got = suffixes.common_prefixes(data, order, bound).tolist()
+    got = suffixes.common_prefixes(data[order - 1], bound).tolist()
     s = bytes(data)
     for a, b, n in zip(order, order[1:], got[1:]):
         same = 0
