@@ -13,6 +13,14 @@ MONTHS = {
     "fr": ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"],
 }
 BADGES = {"pensum": "⏱ ", "location": "📍 ", "languages": "🌐 ", "salary_hint": "💰 ", "deadline": "📅 bis "}
+DOCUMENT_LABELS = {"cv": "CV", "zeugnis": "Zeugnis"}
+DOCUMENT_ICONS = {"cv": "📄", "zeugnis": "📜"}
+SAVED_LABELS = {"cv": "CV", "zeugnis": "Arbeitszeugnis"}
+OTHER_LABEL, OTHER_ICON = "Dokument", "📎"
+UPLOAD_HINT, CV_HINT, COUNTED_HINT = "CV & Arbeitszeugnisse hochladen", "CV wird berücksichtigt", " werden beim Matching berücksichtigt"
+LOGIN_HINT = "Melde dich an, um das KI-Matching zu nutzen."
+START_HINT = "Erstelle ein Profil und markiere Organisationen mit ⭐ für bessere Ergebnisse."
+PROFILE_HINT = "Profil erstellen für genauere Matches."
 FRENCH_PLACES = r"(?iu)westschweiz|lausanne|gen[eè]ve|fribourg|neuch[aâ]tel|sion|valais|vaud"
 
 
@@ -71,15 +79,43 @@ def place(city: Column, canton: Column) -> Column:
     return F.concat_ws(", ", F.nullif(city, F.lit("")), F.nullif(canton, F.lit("")))
 
 
+def by_kind(kind: Column, table: dict[str, str], other: str) -> Column:
+    """The entry for a kind, the other one for every other kind and for null."""
+    found = F.lit(other)
+    for name, value in table.items():
+        found = F.when(kind == name, value).otherwise(found)
+    return found
+
+
 def document_label(kind: Column) -> Column:
-    return F.when(kind == "cv", "CV").when(kind == "zeugnis", "Zeugnis").otherwise("Dokument")
+    return by_kind(kind, DOCUMENT_LABELS, OTHER_LABEL)
+
+
+def document_icon(kind: Column) -> Column:
+    return by_kind(kind, DOCUMENT_ICONS, OTHER_ICON)
+
+
+def saved_label(kind: Column) -> Column:
+    """The name under which a saved upload is confirmed."""
+    return by_kind(kind, SAVED_LABELS, OTHER_LABEL)
+
+
+def certificate_source(kind: Column, employer: Column, period: Column) -> Column:
+    """Employer and period of a certificate; empty for other kinds and without an employer."""
+    shown = F.concat(escape_html(employer), F.when(F.coalesce(period, F.lit("")) != "", F.concat(F.lit(" · "), escape_html(period))).otherwise(""))
+    return F.when((kind == "zeugnis") & (F.coalesce(employer, F.lit("")) != ""), shown).otherwise("")
+
+
+def options(choices: dict[str, str], position: Column) -> Column:
+    """The choice at a position (from 0) in the displayed order, as a struct of key and label; null beyond the last."""
+    return F.get(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("label")) for k, v in choices.items())), position)
 
 
 def document_hint(logged_in: Column, has_cv: Column, certificates: Column) -> Column:
     """What is said about uploaded documents; nothing while logged out."""
     plural = F.when(certificates > 1, "se").otherwise("")
-    both = F.concat(F.lit("CV + "), certificates.cast("string"), F.lit(" Arbeitszeugnis"), plural, F.lit(" werden beim Matching berücksichtigt"))
-    return F.when(~logged_in, "").when(has_cv & (certificates > 0), both).when(has_cv, "CV wird berücksichtigt").otherwise("CV & Arbeitszeugnisse hochladen")
+    both = F.concat(F.lit("CV + "), certificates.cast("string"), F.lit(" Arbeitszeugnis"), plural, F.lit(COUNTED_HINT))
+    return F.when(~logged_in, "").when(has_cv & (certificates > 0), both).when(has_cv, CV_HINT).otherwise(UPLOAD_HINT)
 
 
 def some_names(names: Column, most: int = 5) -> Column:
@@ -88,6 +124,12 @@ def some_names(names: Column, most: int = 5) -> Column:
     return F.when(F.size(names) > most, F.concat(shown, F.lit(" und "), (F.size(names) - most).cast("string"), F.lit(" weitere"))).otherwise(shown)
 
 
+def first_names(shown: Column, n: Column) -> Column:
+    """The same where only the names to show and the number of all are at hand."""
+    names, more = F.array_join(shown, ", "), n - F.size(shown)
+    return F.when(more > 0, F.concat(names, F.lit(" und "), more.cast("string"), F.lit(" weitere"))).otherwise(names)
+
+
 def export_name(organization: Column, now: Column) -> Column:
     """File name of an exported letter."""
     return F.concat(F.lit("Bewerbung_"), F.coalesce(F.nullif(organization, F.lit("")), F.lit("Job")), F.lit("_"), F.date_format(now, "yyyy-MM-dd"))
@@ -96,8 +138,8 @@ def export_name(organization: Column, now: Column) -> Column:
 def profile_hint(logged_in: Column, has_profile: Column, has_favourites: Column) -> Column:
     """What a user is asked to do before matching; nothing once there is a profile."""
     return (
-        F.when(~logged_in, "Melde dich an, um das KI-Matching zu nutzen.")
-        .when(~has_profile & ~has_favourites, "Erstelle ein Profil und markiere Organisationen mit ⭐ für bessere Ergebnisse.")
-        .when(~has_profile, "Profil erstellen für genauere Matches.")
+        F.when(~logged_in, LOGIN_HINT)
+        .when(~has_profile & ~has_favourites, START_HINT)
+        .when(~has_profile, PROFILE_HINT)
         .otherwise("")
     )

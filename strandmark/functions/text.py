@@ -41,11 +41,22 @@ def squeezed(c: Column | str) -> Column:
     return trimmed(F.regexp_replace(_col(c), rf"{WHITE}+", " "))
 
 
-def html_to_text(c: Column | str, limit: int | None = 4000) -> Column:
+# The patterns of markup, of shown PDF strings and of slugs, and the lengths that texts are cut to.
+SCRIPTS, STYLES, TAGS = r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"<[^>]+>"
+PDF_BLOCK, PDF_STRING, PDF_ARRAY, PDF_PART = r"(?s)BT\s(.*?)ET", r"\(([^)]*)\)\s*Tj", r"\[([^\]]*)\]\s*TJ", r"\(([^)]*)\)"
+NOT_IN_SLUG = r"[^a-z0-9äöü]"
+QUOTAS = {"page": 4000, "cv": 4000, "certificate": 2000, "letter certificate": 1500, "reading": 8000, "stored": 5000, "pdf": 10_000}
+
+
+def cut(c: Column | str, use: str) -> Column:
+    """The first characters of a text, as many as its use allows."""
+    return F.substring(_col(c), 1, QUOTAS[use])
+
+
+def html_to_text(c: Column | str, limit: int | None = QUOTAS["page"]) -> Column:
     """Markup to text: scripts, then styles, then tags go; white space is squeezed; entities stay as they are."""
-    s = F.regexp_replace(_col(c), r"(?is)<script.*?</script>", "")
-    s = F.regexp_replace(s, r"(?is)<style.*?</style>", "")
-    s = squeezed(F.regexp_replace(s, r"<[^>]+>", " "))
+    s = F.regexp_replace(F.regexp_replace(_col(c), SCRIPTS, ""), STYLES, "")
+    s = squeezed(F.regexp_replace(s, TAGS, " "))
     return s if limit is None else F.substring(s, 1, limit)
 
 
@@ -53,16 +64,18 @@ def pdf_text(content: Column | str, limit: int = 10_000, least: int = 100, run:
     """Text of uncompressed PDF bytes: the strings of Tj and TJ operators between BT and ET.
 
     With fewer than ``least`` characters, runs of ``run`` or more readable characters come back instead, a line each; if there
-    are none, the strings are used after all. Bytes are read as ISO 8859-1.
+    are none, the strings are used after all. Bytes are read as windows-1252.
     """
-    raw = F.decode(_col(content), "ISO-8859-1")
-    blocks = F.regexp_extract_all(raw, F.lit(r"(?s)BT\s(.*?)ET"), 1)
+    high = bytes(range(0x80, 0xA0)).decode("latin-1")
+    read = "".join(c if n in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([n]).decode("cp1252") for n, c in zip(range(0x80, 0xA0), high))
+    raw = F.translate(F.decode(_col(content), "ISO-8859-1"), high, read)
+    blocks = F.regexp_extract_all(raw, F.lit(PDF_BLOCK), 1)
 
     def strings(block: Column) -> Column:
-        shown = F.regexp_extract_all(block, F.lit(r"\(([^)]*)\)\s*Tj"), 1)
-        arrays = F.regexp_extract_all(block, F.lit(r"\[([^\]]*)\]\s*TJ"), 1)
-        held = F.filter(arrays, lambda a: a.rlike(r"\([^)]*\)"))
-        return F.concat(shown, F.transform(held, lambda a: F.array_join(F.regexp_extract_all(a, F.lit(r"\(([^)]*)\)"), 1), "")))
+        shown = F.regexp_extract_all(block, F.lit(PDF_STRING), 1)
+        arrays = F.regexp_extract_all(block, F.lit(PDF_ARRAY), 1)
+        held = F.filter(arrays, lambda a: a.rlike(PDF_PART))
+        return F.concat(shown, F.transform(held, lambda a: F.array_join(F.regexp_extract_all(a, F.lit(PDF_PART), 1), "")))
 
     found = F.flatten(F.transform(blocks, strings))
     text = F.array_join(found, " ")
@@ -84,7 +97,7 @@ def escape_html(c: Column | str) -> Column:
 
 def slug(c: Column | str) -> Column:
     """Lower case; anything but a-z, digits and umlauts becomes a hyphen; single hyphens, none at the ends."""
-    s = F.regexp_replace(F.lower(_col(c)), r"[^a-z0-9äöü]", "-")
+    s = F.regexp_replace(F.lower(_col(c)), NOT_IN_SLUG, "-")
     return F.regexp_replace(F.regexp_replace(s, r"-+", "-"), r"^-|-$", "")
 
 

@@ -16,9 +16,10 @@ def count_by(df: DataFrame, key: str, name: str = "n") -> DataFrame:
 
 def totals(orgs: DataFrame, category: str, favourites: DataFrame) -> DataFrame:
     """Organisations, categories and favourites; no favourites show as a dash."""
-    own = orgs.agg(F.count("*").alias("orgs"), F.countDistinct(category).alias("categories"))
-    marked = favourites.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, "—").otherwise(F.col("n").cast("string")).alias("favourites"))
-    return own.join(marked, F.lit(True))  # one row each
+    both = orgs.select(F.lit(True).alias("own"), F.col(category).alias("c")).unionByName(favourites.select(F.lit(False).alias("own"), F.lit(None).alias("c")))
+    n = F.count_if(~F.col("own"))
+    shown = F.when(n == 0, "—").otherwise(n.cast("string"))
+    return both.agg(F.count_if("own").alias("orgs"), F.countDistinct("c").alias("categories"), shown.alias("favourites"))
 
 
 def kinds(df: DataFrame, keys: list[str], kind: str, values: list[str]) -> DataFrame:

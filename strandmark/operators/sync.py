@@ -44,8 +44,13 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rows.columns if c not in keys))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` replace or join those of ``old``; columns that ``new`` lacks keep their old values."""
+def upsert(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows of ``new`` replace or join those of ``old``; columns that ``new`` lacks keep their old values.
+
+    Of several writes to one key the last by ``order`` counts (by default the greatest row); columns of ``order`` that ``old`` lacks
+    only decide.
+    """
+    new = latest(new, [key], order or [c for c in new.columns if c != key]) if len(new.columns) > 1 else new.distinct()
     joined = old.withColumn("_old", F.lit(True)).alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     pick = [F.coalesce(f"n.{key}", f"o.{key}").alias(key)]
     for c in old.columns:
@@ -54,9 +59,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(*pick)
 
 
-def replace_set(stored: DataFrame, sent: DataFrame, user: str) -> DataFrame:
-    """Users who sent a set have just that set; the others keep theirs."""
-    return stored.join(sent.select(user).distinct(), user, "left_anti").unionByName(sent)
+def replace_set(stored: DataFrame, sent: DataFrame, user: str, senders: DataFrame | None = None) -> DataFrame:
+    """Users who sent a set have just that set; the others keep theirs. ``senders`` also names users whose set is empty now."""
+    touched = sent.select(user) if senders is None else sent.select(user).union(senders.select(user))
+    return stored.join(touched.distinct(), user, "left_anti").unionByName(sent)
 
 
 def delete_by_key(rows: DataFrame, key: str, value) -> DataFrame:

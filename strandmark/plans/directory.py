@@ -87,9 +87,16 @@ def location_union(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_nationkey").union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@query("SELECT n_name FROM nation")
+#: In the German order, by which umlauts stand with their base letters.
+TOWNS = ["Aarau", "Ägeri", "Basel", "Ölten", "Olten Nord", "Österwil", "Uster", "Uzwil", "Zug", "Zürich"]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f"('{x}', {i})" for i, x in enumerate(sorted(TOWNS, key=lambda x: x.translate(str.maketrans('ÄÖÜäöü', 'AOUaou'))), 1))}) AS t(town, place)")
 def german_order(spark, sf_dir):
-    return search.german_order(table(spark, sf_dir, "nation", ["n_name"]), "n_name")
+    """The order itself is compared, as the place of each town."""
+    towns = spark.createDataFrame([(x,) for x in reversed(TOWNS)], "town string")
+    ordered = search.german_order(towns, "town").coalesce(1).select(F.collect_list("town").alias("towns"))
+    return ordered.select(F.posexplode("towns").alias("place", "town")).select("town", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC")

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from strandmark.plans import directory, state, texts  # noqa: F401
+    from strandmark.plans import directory, records, state, texts  # noqa: F401
 
     return dict(_QUERIES)
 

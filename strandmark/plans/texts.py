@@ -31,13 +31,14 @@ def all_words_search(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id FROM (SELECT doc_id, {NORMALIZED.format('text')} AS t, list_filter(regexp_split_to_array({NORMALIZED.format("regexp_extract(text, '^[^ ]+ [^ ]+')")}, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS ws FROM documents)
+    f"""SELECT doc_id FROM (SELECT doc_id, {NORMALIZED.format('text')} AS t, list_filter(regexp_split_to_array({NORMALIZED.format("CASE lang WHEN 'en' THEN 'The  And' WHEN 'de' THEN 'und für' WHEN 'fr' THEN 'les été' ELSE '' END")}, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS ws FROM documents)
     WHERE len(list_filter(ws, lambda w: NOT contains(t, w))) = 0"""
 )
 def all_words_by_column(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    first_two = F.regexp_extract("text", "^[^ ]+ [^ ]+", 0)
-    return docs.filter(search.all_words_of(F.col("text"), first_two)).select("doc_id")
+    """Each text is asked for two words of its language, which only some have; other languages ask for nothing."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    asked = F.when(F.col("lang") == "en", "The  And").when(F.col("lang") == "de", "und für").when(F.col("lang") == "fr", "les été").otherwise("")
+    return docs.filter(search.all_words_of(F.col("text"), asked)).select("doc_id")
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
@@ -98,13 +99,17 @@ def json_field(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, 0 AS n_matches, CASE WHEN event_id % 3 = 0 THEN 'Text ' || props WHEN event_id % 3 = 1 THEN event_type END AS summary, CASE WHEN event_id % 3 = 0 THEN '' END AS tips FROM events"""
+    """SELECT event_id, CASE WHEN event_id % 3 = 1 THEN user_id % 4 ELSE 0 END AS n_matches, CASE WHEN event_id % 3 = 0 THEN 'Text ' || props WHEN event_id % 3 = 1 THEN event_type END AS summary,
+    CASE WHEN event_id % 3 = 0 THEN '' END AS tips, CASE WHEN event_id % 3 = 1 AND user_id % 4 > 0 THEN 'Stelle ' || user_id END AS first_title FROM events"""
 )
 def tolerant_reply(spark, sf_dir):
-    """A third of the replies isn't JSON, a third has a summary only, a third nothing that is known."""
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Text "), "props")).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("event_type").alias("summary")))).otherwise(F.col("props"))
+    """A third of the replies isn't JSON, a third has a summary and up to three matches, a third nothing that is known."""
+    match = F.struct(F.concat(F.lit("Stelle "), F.col("user_id").cast("string")).alias("title"), (F.col("event_id") % 6).cast("int").alias("score"))
+    said = F.struct(F.col("event_type").alias("summary"), F.array_repeat(match, (F.col("user_id") % 4).cast("int")).alias("matches"))
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Text "), "props")).when(F.col("event_id") % 3 == 1, F.to_json(said)).otherwise(F.col("props"))
     r = values.reply(raw)
-    return table(spark, sf_dir, "events", ["event_id", "event_type", "props"]).select("event_id", counts.result_count(r["matches"]).alias("n_matches"), r["summary"].alias("summary"), r["tips"].alias("tips"))
+    found = counts.result_count(r["matches"]).cast("long").alias("n_matches"), r["summary"].alias("summary"), r["tips"].alias("tips"), F.get(r["matches"], 0)["title"].alias("first_title")
+    return table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "props"]).select("event_id", *found)
 
 
 @query(
@@ -162,8 +167,11 @@ def page_blocks(spark, sf_dir):
     FROM (SELECT n_regionkey, count(*) AS n, list(n_name ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey)"""
 )
 def some_names(spark, sf_dir):
-    held = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("a"))
-    return held.select("n_regionkey", labels.some_names(F.transform("a", lambda x: x["n_name"]), 3).alias("shown"))
+    """Only the names that are shown are gathered; the rest is a count."""
+    nations = table(spark, sf_dir, "nation", ["n_regionkey", "n_nationkey", "n_name"])
+    shown = sync.first_k(nations, ["n_regionkey"], ["n_nationkey"], 3).groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n", "n_name"))).alias("a"))
+    joined = shown.join(counts.count_by(nations, "n_regionkey"), "n_regionkey")
+    return joined.select("n_regionkey", labels.first_names(F.transform("a", lambda x: x["n_name"]), F.col("n")).alias("shown"))
 
 
 @query("SELECT s_suppkey, greatest(s_nationkey, 10) AS high, least(s_nationkey, 10) AS low, CASE WHEN s_nationkey = 0 THEN 50 ELSE s_nationkey END AS workload_min FROM supplier")
@@ -174,7 +182,13 @@ def workload_bounds(spark, sf_dir):
     return table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"]).select("s_suppkey", high.alias("high"), low.alias("low"), values.or_default(key, 50).alias("workload_min"))
 
 
-@query("SELECT n_nationkey, CASE WHEN regexp_matches(n_name, '(?i)westschweiz|lausanne|gen[eè]ve|fribourg|neuch[aâ]tel|sion|valais|vaud|1[0-4]') THEN 'fr' ELSE 'de' END AS language FROM nation WHERE NOT regexp_matches(n_name, '1[0-4]')")
+PLACES = ["Bern", "Sion", "Lausanne VD", "GENÈVE", "Zürich", "Neuchatel", "Westschweiz", None]
+
+
+@query(
+    f"""SELECT n_nationkey, p AS place, CASE WHEN regexp_matches(coalesce(p, ''), '(?i){labels.FRENCH_PLACES.removeprefix("(?iu)")}') THEN 'fr' ELSE 'de' END AS language
+    FROM (SELECT n_nationkey, [{", ".join("NULL" if x is None else f"'{x}'" for x in PLACES)}][1 + n_nationkey % {len(PLACES)}] AS p FROM nation)"""
+)
 def letter_language(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).filter(~F.col("n_name").rlike("1[0-4]"))
-    return nations.select("n_nationkey", labels.letter_language(F.col("n_name")).alias("language"))
+    place = F.get(F.array(*map(F.lit, PLACES)), F.col("n_nationkey") % len(PLACES)).alias("place")
+    return table(spark, sf_dir, "nation", ["n_nationkey"]).select("n_nationkey", place).withColumn("language", labels.letter_language(F.col("place")))

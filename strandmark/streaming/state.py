@@ -22,7 +22,7 @@ def rate_limited(events: DataFrame, user: str, time: str, tie: str, most: int, s
         rows = pd.concat(frames).sort_values(["at", "tie"])
         accepted = []
         for at in rows["at"]:
-            ok = len(kept) < most or kept[0] < at - seconds * 1_000_000
+            ok = at == at and at is not None and (len(kept) < most or kept[0] < at - seconds * 1_000_000)  # a null time is rejected
             if ok:
                 kept = [*kept, at][-most:]
             accepted.append(ok)

@@ -59,6 +59,7 @@ def test_pdf(spark):
     got = many(spark, text.pdf_text, cases, "binary")
     assert got[0] == "Hello" and got[1] == ("abcdefghi " * 12 + " xy").replace("  ", " ") and got[2] == ""
     assert got[3].startswith("some readable words")
+    assert many(spark, text.pdf_text, [b"BT (10 \x80 \x96 \x84x\x93 \x81) Tj ET"], "binary") == ["10 € – „x“ \x81"]
 
 
 def test_escape(spark):

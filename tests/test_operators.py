@@ -52,6 +52,25 @@ def test_upsert_and_replace(spark):
     assert rows(sync.bulk_rows(spark.createDataFrame([("u", ["a", "b"])], "user string, favs array<string>"), "user", "favs", "org")) == [("u", "a"), ("u", "b")]
 
 
+def test_several_writes_and_empty_sets(spark):
+    old = spark.createDataFrame([(1, "a", "x")], "k int, v string, extra string")
+    new = spark.createDataFrame([(1, "b", 1), (1, "c", 3), (2, "d", 2), (2, "e", 1)], "k int, v string, at int")
+    assert rows(sync.upsert(old, new, "k", ["at"])) == [(1, "c", "x"), (2, "d", None)]
+    assert rows(sync.upsert(old, new.drop("at"), "k")) == [(1, "c", "x"), (2, "e", None)]
+    stored = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    assert rows(sync.replace_set(stored, stored.filter("k = 1"), "k", stored.filter("k = 2"))) == [(1, "a"), (3, "c")]
+
+
+def test_many_locations(spark, monkeypatch):
+    orgs = spark.createDataFrame([(1, "Bern"), (2, "Zug"), (3, None), (4, ""), (5, "Bern")], "id int, loc string")
+    for names in (["er", "x", None], ["", "q"], ["Bernau"], ["Zug", "ug", "Bern"]):
+        picked = spark.createDataFrame([(n,) for n in names], "name string")
+        monkeypatch.setattr(search, "PICKED", 1000)
+        want = rows(search.near_locations(orgs, picked).select("id"))
+        monkeypatch.setattr(search, "PICKED", 0)
+        assert rows(search.near_locations(orgs, picked).select("id")) == want
+
+
 def test_joins(spark):
     orgs = spark.createDataFrame([(1, "Bern"), (2, "Zug"), (3, None)], "id int, loc string")
     favs = spark.createDataFrame([(1,), (9,), (1,)], "org int")
