@@ -1,44 +1,44 @@
-"""Quality rules: word rules, then tokeniser fertility within bands per script (operator 5)."""
+"""Quality rules: word rules, then tokeniser fertility within bands per script (operator 5).
+
+Two public vocabularies measure every text: characters a token under either, byte-fallback share and token entropy under the first.
+The bands come from the corpus itself: for each script the quartiles of each figure over all texts that pass the word rules, and as
+much room beyond them as several times their distance. So a band follows what is usual in a script, and refuses what is far from it.
+"""
 
 from __future__ import annotations
 
+import base64
 import os
 from functools import lru_cache
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from strandmark.llm.frames import map_rows
+from strandmark.llm.frames import map_rows, written
 
 SYMBOLS = b"#*$%&|<>"
-#: Script -> (least characters a token, most characters a token, most byte-fallback share, least entropy in bits for 64
-#: tokens or more). Parameters of the method, wide enough for languages that the vocabulary splits finely. Any other
-#: script, and texts without letters, have the last band.
-BANDS = {
-    "Latin": (1.3, 9.0, 0.25, 3.0),
-    "Cyrillic": (1.0, 8.0, 0.25, 3.0),
-    "Greek": (0.7, 6.0, 0.35, 3.0),
-    "Arabic": (0.6, 6.0, 0.45, 3.0),
-    "Hebrew": (0.5, 6.0, 0.45, 3.0),
-    "Devanagari": (0.4, 6.0, 0.6, 3.0),
-    "Han": (0.3, 4.0, 0.7, 3.0),
-    "Hiragana": (0.3, 4.0, 0.7, 3.0),
-    "Hangul": (0.3, 4.0, 0.8, 3.0),
-    "other": (0.25, 12.0, 0.9, 2.0),
-}
-SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in BANDS if name != "other"}
+#: Scripts that have bands of their own; any other, and texts without letters, are "other".
+SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Hangul")}
 ASCII_LETTER = regex.compile(r"[A-Za-z]")
-RESULT = (
+#: Figure -> (share of its median that the quartiles are apart at least, room in any case, has a lower bound, has an upper bound).
+FIGURES = {
+    "chars_per_token": (0.08, 0.0, True, True),
+    "chars_per_multi_token": (0.08, 0.0, True, True),
+    "byte_share": (0.0, 0.05, False, True),
+    "token_entropy": (0.08, 0.0, True, False),
+}
+MEASURED = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, script string, chars_per_token double, byte_share double, token_entropy double"
+    "script string, n_tokens long, chars_per_token double, chars_per_multi_token double, byte_share double, token_entropy double"
 )
 
 
 class WordPieces(dict):
     """word -> (byte-fallback tokens, ids as bytes) under a SentencePiece vocabulary, each word by itself."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -54,11 +54,37 @@ class WordPieces(dict):
         return value
 
 
-@lru_cache(maxsize=2)
+class MultiTokens(dict):
+    """word -> its tokens under a byte-level vocabulary for many languages, with a space before it."""
+
+    MOST = 200_000
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        super().__init__()
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.count = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        value = self[word] = len(self.count(" " + word.decode()))
+        return value
+
+
+@lru_cache(maxsize=1)
 def word_pieces(path: str) -> WordPieces:
     return WordPieces(path)
 
 
+@lru_cache(maxsize=1)
+def multi_tokens(path: str) -> MultiTokens:
+    return MultiTokens(path)
+
+
 def repeated_words(words: list[bytes], n: int = 5) -> int:
     """Words in ``n``-word windows that occur twice or more, the first occurrence included."""
     windows = list(zip(*(words[i:] for i in range(n))))
@@ -99,24 +125,14 @@ def fertility(words: list[bytes], chars: int, pieces: WordPieces) -> tuple[float
     return chars / len(ids), float(pieces.is_byte[ids].mean()), float(-(share * np.log2(share)).sum()) + 0.0, len(ids)
 
 
-def within(band: tuple[float, float, float, float], chars_per_token: float, byte_share: float, entropy: float, tokens: int) -> bool:
-    low, high, bytes_most, entropy_least = band
-    return low <= chars_per_token <= high and byte_share <= bytes_most and (tokens < 64 or entropy >= entropy_least)
-
-
-def score_quality(docs: DataFrame, bands: dict | None = None, path: str | None = None) -> DataFrame:
-    """Counts and verdicts of every row in one narrow pass; other columns aren't read, repeated rows stay rows.
-
-    Words are runs without ASCII white space. Null and empty texts have no words: counts 0, base_failed true, kept
-    false, fertility figures 0. A very long text is held by its own task alone, with arrays in proportion to it.
-    """
-    bands = BANDS | (bands or {})
+def measured(docs: DataFrame, path: str | None = None, multi_path: str | None = None) -> DataFrame:
+    """Counts of the word rules, script and fertility figures of every row, in one narrow pass."""
 
     def make():
         from strandmark.llm.bpe import vocabulary
 
         os.environ["OMP_NUM_THREADS"] = "1"
-        pieces = word_pieces(path or vocabulary("piece_bpe_32k.model"))
+        pieces, multi = word_pieces(path or vocabulary("piece_bpe_32k.model")), multi_tokens(multi_path or vocabulary("byte_bpe_multi_50k.tiktoken"))
 
         def one(text: str | None) -> tuple:
             text = text or ""
@@ -125,17 +141,58 @@ def score_quality(docs: DataFrame, bands: dict | None = None, path: str | None =
             chars = len(text) - len(data) + sum(map(len, words))
             repeats = repeated_words(words)
             failed = len(words) < 10 or 100 * repeats > 20 * len(words)
-            script = dominant_script(text)
-            *figures, tokens = fertility(words, chars, pieces)
-            kept = not failed and within(bands[script], *figures, tokens)
+            per_token, byte_share, entropy, tokens = fertility(words, chars, pieces)
+            per_multi = chars / max(1, sum(map(multi.__getitem__, words)))
             symbols = len(data) - len(data.translate(None, SYMBOLS))
-            return len(words), chars, symbols, repeated_lines(data), repeats, failed, kept, script, *figures
+            return len(words), chars, symbols, repeated_lines(data), repeats, failed, dominant_script(text), tokens, per_token, per_multi, byte_share, entropy
 
-        names = [x.split()[0] for x in RESULT.split(", ")][1:]
+        names = [x.split()[0] for x in MEASURED.split(", ")][1:]
 
         def work(rows: dict) -> dict:
             return {"doc_id": rows["doc_id"]} | dict(zip(names, map(list, zip(*map(one, rows["text"]), strict=True)), strict=True))
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), make, RESULT)
+    return map_rows(docs.select("doc_id", "text"), make, MEASURED)
+
+
+def fit_bands(figures: DataFrame, spread: float = 2.0, least_tokens: int = 128) -> DataFrame:
+    """script, and low_ and high_ of each figure: its quartiles and ``spread`` times their distance beyond.
+
+    From all rows of ``figures`` that pass the word rules and have ``least_tokens`` tokens. One small sketch a script and
+    figure moves, so a script with nearly all rows does no harm; there are at most ten rows.
+    """
+    quartiles = lambda f: F.percentile_approx(f, [0.25, 0.5, 0.75], 10_000).alias(f)
+    found = figures.filter(~F.col("base_failed") & (F.col("n_tokens") >= least_tokens)).groupBy("script").agg(*map(quartiles, FIGURES))
+
+    def bounds(f: str, share: float, room: float, lower: bool, upper: bool) -> list[Column]:
+        q = lambda i: F.col(f)[i]
+        apart = F.greatest(q(2) - q(0), share * q(1))
+        return [F.lit(float("-inf")) if not lower else q(0) - spread * apart - room, F.lit(float("inf")) if not upper else q(2) + spread * apart + room]
+
+    return found.select("script", *(c.alias(f"{side}_{f}") for f, how in FIGURES.items() for side, c in zip(("low", "high"), bounds(f, *how))))
+
+
+def judged(figures: DataFrame, bands: DataFrame, least_tokens: int = 128) -> DataFrame:
+    """Adds ``kept``: the word rules hold, and with ``least_tokens`` tokens or more every figure lies within the band of the script.
+
+    A script without a band has nothing to be far from, and shorter texts have figures by chance: there the word rules decide.
+    """
+    within = F.lit(True)
+    for f in FIGURES:
+        within &= F.coalesce(F.col(f).between(F.col(f"low_{f}"), F.col(f"high_{f}")), F.lit(True))
+    kept = ~F.col("base_failed") & ((F.col("n_tokens") < least_tokens) | within)
+    joined = figures.join(F.broadcast(bands), "script", "left")  # at most ten rows
+    return joined.withColumn("kept", kept).select(*figures.columns[:7], "kept", *figures.columns[7:])
+
+
+def score_quality(docs: DataFrame, spread: float = 2.0, least_tokens: int = 128, path: str | None = None, multi_path: str | None = None) -> DataFrame:
+    """Counts, figures and verdicts of every row; other columns, also of clashing names, aren't read, repeated rows stay rows.
+
+    Words are runs without ASCII white space. Null and empty texts have no words: counts 0, base_failed true, kept
+    false, fertility figures 0. A figure on a bound is within it. A very long text is held by its own task alone, with arrays in
+    proportion to it. An empty table has no bands and gives no rows. Texts are read once; their figures, a small row each,
+    are written, and the bands are fitted over all of them.
+    """
+    figures = written(measured(docs, path, multi_path), "quality")
+    return judged(figures, fit_bands(figures, spread, least_tokens), least_tokens)

@@ -160,14 +160,73 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(marked), failed
 
 
+def brute_figures(text, pieces, multi):
+    """script, tokens and the four figures by the libraries' plain calls."""
+    import math
+    import unicodedata
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    ids = [i for w in words for i in pieces.encode(w)]
+    chars = sum(map(len, words))
+    entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values()) if ids else 0.0
+    script = "Latin" if any("LATIN" in unicodedata.name(c, "") for c in text or "") else "other"
+    many = sum(len(multi.encode_ordinary(" " + w)) for w in words)
+    return script, len(ids), chars / len(ids) if ids else 0.0, chars / max(1, many), sum(map(pieces.is_byte, ids)) / max(1, len(ids)), entropy
+
+
 def test_quality(spark, sf_dir, odd, empty):
+    import base64
+    import math
+
+    import sentencepiece
+    import tiktoken
+
     for df in (table(spark, sf_dir, "documents"), odd):
         rows = quality.score_quality(df).collect()
         assert Counter((r["doc_id"], *r[1:7]) for r in rows) == Counter((d, *brute_quality(t)) for d, t in df.select("doc_id", "text").collect())
         assert not any(r["kept"] and r["base_failed"] for r in rows)
     assert quality.score_quality(empty).collect() == []
-    noise = spark.createDataFrame([(1, " ".join(chr(0x13000 + i) for i in range(200)))], "doc_id long, text string")
-    assert not quality.score_quality(noise, {"other": (1.0, 9.0, 0.5, 2.0)}).first()["kept"]
+
+    # figures, bands and verdicts of the whole table
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    multi = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    junk = [" ".join(f"w{i * j % 89}###$$$ an%%%" for i in range(90)) for j in (3, 5, 7)] + [" ".join(chr(0x13000 + i * i % 900) + "a" for i in range(80)), " ".join("a" * (i % 97 + 3) for i in range(97))]
+    every = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(junk)], docs.schema))
+    texts = dict(map(tuple, every.collect()))
+    brute = {d: (brute_quality(t)[-1], *brute_figures(t, pieces, multi)) for d, t in texts.items()}
+    used = [b[3:] for b in brute.values() if not b[0] and b[1] == "Latin" and b[2] >= 128]
+    low, high = [], []
+    for k, (share, room, has_low, has_high) in enumerate(quality.FIGURES.values()):
+        v = sorted(u[k] for u in used)
+        q1, q2, q3 = (v[max(0, math.ceil(x * len(v)) - 1)] for x in (0.25, 0.5, 0.75))
+        apart = max(q3 - q1, share * q2)
+        low.append(q1 - 2 * apart - room if has_low else -math.inf)
+        high.append(q3 + 2 * apart + room if has_high else math.inf)
+    got = {r["doc_id"]: r for r in quality.score_quality(every).collect()}
+    assert got.keys() == brute.keys()
+    for d, (failed, script, tokens, *figures) in brute.items():
+        r = got[d]
+        assert (r["script"], r["n_tokens"]) == (script, tokens), d
+        assert all(abs(r[f] - x) < 1e-9 for f, x in zip(quality.FIGURES, figures)), d
+        inside = all(a <= x <= b for a, x, b in zip(low, figures, high))
+        assert r["kept"] == (not failed and (tokens < 128 or script != "Latin" or inside)), d
+    assert not any(got[10**6 + i]["kept"] for i in range(5))
+    kept_share = sum(r["kept"] for d, r in got.items() if d < 10**6) / sum(not r["base_failed"] for d, r in got.items() if d < 10**6)
+    assert 0.9 < kept_share < 1
+
+
+def test_quality_bands(spark):
+    """Each bound refuses what lies beyond it, and only in texts that are long enough and in scripts that have a band."""
+    usual = {"chars_per_token": 2.0, "chars_per_multi_token": 2.0, "byte_share": 0.0, "token_entropy": 6.0}
+    rows = [(i, 50, 100, 0, 0, 0, False, "Latin", 300, *(v + 0.01 * (i % 5) for v in usual.values())) for i in range(40)]
+    changes = [("chars_per_token", 0.5, 300), ("chars_per_token", 5.0, 300), ("chars_per_multi_token", 0.5, 300), ("chars_per_multi_token", 5.0, 300), ("byte_share", 0.9, 300), ("token_entropy", 1.0, 300), ("token_entropy", 1.0, 100)]
+    odd_rows = [(100 + k, 50, 100, 0, 0, 0, False, "Latin", n, *(usual | {f: v}).values()) for k, (f, v, n) in enumerate(changes)]
+    alone = [(200, 50, 100, 0, 0, 0, False, "Greek", 100, 9.0, 9.0, 0.9, 0.1), (201, 50, 100, 0, 0, 0, True, "Latin", 300, *usual.values())]
+    figures = spark.createDataFrame(rows + odd_rows + alone, quality.MEASURED)
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(figures, quality.fit_bands(figures)).collect()}
+    assert [d for d, kept in sorted(got.items()) if not kept] == [*range(100, 106), 201]
 
 
 def brute_items(text, bench, window=13):
