@@ -4,92 +4,80 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmark.llm.frames import map_rows, written
-
-#: Short statements by which files declare a licence.
-TEMPLATES = {
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This program is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style 3-clause license that can be found in the LICENSE file",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
-    "CC-BY-4.0": "Licensed under Creative Commons Attribution CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "To the extent possible under law the author has waived all copyright, public domain CC0 1.0",
-    "ISC": "Released under the ISC License. Permission to use, copy, modify, and distribute this software for any purpose",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
-}
+from strandmark.llm.frames import map_rows, slices, written
+from strandmark.llm.license_texts import statements
+
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 TERM = regex.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
+#: Lines that are read as one header, from each line on.
+HEADER_LINES = (1, 2, 3, 4, 6, 8, 12, 16, 24)
+#: The share of files that a term outside the templates counts as being in, and the least share of any term: weights don't
+#: grow with the number of files.
+OTHER_SHARE, LEAST_SHARE = 0.05, 1e-4
 FOUND = "path string, license string, score double, whole_license string, whole_score double"
 
 
-def statements() -> list[tuple[str, Counter]]:
-    """Every sentence of a template is a vector of its own, besides the whole template."""
-    out = []
-    for spdx, text in TEMPLATES.items():
-        for part in {text, *(s for s in regex.split(r"(?<=[a-z])\. ", text) if "icense" in s or "cc" in s.lower())}:
-            out.append((spdx, Counter(TERM.findall(part.lower()))))
-    return out
+def idf(files_with: int, files: int) -> float:
+    return -math.log(max((1 + files_with) / (1 + files), LEAST_SHARE)) + 1
 
 
 class Cosine:
-    """Inverted index over the templates' terms. A term outside the templates has the weight of a term never seen."""
+    """Inverted index over the terms of the templates, each with the weight that its share of all files gives it."""
 
     def __init__(self, document_frequency: dict[str, int], documents: int):
-        self.idf = {t: math.log((1 + documents) / (1 + n)) + 1 for t, n in document_frequency.items()}
-        self.unseen = math.log(1 + documents) + 1
+        wordings = [(spdx, Counter(TERM.findall(text.lower()))) for spdx, text in statements()]
+        self.idf = {t: idf(document_frequency.get(t, 0), documents) for _, terms in wordings for t in terms}
+        self.other = -math.log(OTHER_SHARE) + 1
         self.index: dict[str, list[tuple[int, float]]] = {}
-        self.names = []
-        for k, (spdx, terms) in enumerate(statements()):
-            self.names.append(spdx)
-            weights = {t: n * self.idf.get(t, self.unseen) for t, n in terms.items()}
+        self.names = [spdx for spdx, _ in wordings]
+        for k, (_, terms) in enumerate(wordings):
+            weights = {t: n * self.idf[t] for t, n in terms.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             for t, w in weights.items():
                 self.index.setdefault(t, []).append((k, w / norm))
 
     def telling(self, least: float) -> set[str]:
-        """Terms of which a line needs one to reach ``least``: the rare ones, if all others together are too light."""
-        rare = {t for t in self.index if self.idf.get(t, self.unseen) >= 3}
-        rest: dict[int, float] = {}
-        for t in self.index.keys() - rare:
-            for k, v in self.index[t]:
-                rest[k] = rest.get(k, 0.0) + v * v
-        return rare if max(rest.values(), default=0.0) < least**2 else set(self.index)
+        """Terms of which a text needs one to reach ``least``: the rarest, until what is left of each template is too light."""
+        left, out = [1.0] * len(self.names), set()
+        for t in sorted(self.index, key=lambda t: (-self.idf[t], t)):
+            if any(left[k] >= least**2 for k, _ in self.index[t]):
+                out.add(t)
+                for k, v in self.index[t]:
+                    left[k] -= v * v
+        return out
 
     def best(self, terms: Counter) -> tuple[str | None, float]:
         """The closest template and its cosine; ties to the first in alphabetical order."""
         dots: dict[int, float] = {}
-        for t in terms.keys() & self.index.keys():
-            w = terms[t] * self.idf.get(t, self.unseen)
-            for k, v in self.index[t]:
+        square = 0.0
+        for t, n in terms.items():
+            w = n * self.idf.get(t, self.other)
+            square += w * w
+            for k, v in self.index.get(t, ()):
                 dots[k] = dots.get(k, 0.0) + w * v
         if not dots:
             return None, 0.0
-        norm = math.sqrt(sum((n * self.idf.get(t, self.unseen)) ** 2 for t, n in terms.items()))
+        norm = math.sqrt(square)
         score, name = max(((d / norm, self.names[k]) for k, d in dots.items()), key=lambda x: (round(x[0], 12), [-ord(c) for c in x[1]]))
         return name, min(1.0, score)
 
 
 def template_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
     """In how many of all files each term of the templates occurs, and the number of files."""
-    terms = sorted({t for _, c in statements() for t in c})
+    terms = sorted({t for _, text in statements() for t in TERM.findall(text.lower())})
 
     def count(batches):
         n, seen = 0, Counter()
         wanted = set(terms)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for piece in slices(batches):
+            for text in piece.column(0).to_pylist():
                 n += 1
                 seen.update(wanted.intersection(TERM.findall((text or "").lower())))
         keys = ["", *seen]
@@ -100,8 +88,27 @@ def template_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
     return found, found.pop("", 0)
 
 
-def declared(files: DataFrame, cosine: Cosine, least: float) -> DataFrame:
-    """The closest template of any line of a file that can reach ``least``, and of the file as a whole."""
+def headers(text: str, telling: set[str]) -> Iterator[Counter]:
+    """Terms of the passages that may declare a licence: from each line with a telling term on, that line and more of those below it,
+    joined, as headers are wrapped. Comment marks aren't terms."""
+    lines = [Counter(TERM.findall(line)) for line in text.split("\n")]
+    lines = [c for c in lines if c]
+    for i, first in enumerate(lines):
+        if telling.isdisjoint(first):
+            continue
+        passage, have = Counter(), 0
+        for n in HEADER_LINES:
+            if i + have >= len(lines):
+                break
+            for c in lines[i + have : i + n]:
+                passage.update(c)
+            have = n
+            yield passage
+
+
+def declared(files: DataFrame, cosine: Cosine, least: float, kept: str) -> DataFrame:
+    """The closest template of any passage of a file that can reach ``least``, and of the file as a whole; ``kept`` is the type of
+    a further column."""
     shared = files.sparkSession.sparkContext.broadcast(cosine)
 
     def make():
@@ -111,21 +118,19 @@ def declared(files: DataFrame, cosine: Cosine, least: float) -> DataFrame:
         def one(text: str | None) -> tuple:
             low = (text or "").lower()
             best, total = (None, 0.0), Counter(TERM.findall(low))
-            hits = telling & total.keys()
-            if not hits:
-                return *best, *c.best(total)
-            for line in low.split("\n"):
-                if any(t in line for t in hits):
-                    best = max(best, c.best(Counter(TERM.findall(line))), key=lambda x: x[1])
+            if telling.isdisjoint(total):
+                return *best, *best
+            for passage in headers(low, telling):
+                best = max(best, c.best(passage), key=lambda x: x[1])
             return *best, *c.best(total)
 
         def work(rows: dict) -> dict:
             cols = zip(*map(one, rows["text"]), strict=True)
-            return {"path": rows["path"]} | dict(zip(("license", "score", "whole_license", "whole_score"), map(list, cols), strict=True))
+            return {"path": rows["path"], "kept": rows["kept"]} | dict(zip(("license", "score", "whole_license", "whole_score"), map(list, cols), strict=True))
 
         return work
 
-    return map_rows(files.select("path", "text"), make, FOUND)
+    return map_rows(files, make, f"{FOUND}, kept {kept}")
 
 
 def parents(path: Column) -> Column:
@@ -134,22 +139,27 @@ def parents(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def scan_licenses(files: DataFrame, least: float = 0.6, least_whole: float = 0.5) -> DataFrame:
-    """path, license, score, origin ("file", "directory" or null) and from_directory of every row.
+def scan_licenses(files: DataFrame, least: float = 0.6, least_whole: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """path, license, score, origin ("file", "directory" or null) and from_directory of every row, and before them the columns ``keep``.
 
-    A file's own licence is the template closest to one of its lines with a cosine of ``least`` or more. Licence files (by
-    name, or by a whole text at ``least_whole``) give their directory its licence: the best score, ties by name. Files without
-    one of their own take that of the nearest directory above that has one. Document frequencies come from all rows.
-    Directories, not files, are joined with their ancestors, so a directory with most of the files costs one row there; the last
-    join has directory keys whose hot ones AQE splits. Null and empty texts declare nothing; a null path has no
-    directory; repeated rows stay rows; an empty table gives no rows; other columns aren't read.
+    A file's own licence is the template closest to one of its passages (a line, or several joined) with a cosine of ``least`` or
+    more. Licence files (by name, or by a whole text at ``least_whole``) give their directory its licence: the best score, ties by
+    name. Files without one of their own take that of the nearest directory above that has one. Document frequencies of
+    the templates' terms come from all rows; other terms have one weight. Passages that can reach neither threshold are
+    passed over. Directories, not files, are joined with their ancestors, so a directory with most of the files costs one row
+    there; the last join has directory keys whose hot ones AQE splits. Null and empty texts declare nothing; a null path has no
+    directory; repeated rows stay rows; an empty table gives no rows; columns that aren't kept aren't read, whatever their names, and
+    kept ones shouldn't be named like the result's. A very long text is held by its own task alone, with its terms by line.
     """
-    files = files.select("path", "text")
-    own = declared(files, Cosine(*template_frequencies(files)), least)
+    keep = keep or []
+    files = files.select("path", "text", F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
+    frequencies, n = template_frequencies(files)
+    own = declared(files, Cosine(frequencies, n), min(least, least_whole), files.schema["kept"].dataType.simpleString())
     by_whole = F.col("whole_score") >= least_whole
     named = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)) & (F.greatest("score", "whole_score") >= least_whole)
     sure = F.col("score") >= least
     own = own.select(
+        "kept",
         "path",
         F.when(sure, F.col("license")).alias("license"),
         F.round("score", 6).alias("score"),
@@ -165,6 +175,7 @@ def scan_licenses(files: DataFrame, least: float = 0.6, least_whole: float = 0.5
     joined = own.join(nearest, "directory", "left")
     inherits = F.col("license").isNull() & F.col("_from").isNotNull()
     return joined.select(
+        *(F.col(f"kept.{c}").alias(c) for c in keep),
         "path",
         F.coalesce("license", F.col("_from._given")).alias("license"),
         "score",

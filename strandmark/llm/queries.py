@@ -27,9 +27,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the files of a tree source/lang/doc_id."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
-    found = licenses.scan_licenses(docs.select(path.alias("path"), "text"))
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "*")
+    parts = (F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    return licenses.scan_licenses(docs.select("doc_id", F.concat_ws("/", *parts).alias("path"), "text"), keep=["doc_id"])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

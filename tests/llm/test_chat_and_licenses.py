@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandmark.llm import chat, licenses, queries
+from strandmark.llm import chat, license_texts, licenses, queries
 from strandmark.llm.frames import table
 
 CONTROL_TEXT = st.lists(st.sampled_from([*"<|>[]/\\sINTSYé \n", "</s>", "[INST]", "<|end|>\n", "<<SYS>>", "<|image:0|>"]), max_size=15).map("".join)
@@ -100,8 +100,105 @@ def test_license_query(spark, sf_dir):
         assert (r["license"] in want) if want else r["origin"] != "file", r
 
 
-def test_cosine_brute_force(spark, sf_dir):
+def brute_scan(files, least=0.6, least_whole=0.5):
+    """(path, license, score, origin, from_directory) of each (path, text), by plain vectors and a walk up the directories."""
+    import math
+    import re
+    from collections import Counter
+
+    terms = lambda t: Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)?", (t or "").lower()))
+    wordings = [(x, terms(t)) for x, t in license_texts.statements()]
+    known = {t for _, c in wordings for t in c}
+    texts = [{*terms(t)} for _, t in files]
+    weight = {t: 1 - math.log(max((1 + sum(t in x for x in texts)) / (1 + len(texts)), 1e-4)) for t in known}
+    vector = lambda c: {t: n * weight.get(t, 1 - math.log(0.05)) for t, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(x, vector(c)) for x, c in wordings]
+
+    def best(c):
+        v = vector(c)
+        scored = [(round(sum(w * v.get(t, 0) for t, w in u.items()) / norm(u) / norm(v), 12), x) for x, u in vectors] if v else []
+        top = max((s for s, _ in scored), default=0)
+        return (min(x for s, x in scored if s == top), min(1.0, top)) if top else (None, 0.0)
+
+    own, given = [], {}
+    for path, text in files:
+        lines = [c for c in map(terms, (text or "").split("\n")) if c]
+        passages = [sum(lines[i : i + n], Counter()) for i in range(len(lines)) for n in (1, 2, 3, 4, 6, 8, 12, 16, 24)]
+        name, score = max(map(best, passages), key=lambda x: x[1], default=(None, 0.0))
+        whole, whole_score = best(terms(text))
+        own.append((path, name if score >= least else None, score))
+        if path is not None:
+            named = re.search(r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$", path) and max(score, whole_score) >= least_whole
+            gives = whole if whole_score >= least_whole else name if named else None
+            if gives:
+                at = path.rpartition("/")[0]
+                given[at] = min(given.get(at, (1, "")), (-max(score, whole_score), gives))
+    for path, name, score in own:
+        if name or path is None:
+            yield path, name, score, "file" if name else None, None
+            continue
+        at = path.rpartition("/")[0]
+        while at and at not in given:
+            at = at.rpartition("/")[0]
+        yield path, given[at][1] if at in given else None, score, "directory" if at in given else None, at if at in given else None
+
+
+def same_scan(got, files):
+    key = lambda r: str((r[0], r[1], r[3], r[4]))
+    got, want = sorted(got, key=key), sorted(brute_scan(files), key=key)
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [(w[0], w[1], w[3], w[4]) for w in want]
+    # below the thresholds a passage may be passed over
+    assert all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want) if w[2] >= 0.5) and all(g[2] < 0.5 for g, w in zip(got, want) if w[2] < 0.5)
+
+
+def wrapped(text, width, mark):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_real_licenses(spark):
+    """Full texts, wrapped headers, tags and clauses, with other words around them."""
+    body = "\nimport something\nfor each in all of it do what is said\n"
+    texts = license_texts.TEXTS
+    rows = [
+        ("a/mit.txt", "Copyright (c) 2020 Jane Doe\n\n" + wrapped(texts["MIT"][0], 80, ""), "MIT"),
+        ("b/gpl.c", "/* prog - does things\n" + wrapped(texts["GPL-3.0"][0], 70, " * ") + "\n */" + body, "GPL-3.0"),
+        ("c/agpl.py", wrapped(texts["AGPL-3.0"][0], 60, "# ") + body, "AGPL-3.0"),
+        ("d/tag.c", "// SPDX-License-Identifier: GPL-2.0-or-later" + body, "GPL-2.0"),
+        ("e/bsd.go", wrapped(texts["BSD-3-Clause"][0], 75, "// ") + body, "BSD-3-Clause"),
+        ("f/bsd2.go", wrapped(texts["BSD-2-Clause"][0], 75, "// ") + body, "BSD-2-Clause"),
+        ("g/apache.java", "/*\n" + wrapped(texts["Apache-2.0"][0], 65, " * ") + "\n */" + body, "Apache-2.0"),
+        ("h/line.md", "Copyright (c) 2020 Jane Doe. This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("i/line.md", "This project is released under the MIT License and may be used freely by anyone.", "MIT"),
+        ("j/mpl.js", wrapped(texts["MPL-2.0"][0], 72, " * ") + body, "MPL-2.0"),
+        ("k/plain.py", body * 3, None),
+        ("k/deep/er.py", body, None),
+    ]
+    docs = spark.createDataFrame([(i, *r[:2], 0.5) for i, r in enumerate(rows)] + [(None, None, None, None)], "doc_id long, path string, text string, score double")
+    found = licenses.scan_licenses(docs, keep=["doc_id"]).collect()
+    assert {r["doc_id"]: r["license"] for r in found} == {i: r[2] for i, r in enumerate(rows)} | {None: None}
+    same_scan([r[1:] for r in found], [r[:2] for r in rows] + [(None, None)])
+
+
+def test_scan_brute_force(spark, sf_dir):
+    got = queries.op3_license_scan(spark, sf_dir).collect()
+    docs = table(spark, sf_dir, "documents").collect()
+    of_path = {f"{d['source'] or 'unknown'}/{d['lang'] or 'unknown'}/{d['doc_id']}": d["text"] for d in docs}
     frequencies, n = licenses.template_frequencies(table(spark, sf_dir, "documents"))
-    texts = [r["text"].lower() for r in table(spark, sf_dir, "documents").collect()]
+    texts = [{*licenses.TERM.findall((r["text"] or "").lower())} for r in docs]
     assert n == len(texts)
-    assert all(frequencies.get(t, 0) == sum(t in licenses.TERM.findall(x) for x in texts) for t in ("license", "the", "public", "mit"))
+    assert all(frequencies.get(t, 0) == sum(t in x for x in texts) for t in ("license", "the", "public", "mit"))
+    assert {r["path"] for r in got} == of_path.keys()
+    cosine = licenses.Cosine(frequencies, n)
+    for r in got:  # every passage of every whole text, without passing any over
+        text = (of_path[r["path"]] or "").lower()
+        best = max((cosine.best(c) for c in licenses.headers(text, {*licenses.TERM.findall(text)})), key=lambda x: x[1], default=(None, 0.0))
+        assert (r["origin"] == "file") == (best[1] >= 0.6) and (r["origin"] != "file" or (r["license"] == best[0] and abs(r["score"] - best[1]) < 2e-6)), r
+
+
+def test_null_ids(spark, tmp_path, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(5)
+    docs.unionByName(spark.createDataFrame([(None, "Released under the MIT License.", None, None, 3)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["license"] for r in queries.op3_license_scan(spark, str(tmp_path)).collect() if r["doc_id"] is None] == ["MIT"]
