@@ -159,6 +159,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, m
 
     Verdict and filter are narrow passes: the text itself is judged, so repeated or null ids do no harm. A benchmark over
     ``max_bytes`` is searched part after part; rows go along whole with the spans found so far, and the last pass judges.
+    Null and empty texts stay; repeated rows are judged alike; a share of exactly a twentieth is contaminated; an empty benchmark or
+    table changes nothing; columns of any name come through as they are. A very long text is held by its own task alone.
     """
     context = docs.sparkSession.sparkContext
     row = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields])

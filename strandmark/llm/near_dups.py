@@ -243,7 +243,9 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 16, rows
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, that aren't near-duplicates of a smaller doc_id; rows with a null id stay.
 
-    A row goes by its id and its text: another text under the same id stays.
+    A row goes by its id and its text: another text under the same id stays. Null texts and texts without words stay, but for exact
+    copies of the latter; of equal rows all stay or all go; ties don't occur, as ids are ordered; an empty table gives no rows; other
+    columns, whatever their names, come through as they are. A very long text is held by its own task alone, for its shingles.
     """
     gone = near_classes(docs, similarity).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_cls")).distinct()
     same = (docs["doc_id"] == gone["gone_id"]) & (F.unhex(F.md5(docs["text"])) == gone["gone_cls"])

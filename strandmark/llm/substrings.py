@@ -183,7 +183,9 @@ def remove_known(docs: DataFrame, reference: DataFrame, length: int = 13, shard_
 
     The reference comes in shards of at most ``shard_bytes`` characters (a longer text is a shard of its own); each
     shard's automaton is broadcast and all documents stream through it, so the size broadcast at once is bounded. Meant for a
-    reference far smaller than the corpus; a corpus against itself is ``remove_repeats``.
+    reference far smaller than the corpus; a corpus against itself is ``remove_repeats``. Null texts stay null and match nothing;
+    repeated rows and ids stay rows, ties don't matter; an empty reference removes nothing, an empty table gives no rows; other
+    columns aren't read. A very long text is held by its own task alone.
     """
     from strandmark.llm.decontaminate import blocks_of
 
