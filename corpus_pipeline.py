@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each on all that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each on all that the one before kept.
+
+All stages take awkward rows as their operators say: texts of null have no language and go in the first stage; rows with a null or
+repeated id are judged by their texts, one by one; repeated rows are alike to every stage; further columns come through, whatever their
+names, up to the last stage, which gives places of tokens; very long texts are handled whole; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
