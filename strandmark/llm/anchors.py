@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from strandmark.llm.frames import grams, mixed, slices, word_hashes
+from strandmark.llm.frames import grams, mixed, slices, tidy, tidy_group, tidy_pair, word_hashes
 
 #: Text in one group of documents, in one bucket of anchors, and in one shard of runs (about a quarter of all text, five times over).
 GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 8 << 20
@@ -232,7 +232,7 @@ def find_anchors(docs: DataFrame, units, buckets: int, groups: int, flush: int =
         if held:
             yield out()
 
-    return docs.filter("text is not null").select("text", "k").mapInArrow(run, ANCHORS)
+    return docs.filter("text is not null").select("text", "k").mapInArrow(tidy(run), ANCHORS)
 
 
 def tell_shared(found: DataFrame, groups: int, hot_owners: int) -> DataFrame:
@@ -265,7 +265,7 @@ def tell_shared(found: DataFrame, groups: int, hot_owners: int) -> DataFrame:
                 at_once.append((g, joined(x, base | y.astype(np.uint64), base | flags.get(g, none[1]).astype(np.uint64))))
         return pa.Table.from_batches([table(PACKET, at_once)])
 
-    return found.groupBy("bucket").applyInArrow(run, PACKET)
+    return found.groupBy("bucket").applyInArrow(tidy_group(run), PACKET)
 
 
 class Collected:
@@ -343,7 +343,7 @@ def collect_runs(docs: DataFrame, told: DataFrame, units, buckets: int, shards:
             out.append((shard, kind, g, joined(k[used], packed(np.array([which, owner, start], np.uint32).tobytes()), packed(about.tobytes()), packed(b"".join(x[0] for x in items)))))
         return pa.Table.from_batches([table(RUNS, out)])
 
-    return docs.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(run, RUNS)
+    return docs.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(tidy_pair(run), RUNS)
 
 
 class Packets:
@@ -439,7 +439,7 @@ def resolve(collected: DataFrame, resolver: Resolver, length: int, groups: int)
                 out += spans_by_group(p.keys, *map(np.concatenate, zip(*found)), groups)
         return pa.Table.from_batches([table(PACKET, out)])
 
-    return collected.groupBy("shard").applyInArrow(run, PACKET)
+    return collected.groupBy("shard").applyInArrow(tidy_group(run), PACKET)
 
 
 #: piece of a table, spans of each row -> the result's columns
@@ -471,7 +471,7 @@ def finish(docs: DataFrame, spans: DataFrame, make: Maker, schema: StructType) -
             done.append(made(make, result, piece, [found[cuts[i] : cuts[i + 1]] for i in own]))
         return pa.Table.from_batches(done) if done else result.empty_table()
 
-    return docs.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(run, schema)
+    return docs.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(tidy_pair(run), schema)
 
 
 def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Maker, schema: StructType | str) -> DataFrame:
@@ -492,4 +492,4 @@ def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Maker, schema
         for piece in slices(batches):
             yield made(make, result, piece, [[]] * piece.num_rows)
 
-    return finish(named, spans, make, schema).unionByName(rows.filter("doc_id is null").mapInArrow(untouched, schema))
+    return finish(named, spans, make, schema).unionByName(rows.filter("doc_id is null").mapInArrow(tidy(untouched), schema))

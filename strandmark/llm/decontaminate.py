@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from strandmark.llm.frames import map_rows, slices
+from strandmark.llm.frames import map_rows, slices, tidy
 
 #: A-Z become a-z; other ASCII characters but digits and letters separate words; bytes of non-ASCII characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -181,5 +181,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, m
                 else:
                     yield pa.RecordBatch.from_arrays([rows, pa.array(spans, pa.list_(pa.int64()))], ["row", "spans"])
 
-        df = df.mapInArrow(run, docs.schema if last else carried)
+        df = df.mapInArrow(tidy(run), docs.schema if last else carried)
     return df

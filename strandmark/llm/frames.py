@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,48 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         yield batch.slice(at)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; elsewhere only Arrow's memory is given back
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: a Python worker outlives its task, and other workers need the room."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+#: What ``mapInArrow`` takes, and what ``applyInArrow`` takes for groups and for pairs of groups.
+Batches, Group, Pair = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], Callable[[pa.Table], pa.Table], Callable[[pa.Table, pa.Table], pa.Table]
+
+
+def tidy(run: Batches) -> Batches:
+    """``run``, after which a task gives back the memory that it freed."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def tidy_group(run: Group) -> Group:
+    def tidied(rows: pa.Table) -> pa.Table:
+        found = run(rows)
+        give_back()
+        return found
+
+    return tidied
+
+
+def tidy_pair(run: Pair) -> Pair:
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = run(left, right)
+        give_back()
+        return found
+
+    return tidied
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices given as dicts of Python lists. ``make`` runs once in each task."""
     from pyspark.sql.types import _parse_datatype_string
@@ -56,7 +99,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
             out = work({name: piece.column(i).to_pylist() for i, name in enumerate(piece.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

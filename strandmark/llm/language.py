@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmark.llm.frames import map_rows, slices, written
+from strandmark.llm.frames import map_rows, slices, tidy, written
 
 LETTER = regex.compile(r"\p{L}")
 #: Bytes that separate words: ASCII but its letters. Of other characters letters and their marks stay, see ``lower_words``.
@@ -132,7 +132,7 @@ def train(docs: DataFrame, sample_rows: int = 20_000, top_words: int = 30_000, t
         if tally:
             yield flush()
 
-    tokens = used.select("lang", "text").mapInArrow(counted, "lang string, word string, n long")
+    tokens = used.select("lang", "text").mapInArrow(tidy(counted), "lang string, word string, n long")
     counts = tokens.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = written(counts, "language-words")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
@@ -206,4 +206,4 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) ->
             found = map(predict, piece.column(piece.schema.get_field_index("text")).to_pylist())
             yield piece.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

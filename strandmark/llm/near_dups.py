@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmark.llm.frames import grams, hashed_texts, map_rows, mixed, slices, written
+from strandmark.llm.frames import grams, hashed_texts, map_rows, mixed, slices, tidy, written
 
 #: Members of a bucket that one block holds, and bytes of their shingles; either bounds it. Blocks are compared in tiles.
 BLOCK, BLOCK_BYTES, TILE = 256, 1 << 20, 64
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             lists = [k if n else [] for k, n in zip(key.view(np.int64).tolist(), sizes)]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "cls", "bands"])
 
-    return docs.select("doc_id", F.unhex(F.md5("text")).alias("cls"), "text").mapInArrow(run, "doc_id long, cls binary, bands array<long>")
+    return docs.select("doc_id", F.unhex(F.md5("text")).alias("cls"), "text").mapInArrow(tidy(run), "doc_id long, cls binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
@@ -88,7 +88,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFram
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.binary())], ["cls", "shingles"])
 
     of = docs.select(F.col("doc_id").alias("rep"), F.unhex(F.md5("text")).alias("cls"), "text").join(wanted, ["rep", "cls"])
-    return (of.dropDuplicates(["rep", "cls"]) if repeated else of).select("cls", "text").mapInArrow(run, "cls binary, shingles binary")
+    return (of.dropDuplicates(["rep", "cls"]) if repeated else of).select("cls", "text").mapInArrow(tidy(run), "cls binary, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
