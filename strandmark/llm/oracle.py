@@ -46,4 +46,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) AS c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
-SQL = {"op2_chat_format": OP2, "op6_decontamination": OP6, "op9_substring_dedup": OP9}
+_TEXT = "coalesce(text, '')"
+#: Every document under every order; nothing is summed ahead.
+OP12 = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, {_TEXT} AS text, regexp_extract_all({_TEXT}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(translate(text, '{UPPER}', ''))) > 3 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM c a, c b, c c, c d, c e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM o, unnest(range(1, 6)) AS u(step)),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, contains(fails, own) AS bad, fails <> translate(fails, before, '') AS gone, fails = own AS alone, good, toxic FROM m, s),
+a AS (SELECT part, filter_order, step, own, count(*) FILTER (WHERE NOT bad AND NOT gone) AS kept, count(*) FILTER (WHERE bad AND NOT gone) AS removed, count(*) FILTER (WHERE bad AND gone) AS redundant,
+    count(*) FILTER (WHERE alone) AS unique_fails, count(*) FILTER (WHERE bad AND NOT gone AND good) AS good_lost, count(*) FILTER (WHERE bad AND NOT gone AND toxic) AS toxic_lost FROM r GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a
+"""
+
+SQL = {"op12_filter_audit": OP12, "op2_chat_format": OP2, "op6_decontamination": OP6, "op9_substring_dedup": OP9}
