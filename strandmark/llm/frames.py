@@ -199,9 +199,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes a table to the shared store and reads it back. Rows reach Python in small batches meanwhile, since
-    a row can be large here; the session's setting comes back afterwards."""
+def written_to(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage: writes a table to the shared store and reads it back; with its folder. Rows reach Python in small batches
+    meanwhile, since a row can be large here; the session's setting comes back afterwards."""
     spark = df.sparkSession
     path, before = scratch(spark, label), spark.conf.get(BATCH_SETTING)
     spark.conf.set(BATCH_SETTING, BATCH_BYTES)
@@ -209,4 +209,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH_SETTING, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    return written_to(df, label)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -64,4 +64,27 @@ a AS (SELECT part, filter_order, step, own, count(*) FILTER (WHERE NOT bad AND N
 SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a
 """
 
-SQL = {"op12_filter_audit": OP12, "op2_chat_format": OP2, "op6_decontamination": OP6, "op9_substring_dedup": OP9}
+
+
+def _clustering(rounds: int = 10, clusters: int = 8, components: int = 64) -> str:
+    """Every vector against every centroid in each round, as so many steps of a WITH clause."""
+    distance = f"CAST(list_sum(list_transform(range(1, {components + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT)"
+    steps = [
+        f"""x AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = {components})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS k, v AS c FROM x QUALIFY k < {clusters})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min(({distance}, k)) AS m FROM x, c{r} GROUP BY row)")
+        if r < rounds:
+            summed = "SELECT m[2] AS k, i, sum(v[i]) AS s, count(*) AS n FROM a{}, unnest(range(1, {})) AS u(i) GROUP BY ALL".format(r, components + 1)
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM ({summed}) GROUP BY k) n USING (k))")
+    last = rounds
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, m[1] AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia, CAST(sum(m[1]) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{last} JOIN c{last} ON k = m[2]"""
+
+
+OP13 = _clustering()
+
+SQL = {"op13_centroid_clustering": OP13, "op12_filter_audit": OP12, "op2_chat_format": OP2, "op6_decontamination": OP6, "op9_substring_dedup": OP9}

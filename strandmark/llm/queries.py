@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmark.llm import chat, decontaminate, filter_audit, language, licenses, near_dups, oracle, packing, quality, substrings, suffixes, token_counts
+from strandmark.llm import centroids, chat, decontaminate, filter_audit, language, licenses, near_dups, oracle, packing, quality, substrings, suffixes, token_counts
 from strandmark.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("n_distances")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_token_counts,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         op9_substring_dedup,
         op10_suffix_dedup,
         op12_filter_audit,
+        op13_centroid_clustering,
     )
     return {f.__name__: f for f in found}
 
