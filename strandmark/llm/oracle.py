@@ -85,6 +85,14 @@ def _clustering(rounds: int = 10, clusters: int = 8, components: int = 64) -> st
     sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{last} JOIN c{last} ON k = m[2]"""
 
 
+#: Every query against every row.
+OP11 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
 OP13 = _clustering()
 
-SQL = {"op13_centroid_clustering": OP13, "op12_filter_audit": OP12, "op2_chat_format": OP2, "op6_decontamination": OP6, "op9_substring_dedup": OP9}
+SQL = {"op11_nearest_neighbours": OP11, "op13_centroid_clustering": OP13, "op12_filter_audit": OP12, "op2_chat_format": OP2, "op6_decontamination": OP6, "op9_substring_dedup": OP9}

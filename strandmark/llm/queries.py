@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmark.llm import centroids, chat, decontaminate, filter_audit, language, licenses, near_dups, oracle, packing, quality, substrings, suffixes, token_counts
+from strandmark.llm import centroids, chat, decontaminate, filter_audit, language, licenses, near_dups, oracle, packing, quality, substrings, suffixes, token_counts, vantage
 from strandmark.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Query]:
         op8_near_duplicates,
         op9_substring_dedup,
         op10_suffix_dedup,
+        op11_nearest_neighbours,
         op12_filter_audit,
         op13_centroid_clustering,
     )
