@@ -21,8 +21,8 @@ def _if_text(c: Column, *shown: Column | str) -> Column:
 
 
 def page_content(cached: Column, live: Column, url: Column) -> Column:
-    """The cached text, else the live one; null without an address."""
-    return F.when(F.coalesce(url, F.lit("")) != "", F.coalesce(cached, live))
+    """The cached text, with or without an address; else the live one, null without an address."""
+    return F.coalesce(cached, F.when(F.coalesce(url, F.lit("")) != "", live))
 
 
 def page_blocks(pages: DataFrame, user: list[str], position: str, name: str, url: str, content: str) -> DataFrame:

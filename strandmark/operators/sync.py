@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from strandmark.functions.values import or_default
 
@@ -38,19 +39,31 @@ def newer_profile(local: DataFrame, remote: DataFrame, key: str = "id") -> DataF
     return best.select(key, *(F.col(f"_p.{c}").alias(c) for c in others))
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The last row of each key. An aggregate, so that tasks combine before the shuffle."""
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in keys)), F.struct(*order)).alias("_r"))
     return best.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rows.columns if c not in keys))
 
 
+def _orderable(t: DataType) -> bool:
+    if isinstance(t, (MapType, VariantType)):
+        return False
+    if isinstance(t, ArrayType):
+        return _orderable(t.elementType)
+    return not isinstance(t, StructType) or all(_orderable(f.dataType) for f in t.fields)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """Rows of ``new`` replace or join those of ``old``; columns that ``new`` lacks keep their old values.
 
-    Of several writes to one key the last by ``order`` counts (by default the greatest row); columns of ``order`` that ``old`` lacks
-    only decide.
+    Of several writes to one key the last by ``order`` counts; columns of ``order`` that ``old`` lacks only decide. Without ``order`` the
+    greatest row counts, maps and variants by their JSON.
     """
-    new = latest(new, [key], order or [c for c in new.columns if c != key]) if len(new.columns) > 1 else new.distinct()
+    if len(new.columns) > 1:
+        others = [f for f in new.schema if f.name != key]
+        new = latest(new, [key], order or [f.name if _orderable(f.dataType) else F.to_json(F.struct(f.name)) for f in others])
+    else:
+        new = new.distinct()
     joined = old.withColumn("_old", F.lit(True)).alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     pick = [F.coalesce(f"n.{key}", f"o.{key}").alias(key)]
     for c in old.columns:
@@ -74,12 +87,16 @@ def bulk_rows(sets: DataFrame, user: str, items: str, name: str) -> DataFrame:
     return sets.select(user, F.explode(items).alias(name))
 
 
-def profile_row(local: DataFrame) -> DataFrame:
-    """What is sent to the profile table: empty and zero values become the defaults."""
+def profile_row(local: DataFrame, now: Column) -> DataFrame:
+    """What is sent to the profile table: empty and zero values become the defaults, a profile without a time gets ``now``."""
     texts = ("education", "field_of_study", "experience", "keywords", "exclusions_freetext", "start_date")
     none = F.array().cast("array<string>")
     changes = {c: F.nullif(F.col(c), F.lit("")) for c in texts if c in local.columns}
     changes |= {c: F.coalesce(F.col(c), none) for c in ("desired_regions", "exclusions") if c in local.columns}
+    if "languages" in local.columns:
+        changes["languages"] = F.coalesce(F.col("languages"), F.create_map().cast("map<string,string>"))
+    if "updated_at" in local.columns:
+        changes["updated_at"] = F.coalesce(F.col("updated_at"), now)
     return local.withColumns(changes | {"workload_min": or_default(F.col("workload_min"), 50), "workload_max": or_default(F.col("workload_max"), 100)})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandmark.functions import labels, text
-from strandmark.operators import counts, joins, policy, search, sync
+from strandmark.operators import counts, joins, limits, policy, search, sync
 from strandmark.plans.registry import query
 from strandmark.sources.tables import table
 
@@ -122,7 +122,7 @@ def joined_text(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM events WHERE user_id = 7 AND ts >= TIMESTAMP '2024-01-10 00:00:00'")
 def request_count(spark, sf_dir):
-    recent = (F.col("user_id") == 7) & (F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"))
+    recent = (F.col("user_id") == 7) & limits.in_last(F.col("ts"), F.lit("2024-01-30").cast("timestamp_ntz"), "20 DAYS")
     return counts.count_where(table(spark, sf_dir, "events", ["user_id", "ts"]), recent)
 
 

@@ -32,13 +32,12 @@ def _customers(spark, sf_dir, *columns: str):
     return table(spark, sf_dir, "customer", [*columns])
 
 
-CATEGORIES = [{"key": "natur", "orgs": [{"id": "n1", "loc": "Bern"}, {"id": "n2", "loc": "Zug"}]}, {"key": "leer", "orgs": []}, {"key": "bau", "orgs": [{"id": "b1", "loc": None}]}]
-
-
-@query("SELECT * FROM (VALUES ('natur', 0, 0, 'n1', 'Bern'), ('natur', 0, 1, 'n2', 'Zug'), ('bau', 2, 0, 'b1', NULL)) AS t(category, category_pos, org_pos, id, loc)")
-def flattened_literal(spark, sf_dir):
-    """A nested literal as rows; a category without organisations gives none."""
-    return tables.flattened(tables.literal(spark, CATEGORIES, "key string, orgs array<struct<id:string,loc:string>>"))
+@query("SELECT r_name AS category, r_regionkey AS category_pos, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS org_pos, n_nationkey AS id, n_name AS loc FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 2")
+def flattened_categories(spark, sf_dir):
+    """Regions with their nations as a nested array, flattened again; one region's array is empty and gives no row."""
+    nations = table(spark, sf_dir, "nation").filter("n_regionkey <> 2").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("loc")))).alias("orgs"))
+    nested = table(spark, sf_dir, "region").join(nations, "r_regionkey", "left").select(F.col("r_name").alias("key"), F.col("r_regionkey").alias("category_pos"), F.coalesce("orgs", F.array().cast(nations.schema["orgs"].dataType)).alias("orgs"))
+    return tables.flattened(nested)
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2 WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END AS n, CASE WHEN c_custkey % 4 = 0 THEN 'a' WHEN c_custkey % 4 = 1 THEN c_name END AS first FROM customer")
@@ -51,7 +50,7 @@ def stored_lists(spark, sf_dir):
 
 
 @query(
-    f"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN '[Seite konnte nicht geladen werden]' WHEN page_id % 5 = 2 THEN NULL ELSE substr({STRIP.format(PLAIN)}, 1, 4000) END AS content FROM pages"""
+    f"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN '(Karriereseite konnte nicht geladen werden)' WHEN page_id % 5 = 2 THEN NULL ELSE substr({STRIP.format(PLAIN)}, 1, 4000) END AS content FROM pages"""
 )
 def live_pages(spark, sf_dir):
     """Every fifth page has no address, every fifth an error, every fifth the status 404."""
@@ -103,13 +102,15 @@ def stored_values(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn, '<html><body><p>' || replace(text, chr(10), '<br>' || chr(10)) || '</p></body></html>' AS html,
+    """SELECT conv_id, turn, concat_ws(chr(10), '<!DOCTYPE html>', '<html lang="' || CASE WHEN conv_id % 2 = 0 THEN 'fr' ELSE 'de' END || '">', '<head>', '<meta charset="utf-8">',
+      '<title>Bewerbung – ' || CASE WHEN turn % 2 = 0 THEN role || ' &amp; Söhne' ELSE '' END || '</title>', '</head>', '<body>', replace(coalesce(text, ''), chr(10), '<br>' || chr(10)), '</body>', '</html>') AS html,
     'Bewerbung_' || CASE WHEN turn % 2 = 0 THEN role ELSE 'Job' END || '_2024-02-03' AS name FROM conversations"""
 )
 def letter_export(spark, sf_dir):
     """Letters as HTML, with the names of their files."""
     turns = table(spark, sf_dir, "conversations").withColumn("name", labels.export_name(F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(""), F.lit("2024-02-03").cast("date")))
-    return sinks.letters_as_html(turns, "text").select("conv_id", "turn", "html", "name")
+    firm = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit(" & Söhne")))
+    return sinks.letters_as_html(turns, "text", F.when(F.col("conv_id") % 2 == 0, "fr").otherwise("de"), firm).select("conv_id", "turn", "html", "name")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS education, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey ELSE 50 END AS workload_min, CASE WHEN c_custkey % 5 > 0 THEN 80 ELSE 100 END AS workload_max FROM customer")
@@ -118,6 +119,34 @@ def reset_profiles(spark, sf_dir):
     return sync.reset(rows, rows.filter("id % 5 = 0"))
 
 
+@query(
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS education, CASE WHEN c_nationkey = 0 THEN 50 ELSE c_nationkey END AS workload_min, 100 AS workload_max,
+    CASE WHEN c_custkey % 3 = 0 THEN 'DE: ' || c_name ELSE '' END AS languages, len(CASE WHEN c_custkey % 5 = 0 THEN ['x'] ELSE [] END) AS regions,
+    CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-01-05' ELSE TIMESTAMP '2024-02-01' END AS updated_at FROM customer"""
+)
+def profile_rows(spark, sf_dir):
+    """Edited profiles with gaps, as the profile table gets them."""
+    k = F.col("c_custkey")
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    edited = _customers(spark, sf_dir, "c_custkey", "c_name", "c_nationkey", "c_mktsegment").select(
+        k.alias("id"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("education"), F.col("c_nationkey").alias("workload_min"), F.lit(None).cast("int").alias("workload_max"),
+        F.when(k % 3 == 0, F.create_map(F.lit("de"), F.col("c_name"))).alias("languages"), F.when(k % 5 == 0, F.array(F.lit("x"))).alias("desired_regions"), F.when(k % 4 == 0, at("2024-01-05")).alias("updated_at"),
+    )
+    sent = sync.profile_row(edited, at("2024-02-01"))
+    return sent.select("id", "education", "workload_min", "workload_max", values.map_text(F.col("languages")).alias("languages"), F.size("desired_regions").cast("long").alias("regions"), "updated_at")
+
+
+@query(
+    """SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.l ELSE o.l END AS languages, o.created FROM (SELECT c_custkey AS id, 'DE: gut' AS l, c_name AS created FROM customer WHERE c_custkey % 2 = 0) o
+    FULL JOIN (SELECT user_id AS id, 'FR: ' || max(event_type) AS l FROM events GROUP BY user_id) n ON o.id = n.id"""
+)
+def upsert_profiles(spark, sf_dir):
+    """Profiles have a map of languages; of several writes without an order the greatest row replaces the stored one."""
+    stored = _customers(spark, sf_dir, "c_custkey", "c_name").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.create_map(F.lit("de"), F.lit("gut")).alias("languages"), F.col("c_name").alias("created"))
+    sent = table(spark, sf_dir, "events", ["user_id", "event_type"]).select(F.col("user_id").alias("id"), F.create_map(F.lit("fr"), F.col("event_type")).alias("languages"))
+    return sync.upsert(stored, sent, "id").select("id", values.map_text(F.col("languages")).alias("languages"), "created")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0")
 def filled_profiles(spark, sf_dir):
     """An education, or a field, or a region; here regions alone count."""

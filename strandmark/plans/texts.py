@@ -150,14 +150,14 @@ def first_k_context(spark, sf_dir):
 
 
 @query(
-    """SELECT n_regionkey, string_agg('--- ' || i || '. ' || n_name || ' (u' || n_nationkey || ') ---' || chr(10) || c, chr(10) || chr(10) ORDER BY i) AS pages_text
-    FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM (SELECT *, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN 'cached' ELSE 'live' END AS c FROM nation) WHERE c IS NOT NULL) GROUP BY n_regionkey"""
+    """SELECT n_regionkey, string_agg('--- ' || i || '. ' || n_name || ' (' || CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE 'u' || n_nationkey END || ') ---' || chr(10) || c, chr(10) || chr(10) ORDER BY i) AS pages_text
+    FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM (SELECT *, CASE WHEN n_nationkey % 3 = 1 THEN 'cached' WHEN n_nationkey % 4 = 0 THEN NULL ELSE 'live' END AS c FROM nation) WHERE c IS NOT NULL) GROUP BY n_regionkey"""
 )
 def page_blocks(spark, sf_dir):
-    """Cached text before live text; a nation without an address has none and isn't numbered."""
+    """Cached text before live text, even without an address; a nation that has neither isn't numbered."""
     key = F.col("n_nationkey")
-    url = F.when(key % 4 != 0, F.concat(F.lit("u"), key.cast("string")))
-    content = documents.page_content(F.when(key % 4 == 1, "cached"), F.lit("live"), url)
+    url = F.when(key % 4 != 0, F.concat(F.lit("u"), key.cast("string"))).otherwise("")
+    content = documents.page_content(F.when(key % 3 == 1, "cached"), F.lit("live"), url)
     pages = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name", url.alias("url"), content.alias("content"))
     return documents.page_blocks(pages, ["n_regionkey"], "n_nationkey", "n_name", "url", "content")
 

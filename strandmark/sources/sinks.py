@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmark.functions.text import line_breaks
+from strandmark.functions.text import blank, escape_html, line_breaks
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -27,8 +27,14 @@ def stored_values(df: DataFrame, key: str, value: Column) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.to_json(value).alias("value"))
 
 
-def letters_as_html(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("html", F.concat(F.lit("<html><body><p>"), line_breaks(F.col(text)), F.lit("</p></body></html>")))
+#: Fixed value: what stands before the organisation in a letter's title.
+TITLE = "Bewerbung – "
+
+
+def letters_as_html(df: DataFrame, text: str, language: Column, organization: Column) -> DataFrame:
+    """Adds ``html``: the letter as a page that names its encoding, language and title. The text is markup already; null is empty."""
+    head = F.concat(F.lit('<!DOCTYPE html>\n<html lang="'), escape_html(language), F.lit('">\n<head>\n<meta charset="utf-8">\n<title>' + TITLE), escape_html(organization), F.lit("</title>\n</head>\n<body>\n"))
+    return df.withColumn("html", F.concat(head, line_breaks(blank(text)), F.lit("\n</body>\n</html>")))
 
 
 def export_text(df: DataFrame, text: str, path: str) -> None:

@@ -36,9 +36,13 @@ def single(df: DataFrame, key: str, value) -> DataFrame:
     return found
 
 
+#: Fixed value: the text of a page that couldn't be loaded.
+NOT_LOADED = "(Karriereseite konnte nicht geladen werden)"
+
+
 def live_pages(pages: DataFrame) -> DataFrame:
     """Text of fetched pages: null without an address or for a failed status, a placeholder after an exception."""
     from strandmark.functions.text import html_to_text
 
-    text = F.when(F.coalesce("url", F.lit("")) == "", None).when(F.col("error").isNotNull(), F.lit("[Seite konnte nicht geladen werden]"))
+    text = F.when(F.coalesce("url", F.lit("")) == "", None).when(F.col("error").isNotNull(), F.lit(NOT_LOADED))
     return pages.withColumn("content", text.when(F.col("status").between(200, 299), html_to_text("html")))

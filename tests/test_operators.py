@@ -27,7 +27,8 @@ def test_newer_profile(spark):
     remote = profiles(spark, [("a", T0, "R", []), ("b", T0, "R", []), ("d", T0, "R", []), ("e", None, "R", [])])
     got = {r["id"]: r["education"] for r in sync.newer_profile(local, remote).collect()}
     assert got == {"a": "R", "b": "L", "c": "L", "d": "R"}
-    row = sync.profile_row(local.withColumns({"workload_min": F.lit(0), "workload_max": F.lit(None).cast("int")})).first()
+    row = sync.profile_row(local.withColumns({"workload_min": F.lit(0), "workload_max": F.lit(None).cast("int"), "languages": F.lit(None).cast("map<string,string>")}), F.lit(later)).first()
+    assert (row["languages"], row["updated_at"]) == ({}, T0)
     assert (row["workload_min"], row["workload_max"], row["experience"]) == (50, 100, None)
     assert local.select(sync.is_filled(F.col("education"), F.col("field_of_study"), F.col("experience"), F.col("desired_regions"))).filter("NOT (1=0)").collect()[3][0] is True
 
@@ -52,6 +53,15 @@ def test_upsert_and_replace(spark):
     assert rows(sync.bulk_rows(spark.createDataFrame([("u", ["a", "b"])], "user string, favs array<string>"), "user", "favs", "org")) == [("u", "a"), ("u", "b")]
 
 
+def test_upsert_with_maps(spark):
+    old = spark.createDataFrame([(1, {"de": "gut"}, "x")], "id int, languages map<string,string>, extra string")
+    new = spark.createDataFrame([(1, {"fr": "a"}), (1, {"fr": "b"}), (2, None)], "id int, languages map<string,string>")
+    got = {r["id"]: (r["languages"], r["extra"]) for r in sync.upsert(old, new, "id").collect()}
+    assert got == {1: ({"fr": "b"}, "x"), 2: (None, None)}
+    nested = spark.createDataFrame([(1, [({"a": 1},)])], "id int, n array<struct<m:map<string,int>>>")
+    assert sync.upsert(nested, nested, "id").count() == 1
+
+
 def test_several_writes_and_empty_sets(spark):
     old = spark.createDataFrame([(1, "a", "x")], "k int, v string, extra string")
     new = spark.createDataFrame([(1, "b", 1), (1, "c", 3), (2, "d", 2), (2, "e", 1)], "k int, v string, at int")
@@ -156,7 +166,7 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.single(spark.createDataFrame([(1,), (1,)], "k int"), "k", 1)
     pages = spark.createDataFrame([("", None, 200, "x"), ("u", None, 404, "x"), ("u", "timeout", None, None), ("u", None, 200, "<p>x</p>")], "url string, error string, status int, html string")
-    assert [r["content"] for r in tables.live_pages(pages).collect()] == [None, None, "[Seite konnte nicht geladen werden]", "x"]
+    assert [r["content"] for r in tables.live_pages(pages).collect()] == [None, None, tables.NOT_LOADED, "x"]
     out = str(tmp_path / "t")
     sinks.append(pages, out), sinks.append(pages, out)
     assert spark.read.parquet(out).count() == 8
@@ -164,8 +174,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
     log = sinks.log_rows(pages.limit(1), "url", {"org_count": F.lit(12)}, F.lit(3), F.lit(T0)).first()
     assert log["search_params"] == '{"org_count":12}' and log["results_count"] == 3
-    letters = sinks.letters_as_html(spark.createDataFrame([("a\nb",)], "t string"), "t")
-    assert letters.first()["html"] == "<html><body><p>a<br>\nb</p></body></html>"
+    letters = sinks.letters_as_html(spark.createDataFrame([("a\nb",)], "t string"), "t", F.lit("fr"), F.lit("A & B"))
+    assert letters.first()["html"] == '<!DOCTYPE html>\n<html lang="fr">\n<head>\n<meta charset="utf-8">\n<title>Bewerbung – A &amp; B</title>\n</head>\n<body>\na<br>\nb\n</body>\n</html>'
     sinks.export_text(letters, "html", str(tmp_path / "letters"))
     assert sinks.stored_values(letters, "t", F.struct("t")).first()["value"] == '{"t":"a\\nb"}'
 
