@@ -7,10 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmark.functions.text import blank, normalize
-
-#: Picked names that make a plain filter.
-PICKED = 1000
-
+from strandmark.operators.trigrams import containing
 
 def all_words(text: Column, query: str) -> Column:
     """Every word of the query is a substring of the text, both normalised; a blank query matches all, a null text is empty.
@@ -53,24 +50,8 @@ def visible_sections(sections: DataFrame, cards: DataFrame, key: str) -> DataFra
 
 
 def near_locations(orgs: DataFrame, locations: DataFrame, location: str = "loc", name: str = "name") -> DataFrame:
-    """Rows of ``orgs`` whose location contains a name of ``locations``; without names, none.
-
-    A short list, as a user picks it, becomes a plain filter. Beyond ``PICKED`` names the distinct locations are taken apart into
-    substrings as long as some name, which meet the names by equality.
-    """
-    names = locations.select(F.col(name).alias("_name")).filter("_name is not null").distinct()
-    picked = [r[0] for r in names.limit(PICKED + 1).collect()]
-    if len(picked) <= PICKED:
-        return orgs.filter(any_location(F.col(location), picked)) if picked else orgs.filter("false")
-    places = orgs.select(F.col(location).alias("_place")).filter("_place is not null").distinct()
-    longest = places.agg(F.max(F.length("_place"))).first()[0] or 0
-    lengths = [r[0] for r in names.select(F.length("_name")).distinct().filter(F.length("_name") <= longest).collect()]
-
-    def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_place") - n + 1)), lambda i: F.substr("_place", i, F.lit(n)))
-
-    found = places.withColumn("_name", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(pieces, lengths))))).join(names, "_name", "left_semi")
-    return orgs.join(found.select(F.col("_place").alias(location)).distinct(), location, "left_semi").select(orgs.columns)
+    """Rows of ``orgs`` whose location contains a name of ``locations``; without names, none."""
+    return containing(orgs, locations, location, name)
 
 
 def candidates(favourites: DataFrame, nearby: DataFrame, key: str, position: str, user: str | None = None, most: int = 10) -> DataFrame:

@@ -5,9 +5,6 @@ Driver tables stand in: customers for organisations and profiles, events for row
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from strandmark.functions import labels, text, values
@@ -15,19 +12,12 @@ from strandmark.operators import documents, joins, policy, search, sync
 from strandmark.plans.registry import query
 from strandmark.plans.texts import PLAIN, STRIP
 from strandmark.sources import sinks, tables
+from strandmark.sources.folders import fresh_folder
 from strandmark.sources.tables import table
 
 NO_TEXTS = "array<string>"
 
 
-def _fresh_folder(spark, label: str) -> str:
-    """A new folder that driver and executors share; on a single machine without spark.checkpoint.dir a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or (f"file://{tempfile.mkdtemp()}" if spark.conf.get("spark.master", "local").startswith("local[") else None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _customers(spark, sf_dir, *columns: str):
     return table(spark, sf_dir, "customer", [*columns])
 
@@ -74,7 +64,7 @@ def form_record(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def appended_rows(spark, sf_dir):
-    path, rows = _fresh_folder(spark, "appended"), _customers(spark, sf_dir, "c_custkey", "c_name", "c_mktsegment")
+    path, rows = fresh_folder(spark, "appended"), _customers(spark, sf_dir, "c_custkey", "c_name", "c_mktsegment")
     for segment in ("BUILDING", "MACHINERY"):
         sinks.append(rows.filter(F.col("c_mktsegment") == segment).drop("c_mktsegment"), path)
     return spark.read.parquet(path)
@@ -82,7 +72,7 @@ def appended_rows(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def overwritten_rows(spark, sf_dir):
-    path, rows = _fresh_folder(spark, "overwritten"), _customers(spark, sf_dir, "c_custkey", "c_name", "c_mktsegment")
+    path, rows = fresh_folder(spark, "overwritten"), _customers(spark, sf_dir, "c_custkey", "c_name", "c_mktsegment")
     for segment in ("BUILDING", "MACHINERY"):
         sinks.overwrite(rows.filter(F.col("c_mktsegment") == segment).drop("c_mktsegment"), path)
     return spark.read.parquet(path)
@@ -197,11 +187,19 @@ _policy("search_logs", "user_id", "false", f"event_type = 'click' OR {OWN}", "fa
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT lpad(CAST(o_orderkey * 7 AS VARCHAR), 6, '0') AS n FROM orders) WHERE contains(c_name, n))")
 def near_many_locations(spark, sf_dir):
-    """More picked names than a filter takes: the substring join by equal pieces."""
+    """Many picked names: the substring join by trigrams."""
     names = table(spark, sf_dir, "orders", ["o_orderkey"]).select(F.lpad((F.col("o_orderkey") * 7).cast("string"), 6, "0").alias("name"))
     return search.near_locations(_customers(spark, sf_dir, "c_custkey", "c_name"), names, "c_name").select("c_custkey")
 
 
+@query("SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS n FROM orders UNION SELECT DISTINCT substr(text, 30, 12) FROM benchmark) WHERE contains(text, n))")
+def names_in_texts(spark, sf_dir):
+    """The same on long texts: numbers of orders, from one digit on, and pieces of other texts."""
+    numbers = table(spark, sf_dir, "orders", ["o_orderkey"]).select(F.col("o_orderkey").cast("string").alias("name"))
+    names = numbers.union(table(spark, sf_dir, "benchmark").select(F.substring("text", 30, 12)))
+    return search.near_locations(table(spark, sf_dir, "documents", ["doc_id", "text"]), names, "text").select("doc_id")
+
+
 @query("SELECT n_nationkey FROM nation WHERE contains(n_name, '_2') OR contains(n_name, '7')")
 def near_few_locations(spark, sf_dir):
     return search.near_locations(table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]), spark.createDataFrame([("_2",), ("7",), ("Bern",)], "name string"), "n_name").select("n_nationkey")

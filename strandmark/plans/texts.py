@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandmark.functions import labels, text, values
-from strandmark.operators import counts, documents, search, sync
+from strandmark.operators import counts, documents, search, sync, trigrams
 from strandmark.plans.registry import query
+from strandmark.sources.folders import fresh_folder
 from strandmark.sources.tables import table
 
 NORMALIZED = "translate(replace(replace(replace(replace(lower({}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'éèêàâç', 'eeeaac')"
@@ -30,6 +31,20 @@ def all_words_search(spark, sf_dir):
     return docs.filter(search.all_words(F.col("text"), " Und  üb ")).select("doc_id", "lang")
 
 
+#: One word, several, one with a rare beginning, one that no text has, short ones alone and beside long ones, umlauts, and none.
+SEARCHES = ["heiten", " Und  üb ", "worthless thouinor", "zzqxy", "ab", "a für", "été les", "einenSCHUNG", "", "ciónas que @"]
+
+
+@query(
+    f"""SELECT CAST(i - 1 AS INTEGER) AS query, doc_id FROM (SELECT doc_id, {NORMALIZED.format("coalesce(text, '')")} AS t FROM documents), (SELECT unnest(range(1, {len(SEARCHES) + 1})) AS i),
+    LATERAL (SELECT list_filter(regexp_split_to_array({NORMALIZED.format("[" + ", ".join(f"'{q}'" for q in SEARCHES) + "][i]")}, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS ws) WHERE len(list_filter(ws, lambda w: NOT contains(t, w))) = 0"""
+)
+def indexed_words_search(spark, sf_dir):
+    """Ten searches by an index of trigrams, which is built first."""
+    index = trigrams.build_index(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text", fresh_folder(spark, "index"))
+    return trigrams.search(index, SEARCHES)
+
+
 @query(
     f"""SELECT doc_id FROM (SELECT doc_id, {NORMALIZED.format('text')} AS t, list_filter(regexp_split_to_array({NORMALIZED.format("CASE lang WHEN 'en' THEN 'The  And' WHEN 'de' THEN 'und für' WHEN 'fr' THEN 'les été' ELSE '' END")}, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS ws FROM documents)
     WHERE len(list_filter(ws, lambda w: NOT contains(t, w))) = 0"""
