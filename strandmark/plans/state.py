@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandmark.operators import limits, sync
 from strandmark.plans.registry import query
+from strandmark.sources.folders import fresh_folder
 from strandmark.sources.tables import table
 
 
@@ -123,4 +124,4 @@ def document_quota(spark, sf_dir):
     """Signups stand for CVs, views for certificates."""
     kind = F.when(F.col("event_type") == "signup", "cv").when(F.col("event_type") == "view", "zeugnis").otherwise("andere")
     uploads = table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"]).select("event_id", "user_id", kind.alias("doc_type"))
-    return limits.document_quota(uploads, "user_id", ["event_id"]).select("event_id", "outcome")
+    return limits.document_quota(uploads, "user_id", ["event_id"], fresh_folder(spark, "uploads")).select("event_id", "outcome")

@@ -131,11 +131,59 @@ def test_rate_limit(spark):
     assert limits.rate_limited(df.filter("false"), "user", "ts", "id", 5, 60).collect() == []
 
 
-def test_document_quota(spark):
+def test_runs_between_gaps(spark):
+    rnd = random.Random(4)
+    events, at = [], T0
+    for i in range(3000):  # one user, bursts between pauses of all lengths around the interval
+        at += timedelta(seconds=rnd.choice([0, 0, 1, 5, 20, 59, 60, 61, 90]))
+        events.append(("hot", at, i))
+    events += [(None, T0, 5000), (None, T0, 5001), ("b", None, 5002), ("hot", None, 5003)]
+    df = spark.createDataFrame(events, "user string, ts timestamp, id int").repartition(7)
+    limited = limits.rate_limited(df, "user", "ts", "id", 3, 60)
+    assert limited.columns == ["user", "ts", "id", "accepted"]
+    got = {r["id"]: r["accepted"] for r in limited.collect()}
+    assert got == simulate([e for e in events if e[1]], 3, 60) | {5002: False, 5003: False}
+    runs = limits.quiet_runs(df.withColumn("t", F.unix_micros("ts")), "user", "t", 60_000_000)
+    assert runs.filter("user = 'hot' and t is not null").select("_run").distinct().count() > 300
+
+
+def quota(uploads, total=6, certificates=5):
+    """user, order, kind: the fold itself."""
+    held, out = {}, {}
+    for user, at, kind in sorted(uploads, key=lambda u: (str(u[0]), u[1])):
+        docs = held.setdefault(user, [])
+        if len(docs) >= total or kind == "zeugnis" and docs.count("zeugnis") >= certificates:
+            out[at] = "rejected"
+        elif kind == "cv" and "cv" in docs:
+            out[at] = "replaced"
+        else:
+            docs.append(kind)
+            out[at] = "stored"
+    return out
+
+
+def test_document_quota(spark, tmp_path):
     kinds = ["cv", "zeugnis", "cv", "zeugnis", "zeugnis", "zeugnis", "zeugnis", "zeugnis", "cv"]
     df = spark.createDataFrame([("u", i, k) for i, k in enumerate(kinds)], "user string, n int, doc_type string")
-    got = [r["outcome"] for r in limits.document_quota(df, "user", ["n"]).orderBy("n").collect()]
+    got = [r["outcome"] for r in limits.document_quota(df, "user", ["n"], str(tmp_path / "q1")).orderBy("n").collect()]
     assert got == ["stored", "stored", "replaced", "stored", "stored", "stored", "stored", "rejected", "rejected"]
+    assert limits.document_quota(df.filter("false"), "user", ["n"], str(tmp_path / "q2")).collect() == []
+
+
+@pytest.mark.parametrize("weights", [(1, 1, 1), (3, 9, 0), (1, 60, 0), (0, 1, 0), (5, 0, 0)])
+def test_a_user_in_many_parts(spark, tmp_path, monkeypatch, weights):
+    rnd = random.Random(sum(weights))
+    uploads = [(rnd.choice(["hot"] * 9 + ["a", "b", None]), i, rnd.choices(["cv", "zeugnis", rnd.choice(["andere", None])], weights)[0]) for i in range(2500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = limits.document_quota(spark.createDataFrame(uploads, "user string, n int, doc_type string"), "user", ["n"], str(tmp_path / "q"))
+        assert {r["n"]: r["outcome"] for r in found.collect()} == quota(uploads)
+        parts = spark.read.parquet(str(tmp_path / "q")).filter("_at >= 0 and user = 'hot'").select("_part").distinct().count()
+        assert parts > 8
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_toggle_twice(spark):
