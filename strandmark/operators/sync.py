@@ -72,6 +72,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = N
     return joined.select(*pick)
 
 
+def with_log(stored: DataFrame, log: DataFrame, keys: list[str], order: list[str], removal: str) -> DataFrame:
+    """Stored values as a log of writes and removals leaves them: the last entry of each key by ``order`` counts, and a removal takes the
+    key away, stored or not. Rows have the columns of ``stored``; keys that the log doesn't name stay as they are."""
+    last = latest(log, keys, order)
+    kept = stored.join(last.select(*keys), keys, "left_anti")
+    return kept.unionByName(last.filter(~F.coalesce(F.col(removal), F.lit(False))).select([F.col(f"`{c}`") for c in stored.columns]))
+
+
 def replace_set(stored: DataFrame, sent: DataFrame, user: str, senders: DataFrame | None = None) -> DataFrame:
     """Users who sent a set have just that set; the others keep theirs. ``senders`` also names users whose set is empty now."""
     touched = sent.select(user) if senders is None else sent.select(user).union(senders.select(user))

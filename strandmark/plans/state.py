@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmark.operators import limits, sync
+from strandmark.operators import limits, store, sync
 from strandmark.plans.registry import query
 from strandmark.sources.folders import fresh_folder
 from strandmark.sources.tables import table
@@ -43,6 +43,60 @@ def replace_set(spark, sf_dir):
     return sync.replace_set(part("F"), part("P"), "o_custkey")
 
 
+def _store(spark, rows, key, buckets=16):
+    """A keyed store that has these rows."""
+    held = store.KeyedStore(spark, fresh_folder(spark, "store"), [key], buckets)
+    held.change(rows, lambda _, new: new)
+    return held
+
+
+@query(
+    """SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.v ELSE o.v END AS v, o.name FROM (SELECT c_custkey AS id, c_acctbal AS v, c_name AS name FROM customer) o
+    FULL JOIN (SELECT o_custkey * 2 AS id, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) n ON o.id = n.id"""
+)
+def store_upsert(spark, sf_dir):
+    """Customers in a keyed store; the last of several orders replaces a value, or is a row of its own."""
+    held = _store(spark, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("name")), "id")
+    sent = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select((F.col("o_custkey") * 2).alias("id"), F.col("o_totalprice").alias("v"), "o_orderdate", "o_orderkey")
+    held.upsert(sent, ["o_orderdate", "o_orderkey"], "orders", 1)
+    held.upsert(sent.withColumn("v", -F.col("v")), ["o_orderdate", "o_orderkey"], "orders", 1)  # a batch that was there
+    return held.read()
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def store_delete(spark, sf_dir):
+    held = _store(spark, table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]), "o_custkey")
+    held.delete(table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")))
+    return held.read()
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 > 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 7 > 0")
+def store_replace_set(spark, sf_dir):
+    """Customers who sent a new set have just that one; every seventh sent an empty one."""
+    orders = table(spark, sf_dir, "orders", ["o_custkey", "o_orderkey", "o_orderstatus"])
+    part = lambda s: orders.filter(F.col("o_orderstatus") == s).select("o_custkey", "o_orderkey")
+    held = _store(spark, part("F"), "o_custkey")
+    held.replace_sets(part("P").filter("o_custkey % 7 > 0"), senders=orders.filter("o_custkey % 7 = 0"))
+    return held.read()
+
+
+_KV = "(SELECT user_id AS k, arg_max(event_type, (ts, event_id)) AS last, arg_max(event_id, (ts, event_id)) AS v FROM events GROUP BY user_id)"
+
+
+@query(f"SELECT k, v FROM {_KV} WHERE last <> 'error' UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+def removed_values(spark, sf_dir):
+    """Stored values of customers, then a log of writes in which errors remove; read before and after the log is merged in, which is the same."""
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("v"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), "ts", (F.col("event_type") == "error").alias("gone"))
+    held = _store(spark, stored, "k")
+    before = sync.with_log(held.read(), log, ["k"], ["ts", "v"], "gone")
+    first = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    held.apply_log(log.filter(first), ["ts", "v"], "gone", "log", 1)
+    held.apply_log(log.filter(~first), ["ts", "v"], "gone", "log", 2)
+    after = held.read()
+    return before.withColumn("side", F.lit(1)).unionByName(after.withColumn("side", F.lit(2))).groupBy("k", "v").agg(F.count_distinct("side").alias("n")).select("k", F.when(F.col("n") == 2, F.col("v")).alias("v"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id <> 3")
 def delete_by_key(spark, sf_dir):
     return sync.delete_by_key(table(spark, sf_dir, "events", ["event_id", "user_id"]), "user_id", 3)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmark.operators.sync import latest
+from strandmark.operators.store import KeyedStore
 
 
 def rate_limited(events: DataFrame, user: str, time: str, tie: str, most: int, seconds: int) -> DataFrame:
@@ -33,13 +33,12 @@ def rate_limited(events: DataFrame, user: str, time: str, tie: str, most: int, s
     return requests.groupBy("user").applyInPandasWithState(decide, "user string, tie long, accepted boolean", "kept array<long>", "append", "NoTimeout")
 
 
-def keep_latest(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str):
-    """Starts a query that keeps the last row of each key in a table; each micro-batch is merged with what is there."""
+def keep_latest(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, buckets: int = 64):
+    """Starts a query that keeps the last row of each key in a keyed store; a micro-batch rewrites the buckets of its keys alone, and one
+    that comes again after a failure changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = None if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/{(number - 1) % 2}")
-        latest(batch if old is None else old.unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{path}/{number % 2}")
+        KeyedStore(batch.sparkSession, path, keys, buckets).keep_latest(batch, order, writer=checkpoint, batch=number)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmark.operators import counts, joins, limits, policy, search, sync
+from strandmark.operators.store import KeyedStore
 from strandmark.sources import sinks, tables
 from strandmark.streaming import state
 
@@ -236,4 +237,4 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     assert {r["tie"]: r["accepted"] for r in spark.table("limited").collect()} == simulate(events, 5, 60)
     state.keep_latest(stream, ["user"], ["ts"], str(tmp_path / "latest"), str(tmp_path / "c2")).awaitTermination(120)
-    assert rows(spark.read.parquet(str(tmp_path / "latest/0")).select("user", "id")) == [("a", 7)]
+    assert rows(KeyedStore(spark, str(tmp_path / "latest"), ["user"]).read().select("user", "id")) == [("a", 7)]
