@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from strandmark.operators import limits, store, sync
 from strandmark.plans.registry import query
+from strandmark.sources import sinks
 from strandmark.sources.folders import fresh_folder
 from strandmark.sources.tables import table
+from strandmark.streaming import timed
 
 
 @query(
@@ -179,3 +181,37 @@ def document_quota(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", "cv").when(F.col("event_type") == "view", "zeugnis").otherwise("andere")
     uploads = table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"]).select("event_id", "user_id", kind.alias("doc_type"))
     return limits.document_quota(uploads, "user_id", ["event_id"], fresh_folder(spark, "uploads")).select("event_id", "outcome")
+
+
+def _arriving(spark, sf_dir, start):
+    """Runs a stream over events that arrive in three deliveries; each run goes on from the state of the one before."""
+    folder, events = fresh_folder(spark, "arriving"), table(spark, sf_dir, "events", ["event_id", "user_id", "ts", "event_type"])
+    store_path, checkpoint = fresh_folder(spark, "store"), fresh_folder(spark, "checkpoint")
+    days = [None, "2024-01-11", "2024-01-21", None]
+    for low, high in zip(days, days[1:]):
+        inside = (F.lit(True) if low is None else F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.lit(True) if high is None else F.col("ts") < F.lit(high).cast("timestamp_ntz"))
+        sinks.append(events.filter(inside), folder)
+        start(spark.readStream.schema(events.schema).parquet(folder), store_path, checkpoint).awaitTermination()
+    return store.KeyedStore(spark, store_path, ["key"]).read()
+
+
+_WATERMARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM events)"
+
+
+@query(f"SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1 AND ts + INTERVAL 24 HOURS >= {_WATERMARK}")
+def ttl_cache_stream(spark, sf_dir):
+    """The cache of ``ttl_cache_valid`` kept by a stream whose state expires; the watermark is the time."""
+    start = lambda stream, path, checkpoint: timed.expiring_cache(stream, "user_id", "ts", "event_id", F.col("event_id"), 24, "10 minutes", path, checkpoint)
+    return _arriving(spark, sf_dir, start).select(F.col("key").alias("user_id"), F.col("payload").cast("long").alias("event_id"))
+
+
+@query(
+    f"""SELECT user_id, unnest(CASE WHEN event_type = 'error' THEN [] ELSE [event_type, 'i' || event_id % 20] END) AS item FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+    WHERE (nxt IS NULL OR nxt - ts > INTERVAL 6 HOURS) AND ts + INTERVAL 6 HOURS < {_WATERMARK}) WHERE i = 1"""
+)
+def debounced_sets_stream(spark, sf_dir):
+    """``debounce``, then ``replace_set``, by a stream with timers; errors send an empty set."""
+    items = F.when(F.col("event_type") == "error", F.array().cast("array<string>")).otherwise(F.array("event_type", F.concat(F.lit("i"), (F.col("event_id") % 20).cast("string"))))
+    start = lambda stream, path, checkpoint: timed.sets_after_silence(stream, "user_id", "ts", "event_id", items, 21_600, "10 minutes", path, checkpoint)
+    return _arriving(spark, sf_dir, start).select(F.col("key").alias("user_id"), "item")
