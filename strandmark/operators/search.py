@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,9 +72,30 @@ def newest_first(df: DataFrame, time: str, tie: str) -> DataFrame:
     return df.orderBy(F.desc(time), F.desc(tie))
 
 
+def german(column: str) -> Column:
+    """A text as the German collation orders it: Aarau, Ägeri, Basel."""
+    return F.collate(column, "de")
+
+
 def german_order(df: DataFrame, column: str) -> DataFrame:
-    """By the German collation: Aarau, Ägeri, Basel."""
-    return df.orderBy(F.collate(column, "de"))
+    return df.orderBy(german(column))
+
+
+def ranked(df: DataFrame, order: list[Column | str], path: str, name: str = "place") -> DataFrame:
+    """Adds ``name``: the place of each row, from 1, in the order of the whole table, in which ``order`` should leave no ties.
+
+    Rows are ranged and sorted in parts and written to ``path`` with their number within the part; the parts' counts, one a part, give the
+    number that each part begins with. So no task sees more than its part, and rows are shuffled once.
+    """
+    keys = {f"_k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    numbered = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys).withColumn("_id", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    # the number holds the part above 33 bits, and the position in it below
+    rows, part = df.sparkSession.read.parquet(path), F.shiftright("_id", 33)
+    counts = dict(sorted((r["p"], r["count"]) for r in rows.groupBy(part.alias("p")).count().collect()))
+    begins = [x for p, begin in zip(counts, accumulate(counts.values(), initial=0)) for x in (F.lit(p), F.lit(begin))]
+    begin = F.element_at(F.create_map(*begins), part) if begins else F.lit(0)
+    return rows.withColumn(name, begin + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id")
 
 
 def top_scores(df: DataFrame, score: str, name: str, tie: str, most: int = 10) -> DataFrame:

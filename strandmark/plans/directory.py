@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandmark.functions import labels, text
 from strandmark.operators import counts, joins, limits, policy, search, sync
 from strandmark.plans.registry import query
+from strandmark.sources.folders import fresh_folder
 from strandmark.sources.tables import table
 
 CARDS = "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, n_name, lower(c_name || ' ' || n_name || ' ' || c_mktsegment) AS search_text FROM customer JOIN nation ON c_nationkey = n_nationkey"
@@ -87,16 +88,19 @@ def location_union(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_nationkey").union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-#: In the German order, by which umlauts stand with their base letters.
-TOWNS = ["Aarau", "Ägeri", "Basel", "Ölten", "Olten Nord", "Österwil", "Uster", "Uzwil", "Zug", "Zürich"]
+#: Umlauts stand with their base letters; if nothing else differs, behind them.
+TOWNS = ["Zürich", "Agau", "Ägau", "Uster", "Üster", "Olten", "Ölten", "Basel", "Ägeri", "Aarau", "Zug"]
+_TOWN = f"[{', '.join(f"'{t}'" for t in TOWNS)}][1 + c_custkey % {len(TOWNS)}] || ' ' || n_name"
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f"('{x}', {i})" for i, x in enumerate(sorted(TOWNS, key=lambda x: x.translate(str.maketrans('ÄÖÜäöü', 'AOUaou'))), 1))}) AS t(town, place)")
-def german_order(spark, sf_dir):
-    """The order itself is compared, as the place of each town."""
-    towns = spark.createDataFrame([(x,) for x in reversed(TOWNS)], "town string")
-    ordered = search.german_order(towns, "town").coalesce(1).select(F.collect_list("town").alias("towns"))
-    return ordered.select(F.posexplode("towns").alias("place", "town")).select("town", (F.col("place") + 1).alias("place"))
+@query(f"SELECT c_custkey, town, row_number() OVER (ORDER BY translate(lower(town), 'äöü', 'aou'), town, c_custkey) AS place FROM (SELECT c_custkey, {_TOWN} AS town FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+def german_rank(spark, sf_dir):
+    """The German order itself is compared, as the place of each row in the whole table."""
+    nations = table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    rows = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    town = F.concat(F.get(F.array(*map(F.lit, TOWNS)), F.col("c_custkey") % len(TOWNS)), F.lit(" "), "n_name")
+    placed = search.ranked(rows.select("c_custkey", town.alias("town")), [search.german("town"), "c_custkey"], fresh_folder(spark, "ranked"))
+    return placed.select("c_custkey", "town", "place")
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC")

@@ -204,6 +204,22 @@ def test_order(spark):
     assert [r[0] for r in search.german_order(df, "n").collect()] == ["Aarau", "Ägeri", "Basel"]
 
 
+def test_rank_of_a_whole_table(spark, tmp_path):
+    rnd = random.Random(7)
+    data = [(i, rnd.choice(["a", "B", "ä", None, "zz", "Z"]), rnd.random()) for i in range(500)]
+    df = spark.createDataFrame(data, "id int, t string, x double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = search.ranked(df, [F.lower("t"), -F.col("x"), "id"], str(tmp_path / "r"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = sorted(data, key=lambda r: (r[1] is not None, (r[1] or "").lower(), -r[2], r[0]))
+    assert [tuple(r) for r in placed.orderBy("place").drop("place").collect()] == want
+    assert [r["place"] for r in placed.orderBy("place").collect()] == list(range(1, 501)) and placed.columns == ["id", "t", "x", "place"]
+    assert len(list((tmp_path / "r").glob("part-*"))) > 2
+    assert search.ranked(df.filter("false"), ["id"], str(tmp_path / "e")).collect() == []
+
+
 def test_sources_and_sinks(spark, tmp_path):
     nested = tables.literal(spark, [{"key": "k1", "orgs": [("a", "Bern"), ("b", "")]}, {"key": "k2", "orgs": []}], "key string, orgs array<struct<id:string,loc:string>>")
     assert rows(tables.flattened(nested)) == [("k1", 0, 0, "a", "Bern"), ("k1", 0, 1, "b", "")]
