@@ -11,7 +11,7 @@ from strandmark.functions import labels, text, values
 from strandmark.operators import documents, joins, policy, search, sync
 from strandmark.plans.registry import query
 from strandmark.plans.texts import PLAIN, STRIP
-from strandmark.sources import sinks, tables
+from strandmark.sources import files, sinks, tables
 from strandmark.sources.folders import fresh_folder
 from strandmark.sources.tables import table
 
@@ -103,6 +103,36 @@ def letter_export(spark, sf_dir):
     return sinks.letters_as_html(turns, "text", F.when(F.col("conv_id") % 2 == 0, "fr").otherwise("de"), firm).select("conv_id", "turn", "html", "name")
 
 
+_LETTERS = """(SELECT 'Bewerbung_' || CASE WHEN turn % 2 = 0 THEN 'A_B ' || role ELSE 'Job' END || '_2024-02-03' AS stem, row_number() OVER (PARTITION BY turn % 2 = 0, CASE WHEN turn % 2 = 0 THEN role END ORDER BY conv_id, turn) AS i, coalesce(text, '') AS text,
+  CASE WHEN turn % 2 = 0 THEN 'A/B ' || role ELSE '' END AS firm FROM conversations)"""
+
+
+@query(
+    f"""SELECT stem || CASE WHEN i > 1 THEN '_' || i ELSE '' END || e AS name, CAST(octet_length(encode(t)) AS BIGINT) AS length, sha256(t) AS sha FROM (SELECT stem, i, '.txt' AS e, text AS t FROM {_LETTERS} UNION ALL
+    SELECT stem, i, '.html', concat_ws(chr(10), '<!DOCTYPE html>', '<html lang="de">', '<head>', '<meta charset="utf-8">', '<title>Bewerbung – ' || firm || '</title>', '</head>', '<body>', replace(text, chr(10), '<br>' || chr(10)), '</body>', '</html>') FROM {_LETTERS})"""
+)
+def letter_files(spark, sf_dir):
+    """Letters as files, once as text and once as a page, read back."""
+    turns = table(spark, sf_dir, "conversations").withColumn("firm", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("A/B "), "role")).otherwise(""))
+    stem = labels.export_name(F.col("firm"), F.lit("2024-02-03").cast("date"))
+    pages, path = sinks.letters_as_html(turns, "text", F.lit("de"), F.col("firm")), fresh_folder(spark, "letters")
+    files.write_files(files.file_names(turns, stem, ".txt", ["conv_id", "turn"]), F.col("name"), text.blank("text"), path)
+    files.write_files(files.file_names(pages, stem, ".html", ["conv_id", "turn"]), F.col("name"), F.col("html"), path)
+    return files.read_files(spark, path).select("name", "length", F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT 'cv' || c_custkey || '.pdf' AS name, rtrim(repeat(c_name || ' ', CAST(10 + c_custkey % 90 AS INTEGER))) AS text FROM customer WHERE 16 + 19 * (10 + c_custkey % 90) <= 1500")
+def pdf_file_texts(spark, sf_dir):
+    """PDF files of customers and other files beside them; those that are too large are left out before they are read."""
+    rows, path = _customers(spark, sf_dir, "c_custkey", "c_name"), fresh_folder(spark, "uploads")
+    shown = F.repeat(F.concat("c_name", F.lit(" ")), (10 + F.col("c_custkey") % 90).cast("int"))
+    number = F.concat(F.lit("cv"), F.col("c_custkey").cast("string"))
+    files.write_files(rows, F.concat(number, F.lit(".pdf")), F.encode(F.concat(F.lit("%PDF BT ("), shown, F.lit(") Tj ET")), "ISO-8859-1"), path)
+    files.write_files(rows.filter("c_custkey % 10 = 0"), F.concat(number, F.lit(".txt")), F.encode(F.lit("BT (x) Tj ET"), "UTF-8"), path)
+    found = tables.pdf_files(spark, path, 1500)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), text.pdf_text("content").alias("text"))
+
+
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS education, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey ELSE 50 END AS workload_min, CASE WHEN c_custkey % 5 > 0 THEN 80 ELSE 100 END AS workload_max FROM customer")
 def reset_profiles(spark, sf_dir):
     rows = _customers(spark, sf_dir, "c_custkey", "c_name", "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("education"), F.col("c_nationkey").alias("workload_min"), F.lit(80).alias("workload_max"))
