@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmark.functions import labels, text, values
-from strandmark.operators import counts, documents, search, sync, trigrams
+from strandmark.functions import labels, text, values, variants
+from strandmark.operators import counts, documents, joins, search, sync, trigrams
 from strandmark.plans.registry import query
+from strandmark.sources import sinks
 from strandmark.sources.folders import fresh_folder
 from strandmark.sources.tables import table
 
@@ -113,6 +114,51 @@ def json_field(spark, sf_dir):
     return table(spark, sf_dir, "events", ["event_id", "props"]).select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+_MIXED = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k":"' || event_type || '"}' WHEN 2 THEN '{"k":{"n":' || user_id || ',"t":"' || event_type || '"}}' WHEN 3 THEN '{"k":["a",' || user_id || ']}'
+    WHEN 4 THEN '{"k":"' || user_id || '","z":null}' ELSE '{"k":' END"""
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN json_valid(j) THEN TRY_CAST(json_extract_string(j, '$.k') AS BIGINT) END AS number, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.k') END AS said,
+    CASE WHEN json_valid(j) THEN CAST(json_extract_string(j, '$.k.n') AS BIGINT) END AS inner_number, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.k[1]') END AS second FROM (SELECT event_id, {_MIXED} AS j FROM events)"""
+)
+def variant_fields(spark, sf_dir):
+    """One field that is a number, a text, an object, an array, a number as text, or part of broken JSON."""
+    events, k, user = table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "props"]), F.col("event_id") % 6, F.col("user_id").cast("string")
+    mixed = (
+        F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit('{"k":"'), "event_type", F.lit('"}'))).when(k == 2, F.to_json(F.struct(F.struct(F.col("user_id").alias("n"), F.col("event_type").alias("t")).alias("k"))))
+        .when(k == 3, F.concat(F.lit('{"k":["a",'), user, F.lit("]}"))).when(k == 4, F.concat(F.lit('{"k":"'), user, F.lit('","z":null}'))).otherwise('{"k":')
+    )
+    read = events.select("event_id", variants.parsed(mixed).alias("v"))
+    at = lambda path, kind: variants.field(F.col("v"), path, kind)
+    return read.select("event_id", at("$.k", "bigint").alias("number"), at("$.k", "string").alias("said"), at("$.k.n", "bigint").alias("inner_number"), at("$.k[1]", "string").alias("second"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 3 > 0 THEN event_type END AS kind, CAST(CASE WHEN event_id % 3 > 0 THEN json_object('u', user_id) END AS VARCHAR) AS who FROM events")
+def variant_columns(spark, sf_dir):
+    """Columns by the schema that the rows turn out to have; no row has all of the fields."""
+    events = table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "props"])
+    even, most = F.col("event_id") % 2 == 0, F.col("event_id") % 3 > 0
+    stored = F.to_json(F.struct(F.when(even, F.from_json("props", "k bigint")["k"]).alias("k"), F.when(most, F.col("event_type")).alias("kind"), F.when(most, F.struct(F.col("user_id").alias("u"))).alias("who")))
+    found = variants.expanded(events.select("event_id", variants.parsed(stored).alias("v")), "v")
+    return found.select("event_id", "k", "kind", F.to_json("who").alias("who"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 AND c_nationkey >= 5 THEN '{"jobs":[{"n":' || c_nationkey || ',"title":"' || c_mktsegment || '"}],"total":1}' WHEN c_custkey % 4 > 0 THEN 'live ' || c_name END AS content FROM customer"""
+)
+def cached_pages(spark, sf_dir):
+    """Cached JSON, kept as a variant in a table, goes out as it came in while it is valid, with or without an address; else the live text."""
+    customers = table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    jobs = F.struct(F.array(F.struct(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("title"))).alias("jobs"), F.lit(1).alias("total"))
+    path = fresh_folder(spark, "cache")
+    sinks.append(customers.filter("c_custkey % 3 = 1").select(F.col("c_custkey").alias("key"), variants.parsed(F.to_json(jobs)).alias("extracted"), F.col("c_nationkey").alias("expires")), path)
+    cache = spark.read.parquet(path)
+    found = joins.valid_cache(customers.withColumnRenamed("c_custkey", "key"), cache, "key", "expires", F.lit(5))
+    content = documents.page_content(variants.as_json(F.col("extracted")), F.concat(F.lit("live "), "c_name"), F.when(F.col("key") % 4 > 0, "u").otherwise(""))
+    return found.select(F.col("key").alias("c_custkey"), content.alias("content"))
+
+
 @query(
     """SELECT event_id, CASE WHEN event_id % 3 = 1 THEN user_id % 4 ELSE 0 END AS n_matches, CASE WHEN event_id % 3 = 0 THEN 'Text ' || props WHEN event_id % 3 = 1 THEN event_type END AS summary,
     CASE WHEN event_id % 3 = 0 THEN '' END AS tips, CASE WHEN event_id % 3 = 1 AND user_id % 4 > 0 THEN 'Stelle ' || user_id END AS first_title FROM events"""

@@ -170,3 +170,18 @@ def test_validation(spark):
     df = spark.createDataFrame([("n", "u"), ("", "u"), ("n", None)], "name string, url string")
     got = documents.validated(df, {"name": F.col("name") != "", "url": F.col("url") != ""})
     assert [r["rejected"] for r in got.collect()] == [None, "name", "url"]
+
+
+def test_variants(spark):
+    from strandmark.functions import variants
+
+    texts = ['{"a": 1, "b c": "x", "it\'s": [1, 2]}', '{"a": "s", "d": 1.5}', "[1]", "7", "null", "{", None]
+    df = spark.createDataFrame([(t, "own") for t in texts], "j string, D string").withColumn("v", variants.parsed(F.col("j")))
+    schema = variants.found_schema(df, "v")
+    assert sorted(schema.names) == ["a", "b c", "d", "it's"]
+    wide = variants.expanded(df, "v")
+    assert wide.columns == ["j", "D", "v", *(n for n in schema.names if n != "d")]
+    rows = wide.collect()
+    assert [r["b c"] for r in rows] == ["x"] + [None] * 6 and rows[0]["it's"] == [1, 2] and [r["D"] for r in rows] == ["own"] * 7
+    assert [r[0] for r in df.select(variants.as_json(F.col("v"))).collect()] == ['{"a":1,"b c":"x","it\'s":[1,2]}', '{"a":"s","d":1.5}', "[1]", "7", "null", None, None]
+    assert variants.found_schema(df.filter("j = '7'"), "v").names == [] and variants.expanded(df.filter("false"), "v").columns == ["j", "D", "v"]
