@@ -8,7 +8,8 @@ a *run*; what goes over the wire is one anchor a run, then the texts of runs who
 2. runs of shared anchors, equal ones combined in the task -> shards; a *resolver* compares all runs of a shard
 3. covered spans -> back to the documents' groups, where the result is made
 
-An anchor, a passage or a copy, however frequent, sends one entry a task: entries of one task are merged before each shuffle.
+A passage or a copy, however frequent, sends one entry a task: entries of one task are merged before each shuffle. An anchor sends
+a number of owners and their groups, each group once for every million anchors of a task.
 An anchor with ``HOT_OWNERS`` owners or more may stand in as many different contexts; the groups that have it are told so too,
 and file each of its windows under a digest of the whole window instead, so that only equal windows meet under one key.
 Groups, buckets and shards are hashes whose number follows the amount of text. Rows go by doc_id and a hash of doc_id and
@@ -207,11 +208,14 @@ def find_anchors(docs: DataFrame, units, buckets: int, groups: int, flush: int =
             single = np.flatnonzero(~inside)
             single = single[np.argsort(o[single], kind="stable")]
             alone = {b: (v, x) for b, v, x in by_value(bucket[single], short[single], k[o[single]])}
-            many, g_cuts, g_all = at[common], np.cumsum(sizes[common]), (owned % groups).astype(np.int32)
+            # of an anchor that several documents have: how many, and their groups, each once
+            number = np.repeat(np.arange(len(at)), sizes)[inside] * groups + owned % groups
+            number, where = np.divmod(np.unique(number), groups)
+            many, n_groups = at[common], np.bincount(number, minlength=len(at))[common]
             several = {}
-            for b, v, n, stop in by_value(bucket[many], short[many], sizes[common], g_cuts):
-                several[b] = v, n.astype(np.uint32), np.concatenate([g_all[e - m : e] for e, m in zip(stop.tolist(), n.tolist())])
-            none = np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.int32)
+            for b, v, n, m, stop in by_value(bucket[many], short[many], sizes[common], n_groups, np.cumsum(n_groups)):
+                several[b] = v, n.astype(np.uint32), m.astype(np.uint32), np.concatenate([where[e - i : e] for e, i in zip(stop.tolist(), m.tolist())]).astype(np.int32)
+            none = np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.int32)
             for b in alone.keys() | several.keys():
                 found.append((b, -1, joined(*alone.get(b, none[:2]), *several.get(b, none))))
             return table(ANCHORS, found)
@@ -241,17 +245,17 @@ def tell_shared(found: DataFrame, groups: int, hot_owners: int) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         at_once = [(g, joined(*parted(d, np.int64, np.uint64), b"")) for g, d in zip(rows.column("g").to_pylist(), rows.column("data").to_pylist()) if g >= 0]
-        rest = [parted(d, np.uint32, np.int64, np.uint32, np.uint32, np.int32) for g, d in zip(rows.column("g").to_pylist(), rows.column("data").to_pylist()) if g < 0]
+        rest = [parted(d, np.uint32, np.int64, np.uint32, np.uint32, np.uint32, np.int32) for g, d in zip(rows.column("g").to_pylist(), rows.column("data").to_pylist()) if g < 0]
         if rest:
-            v, k, common, counts, where = map(np.concatenate, zip(*rest))
+            v, k, common, owners, counts, where = map(np.concatenate, zip(*rest))
             order = np.argsort(v, kind="stable")
             v, k = v[order], k[order]
             same = v[1:] == v[:-1]
             shared = (np.r_[False, same] | np.r_[same, False]) if len(v) else np.empty(0, bool)
             shared |= np.isin(v, common)
             v, k = v[shared], k[shared]
-            every, n = np.unique(np.concatenate([v, np.repeat(common, counts)]), return_counts=True)
-            hot = every[n >= hot_owners]
+            every, of = np.unique(np.concatenate([v, common]), return_inverse=True)
+            hot = every[np.bincount(of, np.concatenate([np.ones(len(v)), owners]), len(every)) >= hot_owners]
             base = np.uint64(rows.column("bucket")[0].as_py()) << np.uint64(32)
             told = {g: (x, y) for g, x, y in by_value(k % groups, k, v)}
             flags: dict[int, np.ndarray] = {}

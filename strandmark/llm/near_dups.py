@@ -249,4 +249,4 @@ def keep_one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     gone = near_classes(docs, similarity).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_cls")).distinct()
     same = (docs["doc_id"] == gone["gone_id"]) & (F.unhex(F.md5(docs["text"])) == gone["gone_cls"])
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    return docs.join(gone, same, "left_anti")

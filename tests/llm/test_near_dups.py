@@ -111,3 +111,10 @@ def test_estimates_probability_jaccard():
         doc = np.repeat([0, 1], [(wa > 0).sum(), (wb > 0).sum()])
         s = near_dups.prob_minhash(elements, weights, doc, 2, 4096)
         assert abs((s[0] == s[1]).mean() - exact) < 0.04
+
+
+def test_odd_column_names_come_through(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(2, text + " more", 1, 2, 3, 4), (1, text, 5, 6, 7, 8)], "doc_id long, text string, `a.b` int, gone_id int, cls int, `class id` int")
+    left = near_dups.keep_one_of_each(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, text, 5, 6, 7, 8)]

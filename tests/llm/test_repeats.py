@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from strandmark.llm import anchors, substrings, suffixes
 from strandmark.llm.frames import table
 
@@ -149,3 +151,17 @@ def test_reference_shards(spark):
     for size in (1 << 20, 4):
         got = dict(map(tuple, substrings.remove_known(docs, reference, 3, size).collect()))
         assert got == {1: "h", 2: "x y", 3: None, 4: ""}
+
+
+def test_no_bucket_grows_with_the_owners_of_an_anchor(spark):
+    """Rows that all have one passage, and words of their own: what a bucket gets follows groups and tasks, not rows."""
+    passage = " ".join(f"p{i}" for i in range(13))
+
+    def fullest(n):
+        docs = anchors.keyed(spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage + " own"), F.col("id").cast("string")).alias("text")), 256)
+        found = anchors.find_anchors(docs, anchors.Words(13, 5), 4096, 256)
+        sizes = found.filter("g < 0").groupBy("bucket").agg(F.sum(F.octet_length("data")).alias("n"))
+        return sizes.agg(F.max("n"), F.median("n")).first()
+
+    (few, _), (many, _) = fullest(5000), fullest(20_000)
+    assert many < 2 * few, (few, many)
