@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmark.llm.frames import map_rows, slices, written
-from strandmark.llm.license_texts import statements
+from strandmark.llm.license_texts import FOREIGN, GNU, SHORT, TELLING, TEXTS, statements
 
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 TERM = regex.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
@@ -24,6 +24,43 @@ OTHER_SHARE, LEAST_SHARE = 0.05, 1e-4
 FOUND = "path string, license string, score double, whole_license string, whole_score double"
 
 
+#: A tag, and what stands in its expression.
+TAG, TOKEN = regex.compile(r"SPDX-License-Identifier:(.*)", regex.I), regex.compile(r"[A-Za-z0-9.+-]*[A-Za-z0-9+]|\S")
+KNOWN = {x.lower(): x for x in TEXTS} | {f"{x}{end}".lower(): x for x in GNU for end in ("-only", "-or-later", "+")}
+
+
+def tagged(line: str) -> str | None:
+    """The expression of a line's tag: identifiers with AND, OR, WITH and brackets, known identifiers as the templates name them, others as they
+    are; it ends where it can't go on, as before a comment's end. None without a tag."""
+    found = TAG.search(line)
+    if not found:
+        return None
+    out, depth, whole = [], 0, 0  # whole: what is an expression so far
+    for token in TOKEN.findall(found[1]):
+        operand = not out or out[-1] in ("AND", "OR", "WITH", "(")
+        if operand and token == "(":
+            depth += 1
+            out.append(token)
+            continue
+        if operand and token[0].isalnum():
+            out.append(KNOWN.get(token.lower(), token))
+        elif not operand and token == ")" and depth:
+            depth -= 1
+            out.append(token)
+        elif not operand and token.upper() in ("AND", "OR", "WITH"):
+            out.append(token.upper())
+            continue
+        else:
+            break
+        whole = whole if depth else len(out)
+    return " ".join(out[:whole]).replace("( ", "(").replace(" )", ")") or None
+
+
+def needed(spdx: str, terms: Counter) -> set[str]:
+    """Terms of a wording without which a passage isn't about its licence: those that tell it from its relatives."""
+    return {*TELLING.get(spdx, ()), *(TERM.findall(spdx.lower()) if terms.total() <= SHORT else ())} & terms.keys()
+
+
 def idf(files_with: int, files: int) -> float:
     return -math.log(max((1 + files_with) / (1 + files), LEAST_SHARE)) + 1
 
@@ -37,6 +74,7 @@ class Cosine:
         self.other = -math.log(OTHER_SHARE) + 1
         self.index: dict[str, list[tuple[int, float]]] = {}
         self.names = [spdx for spdx, _ in wordings]
+        self.needed = [needed(spdx, terms) for spdx, terms in wordings]
         for k, (_, terms) in enumerate(wordings):
             weights = {t: n * self.idf[t] for t, n in terms.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
@@ -54,7 +92,7 @@ class Cosine:
         return out
 
     def best(self, terms: Counter) -> tuple[str | None, float]:
-        """The closest template and its cosine; ties to the first in alphabetical order."""
+        """The closest template of those whose telling terms are there, and no relative's, and its cosine; ties to the first in alphabetical order."""
         dots: dict[int, float] = {}
         square = 0.0
         for t, n in terms.items():
@@ -62,6 +100,7 @@ class Cosine:
             square += w * w
             for k, v in self.index.get(t, ()):
                 dots[k] = dots.get(k, 0.0) + w * v
+        dots = {k: d for k, d in dots.items() if self.needed[k] <= terms.keys() and terms.keys().isdisjoint(FOREIGN.get(self.names[k], ()))}
         if not dots:
             return None, 0.0
         norm = math.sqrt(square)
@@ -116,8 +155,11 @@ def declared(files: DataFrame, cosine: Cosine, least: float, kept: str) -> DataF
         telling = c.telling(least)
 
         def one(text: str | None) -> tuple:
-            low = (text or "").lower()
+            tags = [x for x in map(tagged, (text or "").split("\n")) if x] if TAG.search(text or "") else []
+            low = TAG.sub("", text or "").lower()
             best, total = (None, 0.0), Counter(TERM.findall(low))
+            if tags:
+                return tags[0], 1.0, *c.best(total)
             if telling.isdisjoint(total):
                 return *best, *best
             for passage in headers(low, telling):
@@ -142,8 +184,8 @@ def parents(path: Column) -> Column:
 def scan_licenses(files: DataFrame, least: float = 0.6, least_whole: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """path, license, score, origin ("file", "directory" or null) and from_directory of every row, and before them the columns ``keep``.
 
-    A file's own licence is the template closest to one of its passages (a line, or several joined) with a cosine of ``least`` or
-    more. Licence files (by name, or by a whole text at ``least_whole``) give their directory its licence: the best score, ties by
+    A file's own licence is what its first SPDX tag says, known or not, with a score of 1; without a tag the template closest to one of its passages (a line, or several joined) with a cosine of ``least`` or
+    more, if the passage has the terms that tell that licence from its relatives. Licence files (by name, or by a whole text at ``least_whole``) give their directory its licence: the best score, ties by
     name. Files without one of their own take that of the nearest directory above that has one. Document frequencies of
     the templates' terms come from all rows; other terms have one weight. Passages that can reach neither threshold are
     passed over. Directories, not files, are joined with their ancestors, so a directory with most of the files costs one row

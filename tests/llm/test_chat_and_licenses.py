@@ -115,9 +115,13 @@ def brute_scan(files, least=0.6, least_whole=0.5):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     vectors = [(x, vector(c)) for x, c in wordings]
 
+    words = lambda x, c: [*license_texts.TELLING.get(x, ()), *(terms(x) if sum(c.values()) <= 60 else ())]
+    needs = [{t for t in words(x, c) if t in c} for x, c in wordings]
+
     def best(c):
         v = vector(c)
-        scored = [(round(sum(w * v.get(t, 0) for t, w in u.items()) / norm(u) / norm(v), 12), x) for x, u in vectors] if v else []
+        told = [(x, u) for (x, u), need in zip(vectors, needs) if need <= c.keys() and not {*license_texts.FOREIGN.get(x, ())} & c.keys()]
+        scored = [(round(sum(w * v.get(t, 0) for t, w in u.items()) / norm(u) / norm(v), 12), x) for x, u in told] if v else []
         top = max((s for s, _ in scored), default=0)
         return (min(x for s, x in scored if s == top), min(1.0, top)) if top else (None, 0.0)
 
@@ -127,6 +131,9 @@ def brute_scan(files, least=0.6, least_whole=0.5):
         passages = [sum(lines[i : i + n], Counter()) for i in range(len(lines)) for n in (1, 2, 3, 4, 6, 8, 12, 16, 24)]
         name, score = max(map(best, passages), key=lambda x: x[1], default=(None, 0.0))
         whole, whole_score = best(terms(text))
+        if tag := re.search(r"(?i)spdx-license-identifier: (\S+)", text or ""):  # of one identifier each, here
+            name, score = re.sub("-or-later", "", tag[1]), 1.0
+            whole, whole_score = best(terms((text or "").replace(tag[0], "")))
         own.append((path, name if score >= least else None, score))
         if path is not None:
             named = re.search(r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$", path) and max(score, whole_score) >= least_whole
@@ -182,6 +189,25 @@ def test_real_licenses(spark):
     same_scan([r[1:] for r in found], [r[:2] for r in rows] + [(None, None)])
 
 
+def test_relatives_and_unknown_licences(spark):
+    """No licence is taken for a relative, and none that isn't known for one that is."""
+    gnu = license_texts._gnu_header
+    rows = [
+        (wrapped(gnu("Lesser General Public License", "2.1"), 70, " * "), "LGPL-2.1"), ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("// spdx-license-identifier: zlib", "Zlib"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("SPDX-License-Identifier: MPL-1.1 */", "MPL-1.1"),
+        ("Licensed under the Apache Software License, Version 1.1.", "Apache-1.1"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */", "MIT OR Apache-2.0"),
+        ("SPDX-License-Identifier: (GPL-2.0-only with Classpath-exception-2.0) AND Foo-1.0", "(GPL-2.0 WITH Classpath-exception-2.0) AND Foo-1.0"), ("SPDX-License-Identifier: LicenseRef-mine", "LicenseRef-mine"),
+        ("SPDX-License-Identifier: (MIT", None), ("SPDX-License-Identifier:", None), ("SPDX-License-Identifier: MIT AND", "MIT"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License.", "CC-BY-NC-ND-3.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY 2.5.", None),
+        (wrapped(gnu("General Public License", "1"), 70, "# "), None), ("This work is licensed under the GNU Lesser General Public License, version 2.", None), ("Licensed under the Foo License, Version 2.0.", None),
+        ("Licensed under the Eclipse Public License v2.0.", "EPL-2.0"), ("Licensed under the Eclipse Public License v1.0.", "EPL-1.0"), (wrapped(license_texts.TEXTS["Zlib"][0], 60, ""), "Zlib"), (license_texts.TEXTS["BSL-1.0"][0], "BSL-1.0"),
+        (wrapped(license_texts.TEXTS["0BSD"][0], 70, ""), "0BSD"), (wrapped(license_texts.TEXTS["BSD-4-Clause"][0], 70, ""), "BSD-4-Clause"), (wrapped(license_texts.TEXTS["MPL-1.1"][0], 70, ""), "MPL-1.1"),
+    ]
+    docs = spark.createDataFrame([(f"d{i}/x.c", t) for i, (t, _) in enumerate(rows)] + [(f"p{i}/y.c", "other words " * i) for i in range(60)], "path string, text string")
+    found = {r["path"]: r["license"] for r in licenses.scan_licenses(docs).collect()}
+    assert [found[f"d{i}/x.c"] for i in range(len(rows))] == [want for _, want in rows]
+
+
 def test_scan_brute_force(spark, sf_dir):
     got = queries.op3_license_scan(spark, sf_dir).collect()
     docs = table(spark, sf_dir, "documents").collect()
