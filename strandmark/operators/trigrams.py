@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -38,8 +38,27 @@ def codes(text: str, n: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.empty(0, np.int64)
 
 
-def with_grams(rows: DataFrame, text: str, lengths: list[int]) -> DataFrame:
+#: Buckets of grams, of which a set is a table of a megabyte whatever the number of grams.
+BUCKETS = 1 << 20
+
+
+def bucket(gram):
+    """The bucket of a gram; the same for columns and for arrays."""
+    part = lambda shift: (F.shiftright(gram, shift).bitwiseAND(F.lit(BUCKETS - 1)) if isinstance(gram, Column) else gram >> shift & BUCKETS - 1)
+    mixed = part(0) + part(21) * 37 + part(42) * 1369
+    return mixed % BUCKETS
+
+
+def bucket_set(grams: DataFrame, column: str) -> np.ndarray:
+    """Which buckets the grams of a column are in: BUCKETS numbers at most come to the driver."""
+    held = np.zeros(BUCKETS, bool)
+    held[[r[0] for r in grams.select(bucket(F.col(column))).distinct().collect()]] = True
+    return held
+
+
+def with_grams(rows: DataFrame, text: str, lengths: list[int], among: np.ndarray | None = None) -> DataFrame:
     """The other columns of ``rows`` with ``gram``, a row for each different gram of these lengths in the text; null texts have none.
+    ``among``: only grams in these buckets.
 
     Positions of a text aren't worth a row of JVM objects each: a task turns code points into numbers, array by array.
     """
@@ -56,7 +75,8 @@ def with_grams(rows: DataFrame, text: str, lengths: list[int]) -> DataFrame:
                     held, owners, size = [], [], 0
                 if i < batch.num_rows and (read := texts[i].as_py()) is not None:
                     for n in lengths:
-                        held.append(codes(read, n))
+                        found = codes(read, n)
+                        held.append(found if among is None else found[among[bucket(found)]])
                         owners.append(i)
                         size += len(held[-1])
 
@@ -65,11 +85,16 @@ def with_grams(rows: DataFrame, text: str, lengths: list[int]) -> DataFrame:
 
 @dataclass
 class TextIndex:
-    """Where an index lies: ``texts`` (key, norm; a folder a shard), ``postings`` (gram, shard, key; by gram), ``counts`` (gram, n)."""
+    """Where an index lies: ``texts`` (key, norm; a folder for each of ``shards`` hashes of the key), ``postings`` (gram, key; by gram), ``counts``
+    (gram, n)."""
 
     spark: SparkSession
     path: str
     key: str
+    shards: int
+
+    def shard(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.shards)).cast("int")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -82,12 +107,11 @@ def build_index(rows: DataFrame, key: str, text: str, path: str, shards: int = 6
     so: a search reads the row groups of its few grams. Texts lie in a folder for each of ``shards`` hashes of the key, and a search
     opens those of its candidates. Rows of one key are one entry if their texts are equal, else entries of their own.
     """
-    read = rows.select(key, normalize(blank(text)).alias("norm")).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+    index = TextIndex(rows.sparkSession, path, key, shards)
+    read = rows.select(key, normalize(blank(text)).alias("norm")).withColumn("shard", index.shard())
     read.repartition("shard", F.pmod(F.xxhash64(key, "norm"), F.lit(8))).write.partitionBy("shard").parquet(f"{path}/texts")
-    texts = rows.sparkSession.read.parquet(f"{path}/texts")
-    postings = with_grams(texts.select("shard", key, "norm"), "norm", [3])
+    postings = with_grams(index.table("texts").select(key, "norm"), "norm", [3])
     postings.repartitionByRange("gram", key).sortWithinPartitions("gram", key).write.parquet(f"{path}/postings")
-    index = TextIndex(rows.sparkSession, path, key)
     index.table("postings").groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
     return index
 
@@ -124,9 +148,9 @@ def candidates(index: TextIndex, found: Asked) -> DataFrame:
             wanted.setdefault(g, []).append(i)
     lists = [x for g, numbers in sorted(wanted.items()) for x in (F.lit(g), F.array(*map(F.lit, numbers)))]
     hits = index.table("postings").filter(F.col("gram").isin(sorted(wanted)))
-    of = hits.select(F.explode(F.element_at(F.create_map(*lists), F.col("gram"))).alias("query"), "shard", index.key, "gram") if wanted else hits.select(F.lit(0).alias("query"), "shard", index.key, "gram")
+    of = hits.select(F.explode(F.element_at(F.create_map(*lists), F.col("gram"))).alias("query"), index.key, "gram") if wanted else hits.select(F.lit(0).alias("query"), index.key, "gram")
     needed = F.get(F.array(*(F.lit(len(c or [])) for c in found.chosen)), F.col("query"))
-    return of.groupBy("query", "shard", index.key).agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == needed).drop("n")
+    return of.groupBy("query", index.key).agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == needed).select("query", index.shard().alias("shard"), index.key)
 
 
 def search(index: TextIndex, queries: list[str]) -> DataFrame:
@@ -157,23 +181,22 @@ def search(index: TextIndex, queries: list[str]) -> DataFrame:
 def containing(rows: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
     """Rows whose text contains some name; a null text contains none, a null name is in none, the empty name is in every text.
 
-    Each name is filed under its rarest trigram, and a text offers its trigrams: rows in proportion to its length, which name the text by a
-    hash. Where they meet, the text is checked for the name. A shorter name is its own gram. Equal texts are looked at once.
+    Each name is filed under its rarest trigram, and a text offers its trigrams: no more rows than its length, and of those only the ones
+    under which something may be filed, as a table of buckets says. Where they meet, the text is checked for the name. A shorter name
+    is its own gram. Equal texts are looked at once, and go by their digest.
     """
     wanted = names.select(F.col(name).alias("_name")).filter("_name is not null").distinct()
     n = F.least(F.lit(3), F.length("_name"))
     lengths = sorted(r[0] for r in wanted.select(n).distinct().collect())  # 0 to 3
     if 0 in lengths or not lengths:
         return rows.filter(F.col(text).isNotNull() if lengths else F.lit(False))
-    texts = rows.select(F.col(text).alias("_text")).filter("_text is not null").distinct().withColumn("_id", F.xxhash64("_text"))
-    offered = with_grams(texts, "_text", lengths).withColumnRenamed("gram", "_gram")
-    counts = offered.groupBy("_gram").agg(F.count("*").alias("_n"))
-    short = F.length("_name") < 3
-    own = [with_grams(wanted.filter(F.length("_name") == n).select("_name", F.col("_name").alias("_t")), "_t", [n]) for n in lengths if n < 3]
-    own += [with_grams(wanted.filter(~short).select("_name", F.col("_name").alias("_t")), "_t", [3])] if 3 in lengths else []
-    named = reduce(DataFrame.unionByName, own).withColumnRenamed("gram", "_gram")
+    digest = lambda c: F.unhex(F.md5(c))
+    texts = rows.select(F.col(text).alias("_text")).filter("_text is not null").distinct().withColumn("_id", digest(F.col("_text")))
+    named = reduce(DataFrame.unionByName, (with_grams(wanted.filter(n == k).select("_name", F.col("_name").alias("_t")), "_t", [k]) for k in lengths)).withColumnRenamed("gram", "_gram")
+    counts = with_grams(texts.select("_text"), "_text", lengths, bucket_set(named, "_gram")).groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("_n"))
     filed = named.join(counts, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_r"))
     filed = filed.filter("_r._n > 0").select("_name", "_r._gram")  # a gram that no text has: nor has any text the name
+    offered = with_grams(texts, "_text", lengths, bucket_set(filed, "_gram")).withColumnRenamed("gram", "_gram")
     met = offered.join(filed, "_gram").select("_id", "_name")
-    held = met.join(texts, "_id").filter(F.contains("_text", "_name")).select(F.col("_text").alias(text)).distinct()
-    return rows.join(held, text, "left_semi").select([rows[f"`{c}`"] for c in rows.columns])
+    held = met.join(texts, "_id").filter(F.contains("_text", "_name")).select("_id").distinct()
+    return rows.join(held, digest(rows[f"`{text}`"]) == F.col("_id"), "left_semi")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandmark.operators import search, trigrams
@@ -32,6 +33,13 @@ def test_long_texts_in_pieces(monkeypatch):
             assert trigrams.codes(text, n).tolist() == sorted(want)
 
 
+def test_buckets_agree(spark):
+    grams = [trigrams.gram_code(x) for x in ("abc", "zz", "a", "\U0010ffff\U0010ffff\U0010ffff", "ü€𝄞", "\0\0\0")]
+    df = spark.createDataFrame([(g,) for g in grams], "g long")
+    assert [r[0] for r in df.select(trigrams.bucket(F.col("g"))).collect()] == trigrams.bucket(np.array(grams)).tolist()
+    assert trigrams.bucket_set(df, "g").sum() == len({*trigrams.bucket(np.array(grams)).tolist()})
+
+
 def test_many_rows_of_grams(spark, monkeypatch):
     df = spark.createDataFrame([(i, "abcd" * (i % 3), i) for i in range(50)] + [(99, None, 1)], "id int, t string, n int")
     got = trigrams.with_grams(df, "t", [1, 3]).groupBy("id", "n").count().collect()
