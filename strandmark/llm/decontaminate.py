@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from strandmark.llm.frames import map_rows, slices, tidy
+from strandmark.llm.frames import map_rows, slices, tidy, written
 
 #: A-Z become a-z; other ASCII characters but digits and letters separate words; bytes of non-ASCII characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -127,7 +127,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_byte
     have no words and aren't contaminated; null item ids count as the string "null"; repeated items count once by id;
     an empty benchmark marks nothing; repeated rows stay rows; other columns aren't read.
     Texts aren't shuffled: the matcher is broadcast. Its size is bounded: a benchmark of over ``max_bytes`` characters is
-    searched part after part, each pass handing its spans and items to the next.
+    searched part after part, each pass writing its spans and items for the next, so that one part's matcher is held at a time.
     """
     context = docs.sparkSession.sparkContext
     df = docs.select("doc_id", "text", F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
@@ -151,6 +151,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_byte
             return work
 
         df = map_rows(df, make, RESULT if last else "doc_id long, text string, spans array<long>, items array<string>")
+        if not last:
+            df = written(df, "searched")
+            shared.unpersist()
     return df
 
 
@@ -158,7 +161,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, m
     """The rows of ``docs``, all columns, without the contaminated ones.
 
     Verdict and filter are narrow passes: the text itself is judged, so repeated or null ids do no harm. A benchmark over
-    ``max_bytes`` is searched part after part; rows go along whole with the spans found so far, and the last pass judges.
+    ``max_bytes`` is searched part after part; rows are written whole with the spans found so far for the next, and the last pass judges.
     Null and empty texts stay; repeated rows are judged alike; a share of exactly a twentieth is contaminated; an empty benchmark or
     table changes nothing; columns of any name come through as they are. A very long text is held by its own task alone.
     """
@@ -182,4 +185,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, m
                     yield pa.RecordBatch.from_arrays([rows, pa.array(spans, pa.list_(pa.int64()))], ["row", "spans"])
 
         df = df.mapInArrow(tidy(run), docs.schema if last else carried)
+        if not last:
+            df = written(df, "searched")
+            shared.unpersist()
     return df

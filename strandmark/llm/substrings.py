@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from strandmark.llm.anchors import Words, with_repeats
-from strandmark.llm.frames import map_rows
+from strandmark.llm.frames import map_rows, written
 
 #: A word with the white space before it.
 SPACED = regex.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
@@ -182,17 +182,17 @@ def remove_known(docs: DataFrame, reference: DataFrame, length: int = 13, shard_
     """doc_id, text without the words under any ``length``-word window that a reference text has.
 
     The reference comes in shards of at most ``shard_bytes`` characters (a longer text is a shard of its own); each
-    shard's automaton is broadcast and all documents stream through it, so the size broadcast at once is bounded. Meant for a
+    shard's automaton is broadcast and all documents stream through it into a written table, so one is held at a time. Meant for a
     reference far smaller than the corpus; a corpus against itself is ``remove_repeats``. Null texts stay null and match nothing;
     repeated rows and ids stay rows, ties don't matter; an empty reference removes nothing, an empty table gives no rows; other
     columns aren't read. A very long text is held by its own task alone.
     """
-    from strandmark.llm.decontaminate import blocks_of
+    from strandmark.llm.decontaminate import blocks_of, with_last
 
     context = docs.sparkSession.sparkContext
     names = reference.columns
     df = docs.selectExpr("doc_id", "text", "cast(array() as array<long>) as spans")
-    for part in blocks_of(reference.selectExpr(f"`{names[0]}` as item_id", "text"), shard_bytes):
+    for part, last in with_last(blocks_of(reference.selectExpr(f"`{names[0]}` as item_id", "text"), shard_bytes)):
         shared = context.broadcast([t for _, t in part if t])
 
         def make_part(shared=shared):
@@ -213,6 +213,9 @@ def remove_known(docs: DataFrame, reference: DataFrame, length: int = 13, shard_
             return work
 
         df = map_rows(df, make_part, "doc_id long, text string, spans array<long>")
+        if not last:
+            df = written(df, "searched")
+            shared.unpersist()
 
     def make_last():
         def work(rows: dict) -> dict:
