@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandmark.functions import labels, text, values
-from strandmark.operators import documents, joins, policy, search, sync
+from strandmark.operators import counts, documents, joins, policy, search, sync
 from strandmark.plans.registry import query
 from strandmark.plans.texts import PLAIN, STRIP
 from strandmark.sources import files, sinks, tables
@@ -64,6 +64,7 @@ def form_record(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def appended_rows(spark, sf_dir):
+    """Written when the query is made, each time to a new folder, and read when its rows are asked for; so with all queries that write."""
     path, rows = fresh_folder(spark, "appended"), _customers(spark, sf_dir, "c_custkey", "c_name", "c_mktsegment")
     for segment in ("BUILDING", "MACHINERY"):
         sinks.append(rows.filter(F.col("c_mktsegment") == segment).drop("c_mktsegment"), path)
@@ -261,6 +262,33 @@ def array_edits(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT event_id, array_to_string(CASE WHEN event_type = 'error' THEN [] WHEN event_id % 3 = 0 THEN ['click'] ELSE CASE WHEN event_type IN ('click', 'view') THEN list_filter(['click', 'view'], lambda x: x <> event_type) ELSE ['click', 'view', event_type] END END, ',') AS chosen FROM
+    (SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_type <> 'error' THEN 'click' ELSE event_type END AS event_type FROM events)"""
+)
+def toggled_arrays(spark, sf_dir):
+    """A click on an item of a kept selection: on, off, or everything off; every third selection is empty before a click."""
+    third, kind = F.col("event_id") % 3 == 0, F.col("event_type")
+    held = F.when(third, F.array().cast(NO_TEXTS)).otherwise(F.array(F.lit("click"), F.lit("view")))
+    item = F.when(kind == "error", "alle").when(third, "click").otherwise(kind)
+    return table(spark, sf_dir, "events", ["event_id", "event_type"]).select("event_id", F.array_join(values.toggled(held, item), ",").alias("chosen"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR coalesce(text, '') = '' THEN 0 ELSE 1 END AS letters, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN 'd' ELSE role END AS kept, CASE WHEN turn % 4 < 2 THEN 'd' ELSE role END AS filled,
+    CASE turn % 4 WHEN 0 THEN 0 WHEN 1 THEN 7 ELSE turn END AS kept_number, CASE WHEN turn % 4 < 2 THEN 7 ELSE turn END AS filled_number FROM conversations"""
+)
+def counted_letters(spark, sf_dir):
+    """A letter counts if it isn't empty; defaults for null alone, and for null, empty and zero."""
+    k = F.col("turn") % 4
+    said, number = F.when(k == 0, "").when(k > 1, F.col("role")), F.when(k == 0, F.lit(0).cast("long")).when(k > 1, F.col("turn"))
+    letter = F.when(F.col("turn") % 3 > 0, text.blank("text")).otherwise("")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", counts.letter_count(letter).alias("letters"), values.if_null(said, "d").alias("kept"), values.or_default(said, "d").alias("filled"),
+        values.if_null(number, 7).alias("kept_number"), values.or_default(number, 7).alias("filled_number"),
+    )
+
+
 @query("SELECT c_custkey, 'Preis €' || c_name || ' „x“ yz' AS short, substr(repeat(c_name || ' (a)', 30) || ' ' || c_name, 1, 10000) AS long FROM customer")
 def pdf_text(spark, sf_dir):
     """Short strings in bytes of windows-1252 and an array of parts; a long one with escaped brackets."""
