@@ -199,4 +199,4 @@ def containing(rows: DataFrame, names: DataFrame, text: str, name: str) -> DataF
     offered = with_grams(texts, "_text", lengths, bucket_set(filed, "_gram")).withColumnRenamed("gram", "_gram")
     met = offered.join(filed, "_gram").select("_id", "_name")
     held = met.join(texts, "_id").filter(F.contains("_text", "_name")).select("_id").distinct()
-    return rows.join(held, digest(rows[f"`{text}`"]) == F.col("_id"), "left_semi")
+    return rows.join(held, digest(rows[f"`{text}`"]) == held["_id"], "left_semi")

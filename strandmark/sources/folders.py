@@ -33,9 +33,6 @@ class Files:
         at = self._path(path)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
-    def sizes(self, path: str) -> dict[str, int]:
-        return {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(path))}
-
     def read(self, path: str) -> str:
         held = self._fs.open(self._path(path))
         try:

@@ -74,7 +74,7 @@ def test_several_writes_and_empty_sets(spark):
 
 def test_many_locations(spark):
     places = [(1, "Bern"), (2, "Zug"), (3, None), (4, ""), (5, "Bern"), (6, "Zürich Zürich"), (7, "𝄞Ort")]
-    orgs = spark.createDataFrame(places, "id int, loc string").withColumn("a.b", F.lit(1))
+    orgs = spark.createDataFrame(places, "id int, loc string").withColumns({"a.b": F.lit(1), "_id": F.lit(b"x")})
     for names in (["er", "x", None], ["", "q"], ["Bernau"], ["Zug", "ug", "Bern"], [], [None], ["ürich Z", "ü"], ["𝄞Or"], ["𝄞O", "Bern", "Berne", "Z"]):
         picked = spark.createDataFrame([(n,) for n in names], "name string")
         want = [(i,) for i, place in places if place is not None and any(n is not None and n in place for n in names)]
