@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from strandmark.functions.text import blank, normalize
+from strandmark.sources.folders import fresh_folder
 
 #: Characters of a text that are taken apart at once, and grams that a batch of rows holds about.
 PIECE, BATCH = 1 << 20, 1 << 17
@@ -183,20 +184,22 @@ def containing(rows: DataFrame, names: DataFrame, text: str, name: str) -> DataF
 
     Each name is filed under its rarest trigram, and a text offers its trigrams: no more rows than its length, and of those only the ones
     under which something may be filed, as a table of buckets says. Where they meet, the text is checked for the name. A shorter name
-    is its own gram. Equal texts are looked at once, and go by their digest.
+    is its own gram. Texts go by their digest; they are read twice where they lie, and move once, to be checked.
     """
     wanted = names.select(F.col(name).alias("_name")).filter("_name is not null").distinct()
     n = F.least(F.lit(3), F.length("_name"))
     lengths = sorted(r[0] for r in wanted.select(n).distinct().collect())  # 0 to 3
     if 0 in lengths or not lengths:
         return rows.filter(F.col(text).isNotNull() if lengths else F.lit(False))
-    digest = lambda c: F.unhex(F.md5(c))
-    texts = rows.select(F.col(text).alias("_text")).filter("_text is not null").distinct().withColumn("_id", digest(F.col("_text")))
+    texts = rows.select(F.unhex(F.md5(text)).alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
     named = reduce(DataFrame.unionByName, (with_grams(wanted.filter(n == k).select("_name", F.col("_name").alias("_t")), "_t", [k]) for k in lengths)).withColumnRenamed("gram", "_gram")
     counts = with_grams(texts.select("_text"), "_text", lengths, bucket_set(named, "_gram")).groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("_n"))
-    filed = named.join(counts, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_r"))
-    filed = filed.filter("_r._n > 0").select("_name", "_r._gram")  # a gram that no text has: nor has any text the name
+    rarest = named.join(counts, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_r"))
+    path = fresh_folder(rows.sparkSession, "filed")
+    rarest.filter("_r._n > 0").select("_name", "_r._gram").write.parquet(path)  # a gram that no text has: nor has any text the name
+    filed = rows.sparkSession.read.parquet(path)
     offered = with_grams(texts, "_text", lengths, bucket_set(filed, "_gram")).withColumnRenamed("gram", "_gram")
-    met = offered.join(filed, "_gram").select("_id", "_name")
-    held = met.join(texts, "_id").filter(F.contains("_text", "_name")).select("_id").distinct()
-    return rows.join(held, digest(rows[f"`{text}`"]) == held["_id"], "left_semi")
+    met = offered.join(filed, "_gram").select("_id", "_name").distinct()
+    held = met.join(texts, "_id").filter(F.contains("_text", "_name")).select(F.col("_id").alias("_held")).distinct()
+    named_by = rows.withColumn("_digest", F.unhex(F.md5(text)))
+    return named_by.join(held, named_by["_digest"] == held["_held"], "left_semi").drop("_digest")
