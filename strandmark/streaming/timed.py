@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandmark.operators.store import KeyedStore
 from strandmark.operators.sync import latest
@@ -30,6 +30,16 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@contextmanager
+def held(batch: DataFrame):
+    """The rows of a micro-batch, so that what a store does with them, in several jobs, doesn't run the stream's operators again."""
+    kept = batch.persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def _rows(events: DataFrame, key: str, time: str, tie: str, payload: Column, late: str) -> DataFrame:
     """key, at (microseconds), tie and payload (text); the watermark trails the last time by ``late``."""
     read = events.withColumn(time, F.col(time).cast("timestamp")).filter(F.col(time).isNotNull() & F.col(key).isNotNull()).withWatermark(time, late)
@@ -91,63 +101,19 @@ def expiring_cache(events: DataFrame, key: str, time: str, tie: str, payload: Co
         return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(availableNow=True).start()
 
 
-class Silence(StatefulProcessor):
-    """Events of a key, until ``gap`` microseconds without another have passed by the watermark; such an event is handed on.
+def silenced(events: DataFrame, key: str, time: str, tie: str, payload: Column, seconds: int, late: str) -> DataFrame:
+    """key, at, tie, payload of the events that ``limits.debounced`` keeps, each once its silence is over by the watermark.
 
-    Kept are events that no later one has overtaken within the gap, and overtaken ones for as long as an earlier event may still arrive late.
+    They are the last ones of sessions, which Spark keeps as one row each and ends by the watermark; events exactly ``seconds`` apart
+    belong together, so a session ends a microsecond later. A late event counts for as long as its own silence isn't over.
     """
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        held = [StructField("at", ArrayType(LongType())), StructField("tie", ArrayType(LongType())), StructField("payload", ArrayType(StringType()))]
-        self.events = handle.getValueState("events", StructType(held))
-
-    def held(self) -> list[tuple]:
-        return sorted(zip(*self.events.get()), key=lambda e: e[:2]) if self.events.exists() else []
-
-    def decide(self, key, events: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        """Hands on what has had its silence at ``now`` (microseconds), and keeps what may still matter."""
-        kept, done = [], []
-        for i, (at, tie, payload) in enumerate(events):
-            overtaken = i + 1 < len(events) and events[i + 1][0] - at <= self.gap
-            if not overtaken and at + self.gap < now:
-                done.append((at, tie, payload))
-            elif not overtaken or at >= now:
-                kept.append((at, tie, payload))
-                if not overtaken:
-                    self.handle.registerTimer((at + self.gap) // 1000 + 1)
-        if kept:
-            at, tie, payload = zip(*kept)
-            self.events.update((list(map(int, at)), list(map(int, tie)), list(payload)))
-        else:
-            self.events.clear()
-        if done:
-            at, tie, payload = map(list, zip(*done))
-            yield pd.DataFrame({"key": [key] * len(done), "at": at, "tie": tie, "payload": payload})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = self.held()
-        for frame in rows:
-            events += list(frame[["at", "tie", "payload"]].itertuples(index=False, name=None))
-        yield from self.decide(key[0], sorted(events, key=lambda e: e[:2]), timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.decide(key[0], self.held(), timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def close(self) -> None:
-        pass
-
-
-def silenced(events: DataFrame, key: str, time: str, tie: str, payload: Column, seconds: int, late: str) -> DataFrame:
-    """key, at, tie, payload of the events that ``limits.debounced`` keeps, each once its silence is over by the watermark."""
     rows = _rows(events, key, time, tie, payload, late)
-    return rows.groupBy("key").transformWithStateInPandas(Silence(seconds * 1_000_000), f"key {dict(rows.dtypes)['key']}, at long, tie long, payload string", "Append", "EventTime")
+    session = F.session_window("time", f"{seconds * 1_000_000 + 1} microseconds")
+    last = rows.groupBy(session, "key").agg(F.max(F.struct("at", "tie", "payload")).alias("last"))
+    return last.select("key", "last.*")
 
 
-def sets_after_silence(events: DataFrame, key: str, time: str, tie: str, items: Column, seconds: int, late: str, path: str, checkpoint: str, partitions: int = 8) -> StreamingQuery:
+def sets_after_silence(events: DataFrame, key: str, time: str, tie: str, items: Column, seconds: int, late: str, path: str, checkpoint: str, partitions: int = 24) -> StreamingQuery:
     """Starts a stream that replaces, in a keyed store at ``path``, each key's set (key, item) by the last one that was followed by silence.
 
     ``items`` is an array of texts; an empty one empties the set. Only the sets of a micro-batch that are the last of their key are written.
@@ -156,9 +122,9 @@ def sets_after_silence(events: DataFrame, key: str, time: str, tie: str, items:
     sent = silenced(events, key, time, tie, F.to_json(items), seconds, late)
 
     def apply(batch: DataFrame, number: int) -> None:
-        last = latest(batch, ["key"], ["at", "tie"])
-        rows = last.select("key", F.explode(F.from_json("payload", "array<string>")).alias("item"))
-        KeyedStore(spark, path, ["key"]).replace_sets(rows, checkpoint, number, senders=last)
+        with held(latest(batch, ["key"], ["at", "tie"])) as last:
+            rows = last.select("key", F.explode(F.from_json("payload", "array<string>")).alias("item"))
+            KeyedStore(spark, path, ["key"]).replace_sets(rows, checkpoint, number, senders=last)
 
     with settings(spark, STATE_STORE | {"spark.sql.shuffle.partitions": str(partitions)}):
         return sent.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(availableNow=True).start()

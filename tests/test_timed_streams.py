@@ -78,3 +78,20 @@ def test_everything_that_was_silent_is_handed_on(spark, tmp_path):
     now = watermark(query)
     kept = limits.debounced(spark.createDataFrame(data, SCHEMA), "user", "ts", "id", "10 MINUTES").filter(F.col("ts") + F.expr("INTERVAL 10 MINUTES") < F.lit(now))
     assert sorted(r["tie"] for r in spark.table("silenced").collect()) == sorted(r["id"] for r in kept.collect())
+
+
+def test_sets_run_the_stream_once_a_batch(spark, tmp_path):
+    """What a batch's jobs share is computed once, and sessions are Spark's own."""
+    stream = batches(spark, tmp_path / "in", [events(6, 20)])
+    plan = timed.silenced(stream, "user", "ts", "id", F.lit("p"), 600, "10 minutes")._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "TransformWithState" not in plan
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for frame in rows:
+            runs.add(len(frame))
+            yield frame
+
+    with timed.held(spark.range(10).mapInPandas(seen, "id long")) as kept:
+        assert kept.count() == kept.distinct().count() == 10
+    assert runs.value == 10
