@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from strandmark.operators.store import KeyedStore
 from strandmark.operators.sync import latest
@@ -47,55 +48,91 @@ def _rows(events: DataFrame, key: str, time: str, tie: str, payload: Column, lat
 
 
 class Expiring(StatefulProcessor):
-    """The last write of a key, until it is older than ``ttl`` microseconds by the watermark; then its state is gone."""
+    """The last write of each key of a bucket, until it is older than ``ttl`` microseconds by the watermark; then it leaves the state.
+
+    The state of a bucket is chunks of keys, times and ties: a micro-batch adds one with what it changed, and timers, for the first of a chunk
+    to expire, put the chunks together. So calls from Python to the state are as many as the buckets, whatever the number of keys.
+    """
+
+    #: Chunks of a bucket that are put together without a timer.
+    MOST = 16
 
     def __init__(self, ttl: int):
         self.ttl = ttl
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("at", LongType()), StructField("tie", LongType())]))
+        self.chunks = handle.getMapState("chunks", StructType([StructField("number", LongType())]), StructType([StructField("rows", BinaryType())]))
 
-    def due(self, at: int) -> int:
+    def due(self, at):
         """The first millisecond at which a write of that time has expired; just at its end it is valid."""
         return (at + self.ttl) // 1000 + 1
 
+    @staticmethod
+    def last(rows: pd.DataFrame) -> pd.DataFrame:
+        """The last write of each key; of equal ones the first that is there."""
+        return rows.iloc[::-1].sort_values(["at", "tie"], kind="stable").drop_duplicates("key", keep="last")
+
+    def read(self) -> tuple[pd.DataFrame | None, int]:
+        """The last write of each key, and the number of chunks."""
+        held = [pa.ipc.open_stream(rows).read_pandas() for (rows,) in self.chunks.values()]
+        return self.last(pd.concat(held)) if held else None, len(held)
+
+    def add(self, rows: pd.DataFrame, number: int) -> None:
+        table, out = pa.Table.from_pandas(rows[["key", "at", "tie"]], preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as stream:
+            stream.write_table(table)
+        self.chunks.updateValue((number,), (out.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int(self.due(rows["at"].min())))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, old = None, tuple(self.last.get()) if self.last.exists() else None
+        last, number = self.read()
+        if last is not None:
+            last = last.assign(payload=None, new=False)
         for frame in rows:
-            for row in frame[["at", "tie", "payload"]].itertuples(index=False):
-                if best is None or row[:2] > best[:2]:
-                    best = tuple(row)
-        if old is None or best[:2] > old:
-            if old is not None:
-                self.handle.deleteTimer(self.due(old[0]))
-            self.last.update((int(best[0]), int(best[1])))
-            self.handle.registerTimer(self.due(int(best[0])))
-            yield pd.DataFrame({"key": [key[0]], "at": [best[0]], "tie": [best[1]], "payload": [best[2]], "gone": [False]})
+            sent = frame[["key", "at", "tie", "payload"]].assign(new=True)
+            last = self.last(sent if last is None else pd.concat([last, sent]))
+        written = last[last["new"]]
+        if number >= self.MOST:
+            self.chunks.clear()
+            self.add(last, 0)
+        elif len(written):
+            self.add(written, number)
+        if len(written):
+            yield written[["key", "at", "tie", "payload"]].assign(gone=False)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, tie = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"key": [key[0]], "at": [at], "tie": [tie], "payload": [None], "gone": [True]})
+        held, _ = self.read()
+        if held is None:
+            return
+        over = self.due(held["at"]) <= expiredTimerInfo.getExpiryTimeInMs()
+        over |= self.due(held["at"]) <= timerValues.getCurrentWatermarkInMs()
+        self.chunks.clear()
+        if not over.all():
+            self.add(held[~over], 0)
+        if over.any():
+            yield held[over][["key", "at", "tie"]].assign(payload=None, gone=True)
 
     def close(self) -> None:
         pass
 
 
-def expiring_cache(events: DataFrame, key: str, time: str, tie: str, payload: Column, hours: int, late: str, path: str, checkpoint: str, partitions: int = 8) -> StreamingQuery:
+def expiring_cache(events: DataFrame, key: str, time: str, tie: str, payload: Column, hours: int, late: str, path: str, checkpoint: str, partitions: int = 24, buckets: int = 1024) -> StreamingQuery:
     """Starts a stream that keeps, in a keyed store at ``path``, the last write of each key that hasn't expired by the watermark.
 
-    The store's rows (key, at, tie, payload) are those of ``limits.valid_entries`` with the watermark as now. A key's state is one time and tie, and
-    is removed with the row. Rows later than ``late`` are dropped by the watermark; rows without key or time don't count.
+    The store's rows (key, at, tie, payload) are those of ``limits.valid_entries`` with the watermark as now. A key's state is its time and tie, among
+    those of one of ``buckets`` hashes of keys, and is removed with the row. Rows later than ``late`` are dropped by the watermark; rows without key or time don't count.
     """
     spark = events.sparkSession
     rows = _rows(events, key, time, tie, payload, late)
     kind = dict(rows.dtypes)["key"]
-    changes = rows.groupBy("key").transformWithStateInPandas(Expiring(hours * 3_600_000_000), f"key {kind}, at long, tie long, payload string, gone boolean", "Append", "EventTime")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    changes = dealt.groupBy("bucket").transformWithStateInPandas(Expiring(hours * 3_600_000_000), f"key {kind}, at long, tie long, payload string, gone boolean", "Append", "EventTime")
 
     def apply(batch: DataFrame, number: int) -> None:
         # a key may expire and be written again in one batch: its write, if there is one, is later
-        KeyedStore(spark, path, ["key"]).apply_log(batch.withColumn("order", ~F.col("gone")), ["at", "tie", "order"], "gone", checkpoint, number)
+        with held(batch.withColumn("order", ~F.col("gone"))) as log:
+            KeyedStore(spark, path, ["key"]).apply_log(log, ["at", "tie", "order"], "gone", checkpoint, number)
 
     with settings(spark, STATE_STORE | {"spark.sql.shuffle.partitions": str(partitions)}):
         return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(availableNow=True).start()

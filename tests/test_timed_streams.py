@@ -95,3 +95,11 @@ def test_sets_run_the_stream_once_a_batch(spark, tmp_path):
     with timed.held(spark.range(10).mapInPandas(seen, "id long")) as kept:
         assert kept.count() == kept.distinct().count() == 10
     assert runs.value == 10
+
+
+def test_state_of_many_keys_is_few_values(spark, tmp_path):
+    data = [(f"u{i}", T0 + timedelta(seconds=i % 50), i, []) for i in range(600)]
+    query = timed.expiring_cache(batches(spark, tmp_path / "in", [data]), "user", "ts", "id", F.col("id"), 1, "10 minutes", str(tmp_path / "store"), str(tmp_path / "c"), 2, buckets=4)
+    query.awaitTermination(180)
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 4
+    assert KeyedStore(spark, str(tmp_path / "store"), ["key"]).read().count() == 600
