@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -179,27 +179,140 @@ def search(index: TextIndex, queries: list[str]) -> DataFrame:
     return result
 
 
+#: Lengths under which names are filed, if they have more than 16 different ones: no more than 16 either.
+STEPS = [*range(1, 9), *(1 << i for i in range(4, 12))]
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _slots(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of the windows of ``n`` characters at these places; ``sums`` are running sums of the characters times powers of the base."""
+    x = (sums[at + n] - sums[at]) * _powers(2 * PIECE)[1][at]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(44)).astype(np.int64)
+
+
+def _sums(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(points * _powers(2 * PIECE)[0][: len(points)], out=sums[1:])
+    return sums
+
+
+def _joined(texts: list[str], overlap: int) -> Iterator[tuple[list[int], str, np.ndarray]]:
+    """Texts behind each other, about PIECE characters at once: their numbers, the characters, and where each begins; the end comes last. A longer text
+    comes in pieces that overlap."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for i, text in enumerate([*texts, None]):
+        for at in range(0, max(1, len(text) - overlap), PIECE) if text is not None else [None]:
+            if held and (at is None or size + min(len(text) - at, PIECE + overlap) > 2 * PIECE - 1):
+                yield [o for o, _ in held], "".join(t for _, t in held), np.cumsum([0, *(len(t) for _, t in held)])
+                held, size = [], 0
+            if at is not None:
+                held.append((i, text[at : at + PIECE + overlap]))
+                size += len(held[-1][1])
+
+
+class Filed:
+    """Under which grams names are filed: for a place of a text, bits say for which lengths some gram may begin as the text does there, end as
+    it does and be equal to it. Three tables of a fixed size, whatever the number of names."""
+
+    def __init__(self, steps: list[int]):
+        self.steps = steps
+        self.masks = np.zeros((3, BUCKETS), np.uint16)
+
+    def marks(self, grams: list[str]) -> np.ndarray:
+        """table, bucket and bit of these grams."""
+        found = [np.empty((3, 0), np.int64)]
+        for k, n in enumerate(self.steps):
+            m = min(3, n)
+            for _, text, begins in _joined([g for g in grams if len(g) == n], 0):
+                sums, at = _sums(text), begins[:-1]
+                for t, slots in enumerate((_slots(sums, at, m), _slots(sums, at + n - m, m), _slots(sums, at, n))):
+                    slots = np.unique(slots)
+                    found.append(np.stack([np.full(len(slots), t), slots, np.full(len(slots), 1 << k)]))
+        return np.concatenate(found, axis=1)
+
+    def learn(self, grams: DataFrame, column: str) -> Filed:
+        """The tables from a column of grams: tasks mark buckets, of which no more than the tables have come to the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in self.marks(batch.column(0).to_pylist())], ["t", "slot", "bit"])
+
+        marks = grams.select(column).mapInArrow(run, "t long, slot long, bit long").groupBy("t", "slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.masks[marks["t"].to_numpy(), marks["slot"].to_numpy()] = marks["bits"].to_numpy().astype(np.uint16)
+        return self
+
+    def offered(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        """Numbers of texts and grams in them that may be filed; each of a text once or more."""
+        first, end, same = self.masks
+        for owners, text, begins in _joined(texts, max(self.steps) - 1):
+            sums, found = _sums(text), {}
+            ends = np.repeat(begins[1:], np.diff(begins))  # where the text of each character ends
+            slots: dict[int, np.ndarray] = {}
+            for k, n in enumerate(self.steps):
+                m, bit = min(3, n), np.uint16(1 << k)
+                if m not in slots:
+                    slots[m] = _slots(sums, np.arange(max(0, len(text) - m + 1)), m)
+                at = np.flatnonzero(first[slots[m]] & bit)
+                at = at[at + n <= ends[at]]
+                at = at[(end[slots[m][at + n - m]] & bit) > 0]
+                at = at[(same[_slots(sums, at, n)] & bit) > 0]
+                of = np.searchsorted(begins, at, "right") - 1
+                found |= dict.fromkeys((owners[o], text[i : i + n]) for o, i in zip(of.tolist(), at.tolist()))
+            if found:
+                yield [o for o, _ in found], [g for _, g in found]
+
+
+def _offered(texts: DataFrame, filed: Filed) -> DataFrame:
+    """_id and _gram: the grams of texts (_id, _text) under which names may be filed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owners, grams in filed.offered(batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), pa.array(grams)], ["_id", "_gram"])
+
+    return texts.select("_id", "_text").mapInArrow(run, "_id binary, _gram string")
+
+
 def containing(rows: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
     """Rows whose text contains some name; a null text contains none, a null name is in none, the empty name is in every text.
 
-    Each name is filed under its rarest trigram, and a text offers its trigrams: no more rows than its length, and of those only the ones
-    under which something may be filed, as a table of buckets says. Where they meet, the text is checked for the name. A shorter name
-    is its own gram. Texts go by their digest; they are read twice where they lie, and move once, to be checked.
+    Names are filed by their length, whole, and texts offer what they hold in these lengths, as far as tables of a fixed size let it
+    through, which know the names' first and last three characters and the whole. Where both meet, the text has the name: pairs are only those that
+    match, however much names resemble each other. With more than 16 lengths, a name of another length than ``STEPS`` is filed under its rarest gram of the
+    next lower one, and texts that have it are checked. Texts go by their digest, and move only for that check.
     """
-    wanted = names.select(F.col(name).alias("_name")).filter("_name is not null").distinct()
-    n = F.least(F.lit(3), F.length("_name"))
-    lengths = sorted(r[0] for r in wanted.select(n).distinct().collect())  # 0 to 3
+    wanted = names.select(F.col(name).alias("_name")).filter("_name is not null")
+    lengths = {r[0] for r in wanted.select(F.length("_name")).distinct().collect()}
     if 0 in lengths or not lengths:
         return rows.filter(F.col(text).isNotNull() if lengths else F.lit(False))
+    steps = sorted(lengths if len(lengths) <= 16 else {max(s for s in STEPS if s <= n) for n in lengths})
     texts = rows.select(F.unhex(F.md5(text)).alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
-    named = reduce(DataFrame.unionByName, (with_grams(wanted.filter(n == k).select("_name", F.col("_name").alias("_t")), "_t", [k]) for k in lengths)).withColumnRenamed("gram", "_gram")
-    counts = with_grams(texts.select("_text"), "_text", lengths, bucket_set(named, "_gram")).groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("_n"))
-    rarest = named.join(counts, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_r"))
-    path = fresh_folder(rows.sparkSession, "filed")
-    rarest.filter("_r._n > 0").select("_name", "_r._gram").write.parquet(path)  # a gram that no text has: nor has any text the name
-    filed = rows.sparkSession.read.parquet(path)
-    offered = with_grams(texts, "_text", lengths, bucket_set(filed, "_gram")).withColumnRenamed("gram", "_gram")
-    met = offered.join(filed, "_gram").select("_id", "_name").distinct()
-    held = met.join(texts, "_id").filter(F.contains("_text", "_name")).select(F.col("_id").alias("_held")).distinct()
+    n = F.length("_name")
+    whole = wanted.filter(n.isin(steps)).select(F.col("_name").alias("_gram"))
+    offered = _offered(texts, Filed(steps).learn(whole, "_gram"))
+    held = offered.join(whole, "_gram", "left_semi").select("_id")
+    if lengths - {*steps}:
+        step = F.array_max(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= F.length("_name")))
+        cut = lambda s: F.transform(F.sequence(F.lit(1), F.length("_name") - s + 1), lambda i: F.substring(F.col("_name"), i, s))
+        parts = wanted.filter(~n.isin(steps)).distinct().select("_name", F.explode(F.array_distinct(cut(step))).alias("_gram"))
+        counts = _offered(texts, Filed(steps).learn(parts, "_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+        rarest = parts.join(counts, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_r"))
+        path = fresh_folder(rows.sparkSession, "filed")
+        rarest.filter("_r._n > 0").select("_name", "_r._gram").write.parquet(path)  # a gram that no text has: nor has any text the name
+        filed = rows.sparkSession.read.parquet(path)
+        met = _offered(texts, Filed(steps).learn(filed, "_gram")).join(filed, "_gram").select("_id", "_name").distinct()
+        held = held.union(met.join(texts, "_id").filter(F.contains("_text", "_name")).select("_id"))
     named_by = rows.withColumn("_digest", F.unhex(F.md5(text)))
+    held = held.distinct().withColumnRenamed("_id", "_held")
     return named_by.join(held, named_by["_digest"] == held["_held"], "left_semi").drop("_digest")

@@ -55,3 +55,31 @@ def test_only_what_is_needed_is_read(spark, sf_dir, tmp_path):
     assert "PushedFilters: [In(gram" in plan
     plan = trigrams.search(index, ["steinsch geach"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "shard" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_names_that_share_their_grams_meet_only_texts_that_have_them(spark):
+    """Numbers have few trigrams: filed under those, each name met a tenth of all texts."""
+    steps = [1, 6]
+    names = [f"{7 * i:06d}" for i in range(20_000)]
+    filed = trigrams.Filed(steps)
+    for t, slot, bit in filed.marks([*names, "x"]).T:
+        filed.masks[t, slot] |= np.uint16(bit)
+    texts = [f"Customer#{i:09d}" for i in range(2_000)] + ["x", "", "1234", "xx000007"]
+    offered = [(o, g) for owners, grams in filed.offered(texts) for o, g in zip(owners, grams)]
+    held = {*names, "x"}
+    assert {(o, g) for o, g in offered if g in held} == {(i, n) for i, t in enumerate(texts) for n in {t[k : k + 6] for k in range(len(t) - 5)} | {*t} if n in held and n in t}
+    assert len(offered) <= 4 * len(texts)
+
+
+def test_containing_against_every_pair(spark, monkeypatch):
+    rnd = random.Random(7)
+    monkeypatch.setattr(trigrams, "PIECE", 64)
+    trigrams._powers.cache_clear()
+    for most in (12, 30):  # few lengths, then more than are filed whole
+        names = ["".join(rnd.choice("abü𝄞") for _ in range(rnd.randrange(4, most))) for _ in range(40)]
+        texts = ["".join(rnd.choice("abü𝄞c") for _ in range(rnd.randrange(200))) for _ in range(60)]
+        texts += [f"c{n}c" for n in names[:20]] + [None, "", "a"]
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, "c" + names[0])] * 2, "id int, t string")
+        got = sorted(r["id"] for r in search.near_locations(rows, spark.createDataFrame([(n,) for n in [*names, None]], "name string"), "t").collect())
+        assert got == sorted([i for i, t in enumerate(texts) if t is not None and any(n in t for n in names)] + [999, 999])
+    trigrams._powers.cache_clear()
