@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,11 @@ def html_to_text(c: Column | str, limit: int | None = QUOTAS["page"]) -> Column:
     return s if limit is None else F.substring(s, 1, limit)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def pdf_text(content: Column | str, limit: int = 10_000, least: int = 100, run: int = 20) -> Column:
     """Text of uncompressed PDF bytes: the strings of Tj and TJ operators between BT and ET.
 
@@ -68,8 +75,6 @@ def pdf_text(content: Column | str, limit: int = 10_000, least: int = 100, run:
     """
     high = bytes(range(0x80, 0xA0)).decode("latin-1")
     read = "".join(c if n in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([n]).decode("cp1252") for n, c in zip(range(0x80, 0xA0), high))
-    raw = F.translate(F.decode(_col(content), "ISO-8859-1"), high, read)
-    blocks = F.regexp_extract_all(raw, F.lit(PDF_BLOCK), 1)
 
     def strings(block: Column) -> Column:
         shown = F.regexp_extract_all(block, F.lit(PDF_STRING), 1)
@@ -77,14 +82,26 @@ def pdf_text(content: Column | str, limit: int = 10_000, least: int = 100, run:
         held = F.filter(arrays, lambda a: a.rlike(PDF_PART))
         return F.concat(shown, F.transform(held, lambda a: F.array_join(F.regexp_extract_all(a, F.lit(PDF_PART), 1), "")))
 
-    found = F.flatten(F.transform(blocks, strings))
-    text = F.array_join(found, " ")
-    for pattern, into in ((r"\\n", "\n"), (r"\\r", ""), (r"\\t", " "), (r"\\\(", "("), (r"\\\)", ")")):
-        text = F.regexp_replace(text, pattern, into)
-    # fixed values: the characters that count as readable
-    readable = F.regexp_extract_all(raw, F.lit(r"([\w\s\p{Z}äöüÄÖÜéèêàâçß.,;:!?()\-–/@&]{%d,})" % run), 1)
-    fallback = (F.length(F.array_join(found, "")) < least) & (F.size(readable) > 0)
-    return F.substring(F.when(fallback, F.array_join(readable, "\n")).otherwise(squeezed(text)), 1, limit)
+    def spelled(found: Column) -> Column:
+        text = F.array_join(found, " ")
+        for pattern, into in ((r"\\n", "\n"), (r"\\r", ""), (r"\\t", " "), (r"\\\(", "("), (r"\\\)", ")")):
+            text = F.regexp_replace(text, pattern, into)
+        return squeezed(text)
+
+    def shown(raw: Column) -> Column:
+        # fixed values: the characters that count as readable
+        readable = F.regexp_extract_all(raw, F.lit(r"([\w\s\p{Z}äöüÄÖÜéèêàâçß.,;:!?()\-–/@&]{%d,})" % run), 1)
+
+        def chosen(found: Column) -> Column:
+            runs = lambda r: F.when(F.size(r) > 0, F.array_join(r, "\n")).otherwise(spelled(found))
+            return F.when(F.length(F.array_join(found, "")) < least, once(readable, runs)).otherwise(spelled(found))
+
+        return once(F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(PDF_BLOCK), 1), strings)), chosen)
+
+    latin = F.decode(_col(content), "ISO-8859-1")
+    # only a text that has such bytes pays for their translation, character by character
+    raw = once(latin, lambda t: F.when(t.rlike(r"[\x80-\x9f]"), F.translate(t, high, read)).otherwise(t))
+    return F.substring(once(raw, shown), 1, limit)
 
 
 def escape_html(c: Column | str) -> Column:

@@ -297,7 +297,7 @@ def pdf_text(spark, sf_dir):
     short = F.concat(plain("%PDF BT (Preis "), byte(0x80), plain(F.col("c_name")), plain(" "), byte(0x84), plain("x"), byte(0x93), plain(") Tj [(y) -3 (z)] TJ ET"))
     body = F.repeat(F.concat("c_name", F.lit(r" \(a\]")), 30)
     long = plain(F.concat(F.lit("BT ("), F.replace(body, F.lit(r"\]"), F.lit("]")), F.lit(") Tj ET BT ("), "c_name", F.lit(") Tj ET")))
-    rows = _customers(spark, sf_dir, "c_custkey", "c_name").select("c_custkey", short.alias("short"), long.alias("long"))
+    rows = tables.spread(_customers(spark, sf_dir, "c_custkey", "c_name")).select("c_custkey", short.alias("short"), long.alias("long"))
     shown = F.replace(text.pdf_text("long"), F.lit("(a]"), F.lit("(a)"))  # a closing bracket would end the string, so a square one stands for it
     return rows.select("c_custkey", text.pdf_text("short").alias("short"), shown.alias("long"))
 

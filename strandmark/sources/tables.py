@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def spread(rows: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """The same rows dealt over all cores: small rows of few files, whose expressions take much longer than reading them."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * tasks_per_core)
+
+
 def flattened(categories: DataFrame, nested: str = "orgs") -> DataFrame:
     """One row for each organisation, with its category's key and the positions that keep the order."""
     one = categories.select(F.col("key").alias("category"), "category_pos", F.posexplode(nested).alias("org_pos", "_o"))
