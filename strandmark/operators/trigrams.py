@@ -11,10 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from strandmark.functions.text import blank, normalize
-from strandmark.sources.folders import fresh_folder
+from strandmark.sources.folders import Files, fresh_folder
 
 #: Characters of a text that are taken apart at once, and grams that a batch of rows holds about.
 PIECE, BATCH = 1 << 20, 1 << 17
@@ -39,6 +39,36 @@ def codes(text: str, n: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.empty(0, np.int64)
 
 
+#: Characters of texts whose postings are put together by one call.
+TOGETHER = 1 << 21
+
+
+def postings_of(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """gram, keys and n: the grams of three characters with the keys of all texts of a batch that have it, so that a gram moves once a batch, not once
+    a text. A text counts once a gram; of a key with several texts each counts."""
+    kind = rows.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(batch.schema.get_field_index(key)), batch.column(batch.schema.get_field_index(text))
+            held, owners, size = [], [], 0
+            for i in range(batch.num_rows + 1):
+                if held and (i == batch.num_rows or size > TOGETHER):
+                    grams, of = np.concatenate(held), np.repeat(owners, [*map(len, held)])
+                    order = np.argsort(grams, kind="stable")
+                    different, starts = np.unique(grams[order], return_index=True)
+                    ends = np.append(starts, len(grams)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), keys.take(pa.array(of[order])))
+                    yield pa.RecordBatch.from_arrays([pa.array(different), lists, pa.array(np.diff(ends).astype(np.int64))], ["gram", "keys", "n"])
+                    held, owners, size = [], [], 0
+                if i < batch.num_rows and (read := texts[i].as_py()) is not None:
+                    held.append(codes(read, 3))
+                    owners.append(i)
+                    size += len(read)
+
+    return rows.select(key, text).mapInArrow(run, StructType([StructField("gram", LongType()), StructField("keys", ArrayType(kind)), StructField("n", LongType())]))
+
+
 #: Buckets of grams, of which a set is a table of a megabyte whatever the number of grams.
 BUCKETS = 1 << 20
 
@@ -86,8 +116,8 @@ def with_grams(rows: DataFrame, text: str, lengths: list[int], among: np.ndarray
 
 @dataclass
 class TextIndex:
-    """Where an index lies: ``texts`` (key, norm; a folder for each of ``shards`` hashes of the key), ``postings`` (gram, key; by gram), ``counts``
-    (gram, n)."""
+    """Where an index lies: ``texts`` (key, norm; a folder for each of ``shards`` hashes of the key), ``postings`` (gram, keys and their number, by gram;
+    several rows a gram), ``counts`` (gram, n)."""
 
     spark: SparkSession
     path: str
@@ -104,16 +134,18 @@ class TextIndex:
 def build_index(rows: DataFrame, key: str, text: str, path: str, shards: int = 64) -> TextIndex:
     """Writes the index of a table's texts, normalised as search reads them; null texts are empty.
 
-    Postings are ranged by gram and key, so a frequent gram is spread over many files and a rare one is in one, whose statistics say
+    Postings are ranged by gram and first key, so a frequent gram is spread over many files and a rare one is in one, whose statistics say
     so: a search reads the row groups of its few grams. Texts lie in a folder for each of ``shards`` hashes of the key, and a search
     opens those of its candidates. Rows of one key are one entry if their texts are equal, else entries of their own.
     """
     index = TextIndex(rows.sparkSession, path, key, shards)
     read = rows.select(key, normalize(blank(text)).alias("norm")).withColumn("shard", index.shard())
     read.repartition("shard", F.pmod(F.xxhash64(key, "norm"), F.lit(8))).write.partitionBy("shard").parquet(f"{path}/texts")
-    postings = with_grams(index.table("texts").select(key, "norm"), "norm", [3])
-    postings.repartitionByRange("gram", key).sortWithinPartitions("gram", key).write.parquet(f"{path}/postings")
-    index.table("postings").groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
+    postings_of(index.table("texts"), key, "norm").write.parquet(f"{path}/batches")  # once: ranging reads its rows twice
+    ranged = index.table("batches").repartitionByRange("gram", F.element_at("keys", 1))
+    ranged.sortWithinPartitions("gram").write.parquet(f"{path}/postings")
+    index.table("postings").groupBy("gram").agg(F.sum("n").alias("n")).write.parquet(f"{path}/counts")
+    Files(index.spark, path).remove(f"{path}/batches")
     return index
 
 
@@ -148,7 +180,7 @@ def candidates(index: TextIndex, found: Asked) -> DataFrame:
         for g in chosen or []:
             wanted.setdefault(g, []).append(i)
     lists = [x for g, numbers in sorted(wanted.items()) for x in (F.lit(g), F.array(*map(F.lit, numbers)))]
-    hits = index.table("postings").filter(F.col("gram").isin(sorted(wanted)))
+    hits = index.table("postings").filter(F.col("gram").isin(sorted(wanted))).select("gram", F.explode("keys").alias(index.key))
     of = hits.select(F.explode(F.element_at(F.create_map(*lists), F.col("gram"))).alias("query"), index.key, "gram") if wanted else hits.select(F.lit(0).alias("query"), index.key, "gram")
     needed = F.get(F.array(*(F.lit(len(c or [])) for c in found.chosen)), F.col("query"))
     return of.groupBy("query", index.key).agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == needed).select("query", index.shard().alias("shard"), index.key)

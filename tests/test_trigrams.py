@@ -83,3 +83,10 @@ def test_containing_against_every_pair(spark, monkeypatch):
         got = sorted(r["id"] for r in search.near_locations(rows, spark.createDataFrame([(n,) for n in [*names, None]], "name string"), "t").collect())
         assert got == sorted([i for i, t in enumerate(texts) if t is not None and any(n in t for n in names)] + [999, 999])
     trigrams._powers.cache_clear()
+
+
+def test_a_gram_moves_once_a_batch(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["abcabc", "xabc", "ab", None, "bca"] * 20)], "id long, t string").coalesce(1)
+    got = trigrams.postings_of(df, "id", "t").collect()
+    assert len(got) == 4 and all(r["n"] == len(r["keys"]) for r in got)
+    assert {r["gram"]: sorted(r["keys"]) for r in got}[trigrams.gram_code("abc")] == [i for i in range(100) if i % 5 < 2]
