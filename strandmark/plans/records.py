@@ -128,10 +128,10 @@ def pdf_file_texts(spark, sf_dir):
     rows, path = _customers(spark, sf_dir, "c_custkey", "c_name"), fresh_folder(spark, "uploads")
     shown = F.repeat(F.concat("c_name", F.lit(" ")), (10 + F.col("c_custkey") % 90).cast("int"))
     number = F.concat(F.lit("cv"), F.col("c_custkey").cast("string"))
-    files.write_files(rows, F.concat(number, F.lit(".pdf")), F.encode(F.concat(F.lit("%PDF BT ("), shown, F.lit(") Tj ET")), "ISO-8859-1"), path)
-    files.write_files(rows.filter("c_custkey % 10 = 0"), F.concat(number, F.lit(".txt")), F.encode(F.lit("BT (x) Tj ET"), "UTF-8"), path)
-    found = tables.pdf_files(spark, path, 1500)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), text.pdf_text("content").alias("text"))
+    folders = files.folders_for(rows)
+    files.write_files(rows, F.concat(number, F.lit(".pdf")), F.encode(F.concat(F.lit("%PDF BT ("), shown, F.lit(") Tj ET")), "ISO-8859-1"), path, folders=folders)
+    files.write_files(rows.filter("c_custkey % 10 = 0"), F.concat(number, F.lit(".txt")), F.encode(F.lit("BT (x) Tj ET"), "UTF-8"), path, folders=folders)
+    return tables.pdf_files(spark, path, 1500).select("name", text.pdf_text("content").alias("text"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS education, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey ELSE 50 END AS workload_min, CASE WHEN c_custkey % 5 > 0 THEN 80 ELSE 100 END AS workload_max FROM customer")

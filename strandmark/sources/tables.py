@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmark.sources.files import read_files
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """A table, or only some columns of it."""
@@ -30,7 +32,7 @@ def literal(spark: SparkSession, categories: list[dict], schema: str) -> DataFra
 
 def pdf_files(spark: SparkSession, path: str, most_bytes: int = 5 * 1024 * 1024) -> DataFrame:
     """PDF files of at most ``most_bytes``; the size is tested on the listing, before contents are read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).filter(F.col("length") <= most_bytes)
+    return read_files(spark, path, "*.pdf", most_bytes)
 
 
 def single(df: DataFrame, key: str, value) -> DataFrame:

@@ -48,3 +48,36 @@ def test_names(spark):
     df = spark.createDataFrame([(1, "A/B"), (2, "A:B"), (3, "C"), (4, 'x"<>|?*\\')], "id int, firm string")
     got = [r["name"] for r in files.file_names(df, F.col("firm"), ".txt", ["id"]).orderBy("id").collect()]
     assert got == ["A_B.txt", "A_B_2.txt", "C.txt", "x_______.txt"]
+
+
+def test_dealt_files(spark, tmp_path):
+    out = tmp_path / "o"
+    files.write_files(rows(spark, [f"{i}.txt" for i in range(100)]), F.col("name"), F.col("t"), str(out), folders=8)
+    files.write_files(rows(spark, [f"{i}.pdf" for i in range(50)]), F.col("name"), F.col("t"), f"file://{out}", folders=8)
+    assert {p.count("/") for p in left(out)} == {2} and len(list(out.iterdir())) == 8
+    found = files.read_files(spark, str(out))
+    assert found.rdd.getNumPartitions() == 8
+    got = {r["name"]: (r["content"].decode(), r["length"]) for r in found.collect()}
+    assert len(got) == 150 and all(v == (f"text of {k} ü", len(f"text of {k} ü".encode())) for k, v in got.items())
+    assert sorted(r["name"] for r in files.read_files(spark, str(out), "*.pdf", len("text of 1.pdf ü".encode())).collect()) == [f"{i}.pdf" for i in range(10)]
+    files.write_files(rows(spark, ["a.txt"]), F.col("name"), F.col("t"), str(out), "overwrite", folders=3)
+    assert [r["name"] for r in files.read_files(spark, str(out)).collect()] == ["a.txt"] and len(left(out)) == 1
+
+
+@pytest.mark.parametrize(("names", "folders", "match"), [(["x.txt", "x.txt"], 4, "taken"), (["y.txt", "there.txt"], 4, "taken"), (["z.txt", None], 4, "not a file"), (["z.txt"], 5, "another number"), (["z.txt"], None, "another number")])
+def test_a_dealt_job_that_fails_leaves_nothing(spark, tmp_path, names, folders, match):
+    out = tmp_path / "o"
+    files.write_files(rows(spark, ["there.txt"]), F.col("name"), F.col("t"), str(out), folders=4)
+    before = left(out)
+    with pytest.raises(Exception, match=match):
+        files.write_files(rows(spark, names), F.col("name"), F.col("t"), str(out), folders=folders)
+    assert left(out) == before and len(list(out.iterdir())) == 1
+
+
+def test_many_files_of_a_folder_are_few_tasks(spark, tmp_path):
+    for i in range(1500):
+        (tmp_path / f"{i}.pdf").write_bytes(b"%d" % i)
+    (tmp_path / ".hidden.pdf").write_bytes(b"x")
+    found = files.read_files(spark, str(tmp_path), "*.pdf")
+    assert found.rdd.getNumPartitions() == 2 and sorted(int(r["content"]) for r in found.collect()) == list(range(1500))
+    assert files.read_files(spark, str(tmp_path), "*.txt").collect() == []
