@@ -115,10 +115,10 @@ _LETTERS = """(SELECT 'Bewerbung_' || CASE WHEN turn % 2 = 0 THEN 'A_B ' || role
 def letter_files(spark, sf_dir):
     """Letters as files, once as text and once as a page, read back."""
     turns = table(spark, sf_dir, "conversations").withColumn("firm", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("A/B "), "role")).otherwise(""))
-    stem = labels.export_name(F.col("firm"), F.lit("2024-02-03").cast("date"))
-    pages, path = sinks.letters_as_html(turns, "text", F.lit("de"), F.col("firm")), fresh_folder(spark, "letters")
-    files.write_files(files.file_names(turns, stem, ".txt", ["conv_id", "turn"]), F.col("name"), text.blank("text"), path)
-    files.write_files(files.file_names(pages, stem, ".html", ["conv_id", "turn"]), F.col("name"), F.col("html"), path)
+    stem, folders, path = labels.export_name(F.col("firm"), F.lit("2024-02-03").cast("date")), files.folders_for(turns), fresh_folder(spark, "letters")
+    named = files.file_names(turns, stem, "", ["conv_id", "turn"], path=fresh_folder(spark, "letter_names"))
+    files.write_files(named, F.concat("name", F.lit(".txt")), text.blank("text"), path, folders=folders)
+    files.write_files(sinks.letters_as_html(named, "text", F.lit("de"), F.col("firm")), F.concat("name", F.lit(".html")), F.col("html"), path, folders=folders)
     return files.read_files(spark, path).select("name", "length", F.sha2("content", 256).alias("sha"))
 
 

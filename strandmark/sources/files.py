@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from strandmark.operators.search import ranked
+
 #: Characters that can't stand in a file's name everywhere.
 NOT_IN_NAME = r'[\\/:*?"<>|\x00-\x1F]'
 
@@ -195,11 +197,22 @@ def write_files(rows: DataFrame, name: Column, content: Column, path: str, mode:
     named.write.format("named_files").mode(mode).save(path)
 
 
-def file_names(rows: DataFrame, stem: Column, ending: str, order: list[str], name: str = "name") -> DataFrame:
-    """Adds ``name``: the stem with its ending, without characters that names can't have; further rows of one name get _2, _3 and so on."""
+def file_names(rows: DataFrame, stem: Column, ending: str, order: list[str], name: str = "name", path: str | None = None) -> DataFrame:
+    """Adds ``name``: the stem with its ending, without characters that names can't have; further rows of one name get _2, _3 and so on.
+
+    Without ``path`` the rows of a stem are one task's. With it they are ranged by stem and order, written there in parts and numbered over all
+    parts, so that a stem may have any share of the rows.
+    """
     stems = rows.withColumn("_stem", F.regexp_replace(stem, NOT_IN_NAME, "_"))
-    n = F.row_number().over(Window.partitionBy("_stem").orderBy(*order))
-    return stems.withColumn(name, F.concat("_stem", F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(ending))).drop("_stem")
+    if path is None:
+        numbered = stems.withColumn("_n", F.row_number().over(Window.partitionBy("_stem").orderBy(*order)))
+    else:
+        placed = ranked(stems, ["_stem", *order], path, "_place")
+        begins = placed.groupBy(F.col("_stem").alias("_of")).agg(F.min("_place").alias("_begin"))  # few where a stem has many rows
+        joined = placed.join(begins, F.col("_stem").eqNullSafe(F.col("_of")))
+        numbered = joined.withColumn("_n", F.col("_place") - F.col("_begin") + 1).drop("_of", "_begin", "_place")
+    n = F.col("_n")
+    return numbered.withColumn(name, F.concat("_stem", F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(ending))).drop("_stem", "_n")
 
 
 def read_files(spark, path: str, pattern: str = "*", most_bytes: int | None = None) -> DataFrame:

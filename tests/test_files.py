@@ -50,6 +50,18 @@ def test_names(spark):
     assert got == ["A_B.txt", "A_B_2.txt", "C.txt", "x_______.txt"]
 
 
+def test_names_of_a_stem_over_many_parts(spark, tmp_path):
+    df = spark.range(0, 3000, 1, 4).select("id", F.when(F.col("id") % 10 > 0, "A/B").when(F.col("id") % 20 > 0, F.lit(None)).otherwise(F.concat(F.lit("c"), "id")).alias("firm"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = files.file_names(df, F.col("firm"), ".txt", ["id"], path=str(tmp_path / "n"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = files.file_names(df, F.col("firm"), ".txt", ["id"])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len(list((tmp_path / "n").glob("part-*"))) > 2
+
+
 def test_dealt_files(spark, tmp_path):
     out = tmp_path / "o"
     files.write_files(rows(spark, [f"{i}.txt" for i in range(100)]), F.col("name"), F.col("t"), str(out), folders=8)
