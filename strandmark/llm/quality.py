@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import base64
 import os
+import string
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +24,9 @@ from strandmark.llm.frames import map_rows, written
 SYMBOLS = b"#*$%&|<>"
 #: Scripts that have bands of their own; any other, and texts without letters, are "other".
 SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Hangul")}
-ASCII_LETTER = regex.compile(r"[A-Za-z]")
+ASCII, ASCII_LETTERS = bytes(range(128)), string.ascii_letters.encode()
+#: What SentencePiece writes for a space.
+SPACE_SIGN = "\u2581"
 #: Figure -> (share of its median that the quartiles are apart at least, room in any case, has a lower bound, has an upper bound).
 FIGURES = {
     "chars_per_token": (0.08, 0.0, True, True),
@@ -35,54 +40,95 @@ MEASURED = (
 )
 
 
-class WordPieces(dict):
-    """word -> (byte-fallback tokens, ids as bytes) under a SentencePiece vocabulary, each word by itself."""
+class Vocabulary:
+    """What a vocabulary makes of words, each by itself.
 
-    MOST = 200_000
+    Words are encoded together, a space between each two: no token holds a space but in front, so the tokens that begin with one tell
+    the words apart. Words with white space beyond ASCII's, or with the sign that stands for a space, go alone.
+    """
+
+    def each(self, words: list[str]) -> list:
+        plain = [w.isprintable() and SPACE_SIGN not in w for w in words]
+        joined = words if all(plain) else [w for w, yes in zip(words, plain) if yes]
+        ids = self.encoded(" ".join(joined)) if joined else np.empty(0, np.int64)
+        at = np.flatnonzero(self.in_front[ids])
+        if len(at) != len(joined):
+            return [self.alone(w) for w in words]
+        together = self.values(ids, at)
+        if joined is words:
+            return together
+        together = iter(together)
+        return [next(together) if yes else self.alone(w) for w, yes in zip(words, plain)]
+
+    def alone(self, word: str) -> bytes | int:
+        return self.values(self.encoded(word), np.zeros(1, np.int64))[0]
+
+
+class WordPieces(Vocabulary):
+    """word -> its ids as bytes under a SentencePiece vocabulary."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
+        self.in_front = np.array([self.model.id_to_piece(i).startswith(SPACE_SIGN) for i in range(self.model.vocab_size())])
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = np.array(self.model.encode(word.decode()), "<u2").tobytes()
-        return value
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), "<u2")
 
+    def values(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        data, cuts = ids.tobytes(), [*(2 * at).tolist(), 2 * len(ids)]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-class MultiTokens(dict):
-    """word -> its tokens under a byte-level vocabulary for many languages, with a space before it."""
 
-    MOST = 200_000
+class MultiTokens(Vocabulary):
+    """word -> the number of its tokens under a byte-level vocabulary for many languages, with a space before it."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
-        super().__init__()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.count = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.in_front = np.zeros(max(ranks.values()) + 1, bool)
+        self.in_front[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = len(self.count(" " + word.decode()))
-        return value
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.count(" " + text), np.int64)
 
+    def values(self, ids: np.ndarray, at: np.ndarray) -> list[int]:
+        return np.diff(at, append=len(ids)).tolist()
 
-@lru_cache(maxsize=1)
-def word_pieces(path: str) -> WordPieces:
-    return WordPieces(path)
+
+class WordTable:
+    """word -> what each of some vocabularies makes of it, remembered up to a bound."""
+
+    MOST, AT_ONCE = 400_000, 50_000
+
+    def __init__(self, *vocabularies: Vocabulary):
+        self.vocabularies = vocabularies
+        self.known: dict[bytes, tuple] = {}
+
+    def of(self, words: list[bytes]) -> Iterator[tuple]:
+        for i in range(0, len(words), self.AT_ONCE):
+            part = words[i : i + self.AT_ONCE]
+            found = [*map(self.known.get, part)]
+            if not all(found):
+                if len(self.known) >= self.MOST:
+                    self.known.clear()
+                    found = [None] * len(part)
+                new = [*{w for w, value in zip(part, found) if value is None}]
+                texts = [w.decode() for w in new]
+                self.known.update(zip(new, zip(*(v.each(texts) for v in self.vocabularies))))
+                found = map(self.known.__getitem__, part)
+            yield from found
 
 
 @lru_cache(maxsize=1)
-def multi_tokens(path: str) -> MultiTokens:
-    return MultiTokens(path)
+def word_table(path: str, multi_path: str) -> WordTable:
+    return WordTable(WordPieces(path), MultiTokens(multi_path))
 
 
 def repeated_words(words: list[bytes], n: int = 5) -> int:
@@ -105,24 +151,33 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+@lru_cache(maxsize=65_536)
+def script_of(letter: str) -> str | None:
+    """The one of ``SCRIPTS`` that a character belongs to."""
+    return next((name for name, p in SCRIPTS.items() if p.match(letter)), None)
+
+
 def dominant_script(text: str) -> str:
-    """The script of most letters; plain ASCII is settled without the tables."""
-    if text.isascii():
-        return "Latin" if ASCII_LETTER.search(text) else "other"
-    counts = {name: len(p.findall(text)) for name, p in SCRIPTS.items()}
+    """The script of most letters, the first of ``SCRIPTS`` if several have as many."""
+    data = text.encode()
+    counts = dict.fromkeys(SCRIPTS, 0) | {"Latin": len(data) - len(data.translate(None, ASCII_LETTERS))}
+    for letter, n in Counter(data.translate(None, ASCII).decode()).items():
+        script = script_of(letter)
+        if script:
+            counts[script] += n
     most = max(counts, key=counts.get)
     return most if counts[most] else "other"
 
 
-def fertility(words: list[bytes], chars: int, pieces: WordPieces) -> tuple[float, float, float, int]:
+def fertility(pieces: Iterable[bytes], chars: int, is_byte: np.ndarray) -> tuple[float, float, float, int]:
     """Characters a token, byte-fallback share, entropy in bits of the token distribution, tokens."""
-    ids = np.frombuffer(b"".join(map(pieces.__getitem__, words)), "<u2")
+    ids = np.frombuffer(b"".join(pieces), "<u2")
     if not len(ids):
         return 0.0, 0.0, 0.0, 0
     counts = np.bincount(ids) if len(ids) > 20_000 else np.unique(ids, return_counts=True)[1]
     counts = counts[counts > 0]
     share = counts / len(ids)
-    return chars / len(ids), float(pieces.is_byte[ids].mean()), float(-(share * np.log2(share)).sum()) + 0.0, len(ids)
+    return chars / len(ids), float(is_byte[ids].mean()), float(-(share * np.log2(share)).sum()) + 0.0, len(ids)
 
 
 def measured(docs: DataFrame, path: str | None = None, multi_path: str | None = None) -> DataFrame:
@@ -132,7 +187,8 @@ def measured(docs: DataFrame, path: str | None = None, multi_path: str | None =
         from strandmark.llm.bpe import vocabulary
 
         os.environ["OMP_NUM_THREADS"] = "1"
-        pieces, multi = word_pieces(path or vocabulary("piece_bpe_32k.model")), multi_tokens(multi_path or vocabulary("byte_bpe_multi_50k.tiktoken"))
+        known = word_table(path or vocabulary("piece_bpe_32k.model"), multi_path or vocabulary("byte_bpe_multi_50k.tiktoken"))
+        is_byte = known.vocabularies[0].is_byte
 
         def one(text: str | None) -> tuple:
             text = text or ""
@@ -141,8 +197,9 @@ def measured(docs: DataFrame, path: str | None = None, multi_path: str | None =
             chars = len(text) - len(data) + sum(map(len, words))
             repeats = repeated_words(words)
             failed = len(words) < 10 or 100 * repeats > 20 * len(words)
-            per_token, byte_share, entropy, tokens = fertility(words, chars, pieces)
-            per_multi = chars / max(1, sum(map(multi.__getitem__, words)))
+            pieces, multi = zip(*known.of(words)) if words else ((), ())
+            per_token, byte_share, entropy, tokens = fertility(pieces, chars, is_byte)
+            per_multi = chars / max(1, sum(multi))
             symbols = len(data) - len(data.translate(None, SYMBOLS))
             return len(words), chars, symbols, repeated_lines(data), repeats, failed, dominant_script(text), tokens, per_token, per_multi, byte_share, entropy
 

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -174,6 +175,28 @@ def brute_figures(text, pieces, multi):
     return script, len(ids), chars / len(ids) if ids else 0.0, chars / max(1, many), sum(map(pieces.is_byte, ids)) / max(1, len(ids)), entropy
 
 
+def test_words_encoded_together_are_as_alone():
+    """Every printable character and odd ones, alone and within words; and few calls of the library for many words."""
+    words = [c for c in map(chr, range(33, 0x3100)) if not c.isspace()] + ["a\u00a0b", "\u2003", "\u2581", "x\u2581y", "a\u200db", "'tis", "it's", "</s>", "<0x41>", "\ufeffx", "\U0001f600", "\ufe0f", "\x00", "´", "x¨"]
+    words = [w.encode() for w in [*words, *(f"a{w}1" for w in words), *(f"{w}." for w in words)] if len(w.encode().split()) == 1 and w.encode().split()[0] == w.encode()]
+    known = quality.WordTable(quality.WordPieces(public_tokenizers.path("piece_bpe_32k.model")), quality.MultiTokens(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    want, calls = [tuple(v.alone(w.decode()) for v in known.vocabularies) for w in words], []
+    for v in known.vocabularies:
+        v.encoded = lambda text, whole=v.encoded: (calls.append(1), whole(text))[1]
+    got = [found for i in range(0, len(words), 100) for found in known.of(words[i : i + 100])]
+    assert got == want and len(calls) < len(words) / 4
+    known.known.clear()
+    known.MOST, known.AT_ONCE = 50, 20
+    assert [*known.of(words[::-1])] == want[::-1] and len(known.known) <= 70
+
+
+def test_dominant_script():
+    for text in ("", "1 !", "ab я", "я ab яя", "漢字 ひ", "ひひ 漢", "ªº я", "ά ά", "ab яя", "한 a"):
+        counts = {name: len(p.findall(text)) for name, p in quality.SCRIPTS.items()}
+        most = max(counts, key=counts.get)
+        assert quality.dominant_script(text) == (most if counts[most] else "other"), text
+
+
 def test_quality(spark, sf_dir, odd, empty):
     import base64
     import math
