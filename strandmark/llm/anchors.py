@@ -84,16 +84,17 @@ class Bytes:
     def load(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable]:
         """Ends of the texts in symbols, hash of each anchor-long string, and a way to cut out symbols."""
         data = b"".join(texts)
-        raw, n = np.frombuffer(data, np.uint8), len(data) - self.anchor + 1
+        n = len(data) - self.anchor + 1
         ends = np.cumsum([*map(len, texts)])
         cut = lambda first, stop: [data[a:b] for a, b in zip(first.tolist(), stop.tolist())]
         if n <= 0:
             return ends, np.empty(0, np.uint64), cut
+        eights = np.empty(len(data) - 7, np.uint64)  # the eight bytes from each place on
+        for k in range(min(8, len(eights))):
+            eights[k::8] = np.frombuffer(data, np.uint64, (len(data) - k) // 8, k)
         total = np.zeros(n, np.uint64)
         for k, at in enumerate((*range(0, self.anchor - 8, 8), self.anchor - 8)):
-            view = np.lib.stride_tricks.as_strided(raw[at:].view(np.uint8), (n, 8), (1, 1))
-            part = np.ascontiguousarray(view).view(np.uint64)[:, 0]
-            part *= np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & (2**64 - 1) | 1)
+            part = eights[at : at + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & (2**64 - 1) | 1)
             total ^= part >> np.uint64(29)
             total += part
         return ends, mixed(total), cut
@@ -425,7 +426,7 @@ def covered_windows(p: Packets, length: int) -> tuple[np.ndarray, np.ndarray]:
     return p.owner[hit], np.stack([p.start[hit], p.start[hit] + length], 1)
 
 
-def resolve(collected: DataFrame, resolver: Resolver, length: int, groups: int) -> DataFrame:
+def resolve(collected: DataFrame, resolver: Resolver, length: int, groups: int, part_bytes: int) -> DataFrame:
     """Step 3, within a shard: which windows also start in a smaller document.
 
     All runs go through ``resolver`` with the ids of their documents, equal ones once, in parts of bounded size that keep anchors whole.
@@ -439,7 +440,7 @@ def resolve(collected: DataFrame, resolver: Resolver, length: int, groups: int)
         for kind in (RUN, WINDOW):
             if by_kind[kind]:
                 p = Packets([d for _, d in by_kind[kind]])
-                found = [covered_windows(p, length)] if kind == WINDOW else [covered_runs(p, part, resolver, length) for part in p.parts(PART_BYTES)]
+                found = [covered_windows(p, length)] if kind == WINDOW else [covered_runs(p, part, resolver, length) for part in p.parts(part_bytes)]
                 out += spans_by_group(p.keys, *map(np.concatenate, zip(*found)), groups)
         return pa.Table.from_batches([table(PACKET, out)])
 
@@ -478,7 +479,7 @@ def finish(docs: DataFrame, spans: DataFrame, make: Maker, schema: StructType) -
     return docs.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(tidy_pair(run), schema)
 
 
-def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Maker, schema: StructType | str) -> DataFrame:
+def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Maker, schema: StructType | str, part_bytes: int = PART_BYTES) -> DataFrame:
     """The whole course: ``make`` gets every row with the spans (in symbols) that windows of smaller documents cover.
 
     Rows without an id take no part: they come through with no spans, in a narrow pass of their own.
@@ -489,7 +490,7 @@ def with_repeats(docs: DataFrame, units, resolver: Resolver, make: Maker, schema
     rows = keyed(docs, groups)
     named = rows.filter("doc_id is not null")
     told = tell_shared(find_anchors(named, units, buckets, groups), groups, HOT_OWNERS)
-    spans = resolve(collect_runs(named, told, units, buckets, shards, groups), resolver, units.length, groups)
+    spans = resolve(collect_runs(named, told, units, buckets, shards, groups), resolver, units.length, groups, part_bytes)
     result = to_arrow_schema(schema)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,8 @@ from strandmark.llm.anchors import Bytes, with_repeats
 
 #: Ends a run; no byte of UTF-8 has this value, and it sorts last.
 END = 0xFF
+#: Runs that are transformed at once: those of so many bytes, whose arrays stay near the processor.
+PART_BYTES = 400_000
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -131,4 +133,4 @@ def repeated_bytes(docs: DataFrame, length: int = 50, anchor: int = 24) -> DataF
     each other; an empty table gives no rows. Spans may cut a character, so kept bytes aren't always UTF-8.
     ``anchor`` is at least 8.
     """
-    return with_repeats(docs.select("doc_id", "text"), Bytes(length, anchor), TransformResolver(length), digests, DIGEST)
+    return with_repeats(docs.select("doc_id", "text"), Bytes(length, anchor), TransformResolver(length), digests, DIGEST, PART_BYTES)

@@ -1,5 +1,6 @@
 """Operators 9 and 10 against brute force."""
 
+import gc
 import hashlib
 import random
 import re
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from strandmark.llm import anchors, substrings, suffixes
+from strandmark.llm import anchors, frames, substrings, suffixes
 from strandmark.llm.frames import table
 
 
@@ -165,3 +166,19 @@ def test_no_bucket_grows_with_the_owners_of_an_anchor(spark):
 
     (few, _), (many, _) = fullest(5000), fullest(20_000)
     assert many < 2 * few, (few, many)
+
+
+def test_hashes_of_bytes_are_those_of_each_string_alone():
+    units, rnd = anchors.Bytes(50, 24), random.Random(5)
+    for size in (0, 7, 8, 23, 24, 25, 31, 200):
+        data = bytes(rnd.choices(b"ab \xc3\xa4", k=size))
+        ends, hashes, cut = units.load([data[: size // 3], data[size // 3 :]])
+        assert hashes.tolist() == [int(units.load([data[i : i + 24]])[1][0]) for i in range(size - 23)] and ends.tolist() == [size // 3, size]
+
+
+def test_groups_run_without_the_collector_of_cycles():
+    seen = []
+    frames.tidy_group(lambda rows: seen.append(gc.isenabled()))(None)
+    with pytest.raises(ZeroDivisionError):
+        frames.tidy_pair(lambda left, right: 1 // 0)(None, None)
+    assert seen == [False] and gc.isenabled()
